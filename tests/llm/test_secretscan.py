@@ -43,7 +43,7 @@ def test_layers_unwrap_and_map_back():
         twice = base64.b64encode(squeeze(blob.encode())).decode()
         assert f"assign:2:{2 + len(twice)}" in spans("x " + twice)
     esc = "".join(f"\\u{ord(c):04x}" for c in plain)
-    assert f"assign:1:{1 + len(esc)}" in spans("-" + esc + "-")
+    assert f"assign:2:{2 + len(esc)}" in spans("; " + esc + ";")
     nested = urllib.parse.quote(urllib.parse.quote(base64.urlsafe_b64encode(esc.encode()).decode(), safe=""), safe="")
     assert f"assign:0:{len(nested)}" in spans(nested)
     assert spans("token = %22abc%20" + "\U0001f600" + "%3D") == set()
