@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import decontam, mixing, rules, secretscan, sharding, simhash, tokenstore
+from lexiforge.llm import decontam, kneser, langid, licenses, mixing, rules, secretscan, sharding, simhash, tokenstore
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.found(_read(spark, sf_dir, "documents"))
+
+
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.round_trip(_read(spark, sf_dir, "documents"), _tokenizer())
 
@@ -27,6 +31,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_read(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_read(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(_read(spark, sf_dir, "documents"))
 
@@ -36,6 +44,10 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "cast(octet_length(coalesce(text, '')) as bigint) AS doc_bytes", "shard", "depth", "shard_bytes", "shard_docs")
 
 
+def op7_kneser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -55,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_tokens, op3_mix, op5_simhash, op6_shards, op8_decontam, op9_secrets, op10_rules, pipeline]
+    own = [op1_licenses, op2_tokens, op3_mix, op4_language, op5_simhash, op6_shards, op7_kneser, op8_decontam, op9_secrets, op10_rules, pipeline]
     return {f.__name__: f for f in own}
 
 
