@@ -90,7 +90,7 @@ def patiently(call: Callable[[], list[list[float]]], sleep: Callable[[float], No
 
 def embedded(chunks: DataFrame, model: Embedder, text: str = "text", batch: int = 100, max_calls: int = 160, period: float = 60.0, tasks: int | None = None) -> DataFrame:
     """chunks with their embedding; blank texts get a zero vector. The limit is shared out among tasks."""
-    schema = chunks.schema.add("embedding", T.ArrayType(T.FloatType())) if "embedding" not in chunks.columns else chunks.schema
+    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]) if "embedding" not in chunks.columns else chunks.schema
     share = max_calls / max(1, tasks or chunks.sparkSession.sparkContext.defaultParallelism)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

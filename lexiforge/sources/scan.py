@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,17 +22,27 @@ def excluded_from_right(path: Column, patterns: list[str]) -> Column:
     """The profiler's rule: a glob of n parts is held against the last n parts of each folder above the file."""
     out = F.lit(False)
     for p in patterns:
-        n = len(p.strip("/").split("/"))
-        parts = F.split(path, "/")
-        above = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
-        tails = F.transform(above, lambda i, n=n, parts=parts: F.array_join(F.slice(parts, F.greatest(i - n + 1, F.lit(1)), F.least(i, F.lit(n))), "/"))
-        regex = "^" + "/".join(re.sub(r"^\(\?s:|\)\\[zZ]$", "", t.glob_regex(x)[1:]).replace(".*", "[^/]*") for x in p.strip("/").split("/")) + "$"
-        out = out | F.exists(tails, lambda x, regex=regex: x.rlike(regex))
+        out = out | _tail_matches(F.split(path, "/"), p.strip("/").split("/"))
     return out
 
 
+def _tail_matches(parts: Column, globs: list[str]) -> Column:
+    """The parts of some folder above the file, and as many before it as there are globs, match them one by one."""
+    n = len(globs)
+    above = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: i >= n)
+
+    def here(i: Column) -> Column:
+        hit = F.lit(True)
+        for k, g in enumerate(globs):
+            hit = hit & t.glob(F.element_at(parts, (i - (n - 1 - k)).cast("int")), g)
+        return hit
+
+    return F.exists(above, here)
+
+
 def scan_files(spark: SparkSession, path: str, pattern: str | None = None, extensions: list[str] | None = None, exclude: list[str] | None = None, algorithm: str = "sha256", content: bool = False) -> DataFrame:
-    """path, size, checksum, modified (and content) of the files at or under path."""
+    """path, size, checksum, modified (and content) of the files at or under path. Spark lists no file below a
+    folder, and none, whose name begins with a dot or an underscore."""
     if algorithm not in HASHES:
         raise ScanError(f"unknown hash {algorithm!r}")
     jvm = spark._jvm
