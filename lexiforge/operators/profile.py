@@ -47,21 +47,30 @@ def index_percentiles(rows: DataFrame, percents: list[int], x: str = "x") -> Dat
     return picked.groupBy("pct").agg(F.min(x).alias("value"))
 
 
-def _ranked(rows: DataFrame, size: str, key: str) -> DataFrame:
-    place = F.row_number().over(W.orderBy(size, key))
-    return rows.select(key, size, place.alias("place")).withColumn("n", F.count("*").over(W.partitionBy()))
+def _between(rows: DataFrame, size: str, key: str, first: str, last: str) -> DataFrame:
+    """Rows whose place by (size, key) is from `first` to `last`, expressions of n, counted from 1.
+
+    Sizes are counted first. Sizes that lie wholly inside need no order; only those at the two ends are ranked.
+    """
+    counts = rows.groupBy(size).agg(F.count("*").alias("__c"))
+    upto = counts.withColumn("__upto", F.sum("__c").over(W.orderBy(size))).withColumn("n", F.sum("__c").over(W.partitionBy()))
+    spans = upto.selectExpr(f"{size} AS __size", "__upto - __c AS __before", "__upto", f"{first} AS __first", f"{last} AS __last").where("__upto >= __first AND __before < __last")
+    near = rows.join(spans, F.col(size).eqNullSafe(F.col("__size")))
+    inside = near.where("__before + 1 >= __first AND __upto <= __last")
+    edge = near.where("NOT (__before + 1 >= __first AND __upto <= __last)")
+    place = F.col("__before") + F.row_number().over(W.partitionBy("__size").orderBy(key))
+    edge = edge.withColumn("__place", place).where("__place BETWEEN __first AND __last")
+    return inside.select(*rows.columns).union(edge.select(*rows.columns))
 
 
 def typical(rows: DataFrame, size: str, key: str) -> DataFrame:
     """The row in the middle by size."""
-    hit = _ranked(rows, size, key).where("place = floor(n / 2) + 1").select(key)
-    return rows.join(F.broadcast(hit), key, "left_semi")
+    return _between(rows, size, key, "floor(n / 2) + 1", "floor(n / 2) + 1")
 
 
 def middle(rows: DataFrame, size: str, key: str) -> DataFrame:
     """Without the smallest and the largest tenth; all rows if there are fewer than ten."""
-    inside = _ranked(rows, size, key).where("n < 10 OR (place > floor(n / 10) AND place <= n - floor(n / 10))").select(key)
-    return rows.join(inside, key, "left_semi")
+    return _between(rows, size, key, "if(n < 10, 1, floor(n / 10) + 1)", "if(n < 10, n, n - floor(n / 10))")
 
 
 @dataclass
