@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word of every contract here: a run without ASCII white space.
@@ -53,6 +54,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, by: list[str], name: str, order: list[str] | None = None) -> DataFrame:
+    """rows with `name`: 1, 2, ... in each group of equal `by` (nulls are equal), in the order of the `order` columns.
+
+    A group is numbered in blocks of 4096 rows at most, which are written first, so that no group has to meet in one
+    task; only the blocks' counts do. Rows that are equal in `by` and `order` are numbered arbitrarily.
+    """
+    own = [*by, *(order or []), "__block"]
+    held = saved(rows.withColumn("__block", F.expr("shiftright(monotonically_increasing_id(), 12)")), "blocks")
+    counts = held.groupBy(*own).agg(F.count("*").alias("__count"))
+    upto = F.sum("__count").over(W.partitionBy(*by).orderBy(*own[len(by) :]).rowsBetween(W.unboundedPreceding, 0))
+    past = counts.select(*(F.col(c).alias(f"__past_{c}") for c in own), (upto - F.col("__count")).alias("__past"))
+    place = F.row_number().over(W.partitionBy(*own).orderBy(F.lit(0)))
+    same = F.lit(True)
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"__past_{c}"))
+    placed = held.withColumn("__place", place).join(past, same)
+    return placed.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("__past") + F.col("__place")).alias(name))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the smallest node.
 

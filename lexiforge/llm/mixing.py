@@ -9,7 +9,8 @@ document's rank is the odds of its random number divided by its inclusion odds,
 is the documents of lowest rank up to the point nearest to the rest of the target.
 
 That point is found by histograms of the ranks' bits, two levels of 4096 buckets for each source; only the
-documents of one last bucket are put in order, so that no source has to be sorted or to meet in one task.
+different documents of one last bucket are put in order, so that no source has to be sorted or to meet in one
+task. Rows that repeat are counted there, and numbered in blocks where the cut runs through them.
 
 Random numbers are the MD5 of a document's id (null: of its text) and the seed: reruns agree. Rows that are
 repeated have the same rank, and are taken in an arbitrary order of equals. A null text has size 0; a
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiforge.llm._shared import WORD_SPACE, saved
+from lexiforge.llm._shared import WORD_SPACE, numbered, saved
 
 SEED = 11
 TILT = 1.5
@@ -117,31 +118,27 @@ def mix(sized: DataFrame, table: DataFrame, seed: int = SEED) -> DataFrame:
         edge = sums.withColumn("upto", F.col("before") + upto).where("upto >= need").groupBy("source").agg(F.min(F.struct("b", "upto", "s")).alias("e"))
         past = saved(edge.selectExpr("source", "e.b AS b", "e.upto - e.s AS before"), "edge")
         open_ = _on_source(open_, past.select("source", F.col("b").alias("eb"))).where(f"shiftright(rank, {shift}) = eb").drop("eb")
-    last = _on_source(open_, past.select("source", "before"))
-    order = W.partitionBy("source").orderBy("rank", "key", "size")
-    after = F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
-    last = last.withColumn("n", F.row_number().over(order)).withColumn("after", after)
-    # the place nearest to the need: before the document that passes it, or after that one
-    stop = last.where("abs(after - need) <= abs(after - size - need)").groupBy("source").agg(F.max(F.struct("n", "rank", "key", "size")).alias("e"))
-    cut = saved(_on_source(past.select("source", F.col("b").alias("edge")), stop.selectExpr("source", "e.rank AS cr", "e.key AS ck", "e.size AS cs", "e.n AS cn")), "cut")
-    ties = saved(last.select("source", "rank", "key", "size", "n"), "ties")
-    repeats = ties.groupBy("source", "rank", "key", "size").agg(F.min("n").alias("first"), F.count("*").alias("same")).where("same > 1")
+    # rows that repeat count as one unit here: a source's last bucket holds few units, however often they repeat
+    units = open_.groupBy("source", "rank", "key", "size").agg(F.count("*").alias("same"), F.first("need").alias("need"))
+    units = _on_source(units, past.select("source", "before"))
+    upto = F.sum(F.expr("size * same")).over(W.partitionBy("source").orderBy("rank", "key", "size").rowsBetween(W.unboundedPreceding, 0))
+    units = units.withColumn("start", F.col("before") + upto - F.expr("size * same"))
+    # the place nearest to the need: a row is taken if its middle lies before it
+    takes = "if(size = 0, if(start <= need, same, 0), least(same, cast(floor((need - start) / size + 0.5D) AS bigint)))"
+    units = units.withColumn("takes", F.expr(takes)).where("takes > 0")
+    stop = units.groupBy("source").agg(F.max(F.struct("rank", "key", "size", "takes", "same")).alias("e"))
+    cut = _on_source(past.select("source", F.col("b").alias("edge")), stop.selectExpr("source", "e.rank AS cr", "e.key AS ck", "e.size AS cs", "e.takes AS takes", "e.same AS same"))
+    cut = saved(cut, "cut")
     got = _on_source(ranked, cut)
     shift = BITS - 24
     inside = "cr IS NOT NULL AND (rank, key, size) <= (cr, ck, cs)"
     extra = F.expr(f"CASE WHEN rank IS NULL THEN 0 WHEN edge IS NULL OR shiftright(rank, {shift}) < edge THEN 1 WHEN shiftright(rank, {shift}) > edge THEN 0 WHEN {inside} THEN 1 ELSE 0 END")
     got = got.withColumn("extra", extra)
-    # only the document at the cut itself can have equals on both sides of it
-    split = cut.where("cn IS NOT NULL").select("source", "cr", "ck", "cs", "cn")
-    split = repeats.join(split, repeats["source"].eqNullSafe(split["source"]) & (F.col("rank") == F.col("cr")) & (F.col("key") == F.col("ck")) & (F.col("size") == F.col("cs")) & F.expr("first + same - 1 > cn"))
-    split = saved(split.select(repeats["source"].alias("source"), "rank", "key", "size", F.expr("cn - first + 1").alias("takes")), "split")
-    if not split.isEmpty():
-        sp = split.select(F.col("source").alias("s1"), F.col("rank").alias("r1"), F.col("key").alias("k1"), F.col("size").alias("z1"), "takes")
-        same = F.col("source").eqNullSafe(F.col("s1")) & (F.col("rank") == F.col("r1")) & (F.col("key") == F.col("k1")) & (F.col("size") == F.col("z1"))
-        marked = got.join(sp, same, "left")
-        nth = F.row_number().over(W.partitionBy("source", "rank", "key", "size", "takes").orderBy("doc_id"))
-        equals = marked.where("takes IS NOT NULL").withColumn("extra", F.when(nth <= F.col("takes"), 1).otherwise(0))
-        got = marked.where("takes IS NULL").unionByName(equals)
+    # only the unit at the cut itself can have rows on both sides of it
+    if not cut.where("takes < same").isEmpty():
+        at = F.expr("coalesce(takes < same AND (rank, key, size) = (cr, ck, cs), false)")
+        equals = numbered(got.where(at), ["source", "rank", "key", "size"], "nth").withColumn("extra", F.expr("if(nth <= takes, 1, 0)"))
+        got = got.where(~at).unionByName(equals.drop("nth"))
     return got.select(*sized.columns, "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))
 
 
@@ -161,18 +158,17 @@ def taken(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with docs' columns."""
     sized = saved(sized_documents(docs), "sizes")
-    got = mix(sized, targets(sized)).groupBy("key", "source", "size").agg(F.collect_list("copies").alias("__copies"), F.count("*").alias("__n"))
-    plan = got.select(
-        F.col("key").alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-        F.expr("aggregate(__copies, 0, (a, x) -> a + x)").alias("__all"), "__n",
-    )
+    got = mix(sized, targets(sized)).groupBy("key", "source", "size").agg(F.sum("copies").alias("__all"), F.count("*").alias("__n"))
+    plan = saved(got.select(F.col("key").alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__all", "__n"), "copies")
     key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
     own = docs.withColumns({"__k": key, "__z": word_count()})
     joined = own.join(plan, (F.col("__k") == F.col("__key")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__z") == F.col("__size")))
     # rows that share key, source and size share their copies: the first ones of them get one more where they don't divide
-    many = joined.where("__n > 1").withColumn("__i", F.row_number().over(W.partitionBy("__k", "source", "__z").orderBy(F.xxhash64("text"))))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    many = joined.where("__n > 1").select(*kept, "__k", "__z", "__all", "__n", F.col("source").alias("__s"), F.xxhash64("text").alias("__t"))
     times = F.expr("cast(floor(__all / __n) + if(__i <= __all % __n, 1, 0) AS int)")
-    one = joined.where("__n = 1").withColumn("__times", F.col("__all").cast("int"))
-    parts = one.select(*[F.col(f"`{c}`") for c in docs.columns], "__times").unionByName(many.withColumn("__times", times).select(*[F.col(f"`{c}`") for c in docs.columns], "__times"))
+    parts = joined.where("__n = 1").select(*kept, F.col("__all").cast("int").alias("__times"))
+    if not plan.where("__n > 1").isEmpty():
+        parts = parts.unionByName(numbered(many, ["__k", "__s", "__z"], "__i", ["__t"]).select(*kept, times.alias("__times")))
     copies = parts.where("__times > 0").withColumn("__c", F.explode(F.expr("sequence(1, __times)")))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return copies.select(*kept)
