@@ -307,7 +307,10 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     stay = stay.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__tkey")).alias("s")).select("s.doc_id", "s.__tkey")
     stay = stay.distinct().select(F.col("doc_id").alias("__id"), F.col("__tkey").alias("__stay"))
     kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__stay")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__tkey"]).drop("__tkey")
+    repeated = rows.groupBy("doc_id", "__tkey").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():  # rows that repeat all stayed
+        kept = kept.dropDuplicates(["doc_id", "__tkey"])
+    return kept.drop("__tkey")
 
 
 __all__ = ["components_of", "dedup", "fingerprints", "link_radius", "link_similar"]
