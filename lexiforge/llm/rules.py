@@ -45,7 +45,8 @@ def measured(docs: DataFrame, keep: list[Column]) -> DataFrame:
     """keep, and the counts that the rules read.
 
     Repeated windows: the hash of each 3-word window, shifted to make room for its position, in one sorted
-    array of longs; equal neighbours are repeats, and the words they cover are counted from their positions.
+    array of longs; neighbours of equal hashes are repeats if their words are equal too (a long text leaves few
+    bits to the hash), and the words they cover are counted from their positions.
     """
     one = docs.select(F.struct(*keep).alias("__keep"), *features(F.col("text")))
     two = one.select(
@@ -64,11 +65,15 @@ def measured(docs: DataFrame, keep: list[Column]) -> DataFrame:
         " i -> shiftleft(xxhash64(__words[i], __words[i + 1], __words[i + 2]), __k) | i)))"
     )
     counts = ["n_words", "n_symbols", "word_chars", "n_stops", "n_lines", "n_dup_lines"]
-    three = two.select("__keep", *counts, "__k", packed.cast("array<bigint>").alias("__s"))
-    twice = (
-        "filter(__s, (x, i) -> (i > 0 AND shiftright(__s[greatest(i - 1, 0)], __k) = shiftright(x, __k))"
-        " OR (i + 1 < size(__s) AND shiftright(__s[least(i + 1, size(__s) - 1)], __k) = shiftright(x, __k)))"
-    )
+    three = two.select("__keep", *counts, "__k", "__words", packed.cast("array<bigint>").alias("__s"))
+
+    def alike(other: str) -> str:
+        place = "int({} & (shiftleft(1L, __k) - 1L)) + {}"
+        words = " AND ".join(f"__words[{place.format(other, d)}] = __words[{place.format('x', d)}]" for d in range(3))
+        return f"shiftright({other}, __k) = shiftright(x, __k) AND {words}"
+
+    before, after = "__s[greatest(i - 1, 0)]", "__s[least(i + 1, size(__s) - 1)]"
+    twice = f"filter(__s, (x, i) -> (i > 0 AND {alike(before)}) OR (i + 1 < size(__s) AND {alike(after)}))"
     four = three.select("__keep", *counts, F.expr(f"sort_array(transform({twice}, x -> x & (shiftleft(1L, __k) - 1L)))").alias("__at"))
     covered = "aggregate(transform(__at, (p, i) -> if(i = 0, 3L, least(3L, p - __at[greatest(i - 1, 0)]))), 0L, (a, x) -> a + x)"
     return four.select("__keep.*", *counts, F.expr(covered).alias("n_repeat_words"))

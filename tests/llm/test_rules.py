@@ -64,3 +64,15 @@ def test_plan_is_native(spark):
     docs = spark.read.parquet(f"{cases.SF}/documents.parquet")
     plan = rules.judge(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_windows_of_equal_hashes_are_compared(spark, monkeypatch):
+    """With a hash of one bit, only the words tell windows apart: none of other words counts as a repeat."""
+    from pyspark.sql import functions as F
+
+    real = F.expr
+    monkeypatch.setattr(rules.F, "expr", lambda s: real(s.replace("xxhash64(__words[i], __words[i + 1], __words[i + 2])", "1L")))
+    texts = ["a b c d e f g", "q r s q r s q r s", "x y"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], cases.SCHEMA)
+    got = {r.doc_id: r.n_repeat_words for r in rules.measured(docs, [F.col("doc_id")]).collect()}
+    assert got[0] == got[2] == 0
