@@ -11,6 +11,7 @@ from lexiforge.functions import text as t
 from lexiforge.functions import vector as v
 from lexiforge.operators import catalog, chunking, markdown, profile
 from lexiforge.operators import retrieval as r
+from lexiforge.sources import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -353,6 +354,41 @@ def section_split(spark, sf_dir):
     return got.select("page_id", "chunk_index", "section_header", "text", F.when(F.col("chunk_index") == 1, F.col("tags")).otherwise("").alias("tags"), F.array_join("section_hierarchy", " > ").alias("path"))
 
 
+_OUTLINE = "concat('# ', url, '\\n## ', page_id % 7, '\\nbody\\n# end')"
+
+
+@query("WITH h AS (SELECT page_id, url AS header, 0 AS line FROM pages UNION ALL SELECT page_id, CAST(page_id % 7 AS VARCHAR), 1 FROM pages UNION ALL SELECT page_id, 'end', 3 FROM pages) SELECT page_id, CAST(line AS INTEGER) AS line, string_agg(header, ' > ') OVER (PARTITION BY page_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS path FROM h")
+def header_path(spark, sf_dir):
+    own = table(spark, sf_dir, "pages").select("page_id", t.lines(F.expr(_OUTLINE)).alias("lines")).withColumn("heads", markdown.headers(F.col("lines")))
+    found = own.select("page_id", F.explode(markdown.sections(F.col("lines"), F.col("heads"))).alias("s"))
+    return found.select("page_id", F.col("s.start_offset").cast("int").alias("line"), F.array_join("s.section_hierarchy", " > ").alias("path"))
+
+
+@query("SELECT page_id, 'tag' || (page_id % 3) || ',a-b' AS tags FROM pages")
+def hashtag_list(spark, sf_dir):
+    text = F.expr("concat('x#no #tag', page_id % 3, ' ##no (#a-b), #tag', page_id % 3, ' # no')")
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(t.hashtags(text), ",").alias("tags"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, length(text) // 3) AS INTEGER) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g'), '(^|[^\n])\n($|[^\n])', '\1 \2', 'g'), ' +', ' ', 'g')) AS cleaned FROM (SELECT doc_id, 'A hyphen-' || chr(10) || 'ated  word ' || doc_id || chr(10) || 'and a line' || chr(10) || chr(10) || 'Next   part' AS text FROM documents)")
+def pdf_cleanup(spark, sf_dir):
+    text = F.expr("concat('A hyphen-\\nated  word ', doc_id, '\\nand a line\\n\\nNext   part')")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.pdf_cleanup(text).cast("binary")).alias("cleaned"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 IN (0, 1) AND NOT (starts_with(source, 'src1') OR lang = 'fr' OR CAST(doc_id AS VARCHAR) LIKE '7%')")
+def scan_filter(spark, sf_dir):
+    """Files that the scan takes: an allowed suffix, and no part, path or name that an exclusion matches."""
+    suffix = F.element_at(F.array(F.lit(".TXT"), F.lit(".md"), F.lit(".pyc"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.concat_ws("/", "source", "lang", "doc_id"), suffix).alias("path"))
+    return rows.where(t.extension(F.col("path")).isin("txt", "md") & ~scan.excluded(F.col("path"), ["src1*", "fr", "7*"])).select("doc_id")
+
+
 @query("SELECT doc_id, '\"' || replace(source, '\"', '\"\"') || ',x\",' || lang || ',\"a\"\"' || doc_id || '\"' AS cell FROM documents")
 def list_to_csv(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
