@@ -73,3 +73,19 @@ def test_hot_source_samples_by_chance(spark):
     short = [r.copies for r in got if r.source == "a" and r.size == 1]
     long_ = [r.copies for r in got if r.source == "a" and r.size == 7]
     assert 0 < sum(short) / len(short) < sum(long_) / len(long_)  # inclusion chances are unequal
+
+
+def test_numbered_in_blocks(spark):
+    """Groups of thousands of equal rows, one of them null, are numbered from 1 without gaps, in order."""
+    from lexiforge.llm._shared import numbered
+
+    rows = spark.range(0, 15000, 1, 2).selectExpr("if(id % 3 = 0, NULL, if(id % 3 = 1, 'a', string(id))) AS g", "id % 5 AS o", "'x' AS `a.b`")
+    got = defaultdict(list)
+    for r in numbered(rows, ["g"], "n", ["o"]).collect():
+        got[r.g].append((r.n, r.o))
+    assert len(got[None]) == len(got["a"]) == 5000 and len(got) == 5002
+    for own in got.values():
+        own.sort()
+        assert [n for n, _ in own] == list(range(1, len(own) + 1))
+        assert [o for _, o in own] == sorted(o for _, o in own)
+    assert numbered(rows.limit(0), ["g"], "n").count() == 0
