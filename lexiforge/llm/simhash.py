@@ -12,8 +12,12 @@ Two ways to buckets:
   fingerprints at two bits or fewer share such a point), which bounds every group by 65.
 * `link_similar`: pairs with an estimated cosine of 0.8 or more between 5-word shingle vectors (256 bits,
   52 or fewer differing), met by any of six min-hashes of their shingles: a pair with a Jaccard similarity
-  of 0.8 shares one with a chance of 0.99994. A min-hash that more than `BUCKET` texts share is split by four
-  further ones. Inside a bucket, links to a pivot settle a family of copies in linear time.
+  of 0.8 shares one with a chance of 0.99994. Inside a bucket, links to a pivot settle a family of copies in
+  linear time. A bucket of more than `BLOCK` texts is settled by many tasks (`settle`): each text links to the
+  first of `PIVOTS` random ones that it is near to, texts near to several pivots connect these, and the largest
+  class of connected pivots needs no more comparison inside it. Texts outside of that class meet all texts of
+  the bucket in a grid of blocks (`grid`); where they are more than `BLOCK`, four further min-hashes split the
+  bucket first. No task holds more than two blocks.
 
 Rows: a null text is an empty one. A text without words has fingerprint zero and links like any other; one
 with fewer words than a shingle has a single shingle. Null ids are kept, and so are repeated ones. Extra
@@ -23,6 +27,7 @@ columns are ignored by `components_of` and kept by `dedup`; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,10 @@ from lexiforge.llm._shared import components, saved
 SEED = 42
 #: A bucket with more different fingerprints goes another exact way.
 BUCKET = 4096
+#: Texts of a bucket that one task compares at most; a larger bucket is dealt in blocks of about this size.
+BLOCK = 1024
+#: Random texts of a large bucket that all its texts are compared with.
+PIVOTS = 12
 #: Hashes whose bits are unpacked at once, whatever a text's length.
 CHUNK = 1 << 14
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -208,10 +217,14 @@ def links(fps: np.ndarray, groups: np.ndarray, radius: int) -> list[tuple[int, i
 
 
 def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) between nodes of the same key whose fingerprints link. rows: key long, node long, fp array<long>."""
+    """Edges (a, b) between nodes of the same key whose fingerprints link.
+
+    rows: key long, node long, fp array<long>, open int. Nodes with open = 0 are known to be connected in their key:
+    they come first, so that components keep one of them as their top, and get no edges of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def flush(key: np.ndarray, node: np.ndarray, fp: np.ndarray, free: np.ndarray) -> pa.RecordBatch:
             out = []
             cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             at = 0
@@ -219,12 +232,12 @@ def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
                 if k + 1 < len(cuts) and cuts[k + 1] - cuts[at] <= 256:
                     continue
                 lo, hi = cuts[at], cuts[k]
-                out += [(node[lo + i], node[lo + j]) for i, j in links(fp[lo:hi], key[lo:hi], radius)]
+                out += [(node[lo + i], node[lo + j]) for i, j in links(fp[lo:hi], key[lo:hi], radius) if free[lo + i]]
                 at = k
             a, b = zip(*out, strict=True) if out else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        key, node, fp = np.empty(0, np.int64), np.empty(0, np.int64), None
+        key, node, fp, free = np.empty(0, np.int64), np.empty(0, np.int64), None, np.empty(0, np.int32)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -232,22 +245,82 @@ def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
             key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
             node = np.concatenate([node, batch.column(1).to_numpy(zero_copy_only=False)])
             fp = more if fp is None else np.concatenate([fp, more])
+            free = np.concatenate([free, batch.column(3).to_numpy(zero_copy_only=False)])
             done = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if done:
-                yield flush(key[:done], node[:done], fp[:done])
-                key, node, fp = key[done:], node[done:], fp[done:]
+                yield flush(key[:done], node[:done], fp[:done], free[:done])
+                key, node, fp, free = key[done:], node[done:], fp[done:], free[done:]
         if len(key):
-            yield flush(key, node, fp)
+            yield flush(key, node, fp, free)
 
-    dealt = rows.select("key", "node", "fp").repartition("key").sortWithinPartitions("key", "node")
+    dealt = rows.select("key", "node", "fp", "open").repartition("key").sortWithinPartitions("key", "open", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _common(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """keyed without its lonely rows: those of keys up to BUCKET nodes, and those of larger ones."""
+def _common(keyed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """keyed without its lonely rows, with n, the nodes of its key: those of keys up to `most` nodes, and those of larger ones."""
     count = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = saved(keyed.join(count, "key"), "met")
-    return met.where(F.col("n") <= BUCKET).drop("n"), met.where(F.col("n") > BUCKET).drop("n")
+    return met.where(F.col("n") <= most), met.where(F.col("n") > most)
+
+
+# --- large buckets ----------------------------------------------------------------------------------------
+
+
+def _main_classes(masks: DataFrame) -> DataFrame:
+    """key, n, main (the bits of the pivots of the largest class), rest (nodes outside of it). masks: key, n, mask, c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            main, rest = [], []
+            for own in batch.column(2).to_pylist():
+                classes: list[tuple[int, int]] = []
+                for mask, c in ((x["mask"], x["c"]) for x in own if x["mask"]):
+                    met = [x for x in classes if x[1] & mask]
+                    for x in met:
+                        c, mask = c + x[0], mask | x[1]
+                    classes = [x for x in classes if x not in met] + [(c, mask)]
+                most, bits = max(classes, default=(0, 0))
+                main.append(bits)
+                rest.append(sum(x["c"] for x in own) - most)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(main, pa.int32()), pa.array(rest, pa.int64())], names=["key", "n", "main", "rest"])
+
+    whole = masks.groupBy("key", "n").agg(F.collect_list(F.struct("mask", "c")).alias("own"))  # 2 ** PIVOTS at most
+    return whole.mapInArrow(run, "key long, n long, main int, rest long")
+
+
+def settle(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Of large buckets' rows (key, node, fp, n, ...): edges that connect each one's main class, and its rows where any is left.
+
+    The latter have salt (a block), rest (nodes outside of the main class) and open (1: such a node). Pivots are the
+    nodes of the lowest hashes, so that buckets with much the same nodes make much the same edges.
+    """
+    blocks = f"cast(ceil(n / {BLOCK}D) AS int)"
+    each = F.explode(F.expr(f"sequence(0, {blocks} - 1)")).alias("salt")
+    salted = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(node, 'salt'), {blocks}) AS int)"))
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "fp")).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = rows.groupBy("key", "n").agg(*least)
+    pivots = pivots.select("key", each, F.array_distinct(F.array(*(F.struct(f"p{i}.node", f"p{i}.fp") for i in range(PIVOTS)))).alias("pivots"))
+    apart = "aggregate(zip_with(fp, p.fp, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    bits = f"aggregate(transform(pivots, (p, i) -> if({apart} <= {radius}, shiftleft(1, i), 0)), 0, (s, x) -> s | x)"
+    near = salted.join(pivots, ["key", "salt"]).select(*salted.columns, F.expr(bits).alias("mask"), F.expr("transform(pivots, p -> p.node)").alias("pivots"))
+    near = saved(near.withColumn("pivot", F.expr("if(mask = 0, NULL, pivots[bit_count((mask & -mask) - 1)])")), "near")
+    masks = saved(near.groupBy("key", "n", "mask", "pivot").agg(F.count("*").alias("c"), F.min("pivots").alias("pivots")), "masks")
+    between = masks.select(F.explode(F.expr("filter(pivots, (p, i) -> (shiftright(mask, i) & 1) = 1)")).alias("a"), F.col("pivot").alias("b"))
+    edges = near.where("mask <> 0").select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(between)
+    main = _main_classes(masks).where("rest > 0").select("key", each, "main", "rest")
+    left = near.join(main, ["key", "salt"]).withColumn("open", F.expr("if((mask & main) = 0, 1, 0)"))
+    return edges, left.drop("mask", "pivot", "pivots", "main")
+
+
+def grid(rows: DataFrame) -> DataFrame:
+    """key, node, fp, open: settled rows dealt so that each open one meets every other row of its bucket, block by block."""
+    here = f"cast(ceil(rest / {BLOCK}D) AS int)"
+    there = f"cast(ceil(n / {BLOCK}D) AS int)"
+    every = rows.select("key", "node", "fp", "open", F.explode(F.expr(f"sequence(0, {here} - 1)")).alias("i"), F.col("salt").alias("j"))
+    mine = F.expr(f"cast(pmod(xxhash64(node, 'open'), {here}) AS int)").alias("i")
+    free = rows.where("open = 1").select("key", "node", "fp", "open", mine, F.explode(F.expr(f"sequence(0, {there} - 1)")).alias("j"))
+    return every.union(free).select(F.xxhash64("key", "i", "j").alias("key"), "node", "fp", "open")
 
 
 # --- links ------------------------------------------------------------------------------------------------
@@ -259,20 +332,27 @@ def link_radius(fps: DataFrame) -> DataFrame:
     pairs = [(i, j) for i in range(4) for j in range(i)]
     keys = ", ".join(f"xxhash64({k}, {part[i]}, {part[j]})" for k, (i, j) in enumerate(pairs))
     keyed = fps.select("node", F.array("node").alias("fp"), F.explode(F.expr(f"array({keys})")).alias("key"))
-    few, many = _common(keyed.select("key", "node", "fp"))
+    few, many = _common(keyed.select("key", "node", "fp"), BUCKET)
     ball = many.select("node").distinct().select("node", F.explode(F.expr("concat(array(node), transform(sequence(0, 63), i -> node ^ shiftleft(1L, i)))")).alias("point"))
     near = ball.select(F.col("node").alias("a"), F.col("point").alias("b")).where("a <> b")
-    return bucket_links(few, 2).unionByName(near)
+    return bucket_links(few.withColumn("open", F.lit(1)), 2).unionByName(near)
 
 
 def link_similar(sigs: DataFrame, radius: int, first: int, further: int) -> DataFrame:
     """Edges (a, b) of similar texts. sigs: node, fp, keys (first + further min-hashes), one row a node."""
     keyed = sigs.select("node", "fp", "keys", F.posexplode(F.slice("keys", 1, first)).alias("pos", "h"))
     keyed = keyed.select(F.expr("xxhash64(pos, h)").alias("key"), "node", "fp", "keys")
-    few, many = _common(keyed)
-    again = many.select("key", "node", "fp", F.posexplode(F.slice("keys", first + 1, further)).alias("pos", "h"))
-    again = again.select(F.expr("xxhash64(key, pos, h)").alias("key"), "node", "fp")
-    return bucket_links(few.select("key", "node", "fp").union(again), radius)
+    few, many = _common(keyed, BLOCK)
+    few = few.select("key", "node", "fp", F.lit(1).alias("open"))
+    if many.isEmpty():
+        return bucket_links(few, radius)
+    one, left = settle(many, radius)
+    again = left.where(f"rest > {BLOCK}").select(F.col("key").alias("of"), "node", "fp", "open", F.posexplode(F.slice("keys", first + 1, further)).alias("pos", "h"))
+    small, large = _common(again.select(F.xxhash64("of", "pos", "h").alias("key"), "node", "fp", "open"), BLOCK)
+    two, rest = settle(large.drop("open"), radius)
+    met = [few, small.select("key", "node", "fp", "open")]
+    met += [grid(left.where(f"rest <= {BLOCK}")), grid(rest)]
+    return bucket_links(reduce(DataFrame.union, met), radius).union(one).union(two)
 
 
 # --- the operator -----------------------------------------------------------------------------------------
@@ -313,4 +393,4 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     return kept.drop("__tkey")
 
 
-__all__ = ["components_of", "dedup", "fingerprints", "link_radius", "link_similar"]
+__all__ = ["components_of", "dedup", "fingerprints", "grid", "link_radius", "link_similar", "settle"]

@@ -91,3 +91,33 @@ def test_near_copies_go_and_others_stay(spark):
     rows += [(100 + k, " ".join(f"{w}{k}" for w in cases.prose(300, k).split()) + " " + " ".join(words[:60]), "en", "a", 1) for k in range(20)]
     kept = {r.doc_id for r in simhash.dedup(cases.frame(spark, rows)).collect()}
     assert kept == {1, *range(100, 120)}
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """All links of a bucket, found by blocks, against union over all pairs."""
+    from lexiforge.llm._shared import components
+
+    rng = np.random.default_rng(7)
+    spread = rng.integers(0, 2**64, (40, 4), dtype=np.uint64)
+    families = [(260, 0.05), (120, 0.13), (30, 0.1)] + [(3, 0.08)] * 30
+    fps = []
+    for base, (size, noise) in zip(spread, families, strict=False):
+        flips = (rng.random((size, 256)) < noise).astype(np.uint8)
+        fps.append(base ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64))
+    fps = np.concatenate(fps)
+    radius = 52
+    near = np.bitwise_count(fps[:, None, :] ^ fps[None, :, :]).sum(axis=2) <= radius
+    sets = simhash._Sets(len(fps))
+    for a, b in zip(*np.nonzero(near), strict=True):
+        sets.join(int(a), int(b))
+    want = sorted(sets.top(i) for i in range(len(fps)))
+    want = sorted(want.count(t) for t in set(want))
+    # all share the first six min-hashes; of the further four, all or half of them
+    rows = [(i + 1, [int(x) for x in f.view(np.int64)], [0] * 6 + [i % 2, 0, 0, 0]) for i, f in enumerate(fps)]
+    sigs = spark.createDataFrame(rows, "node long, fp array<long>, keys array<long>")
+    for block, pivots in ((4096, 12), (64, 12), (64, 2), (600, 1)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "PIVOTS", pivots)
+        got = components(simhash.link_similar(sigs, radius, 6, 4)).groupBy("component").count().collect()
+        sizes = sorted(r["count"] for r in got if r["count"] > 1)
+        assert sizes == [x for x in want if x > 1], (block, pivots)
