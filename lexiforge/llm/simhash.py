@@ -16,7 +16,7 @@ Two ways to buckets:
   linear time. A bucket of more than `BLOCK` texts is settled by many tasks (`settle`): each text links to the
   first of `PIVOTS` random ones that it is near to, texts near to several pivots connect these, and the largest
   class of connected pivots needs no more comparison inside it. Texts outside of that class meet all texts of
-  the bucket in a grid of blocks (`grid`); where they are more than `BLOCK`, four further min-hashes split the
+  the bucket in a grid of blocks (`grid`); where they are more than `BUCKET`, four further min-hashes split the
   bucket first. No task holds more than two blocks.
 
 Rows: a null text is an empty one. A text without words has fingerprint zero and links like any other; one
@@ -347,11 +347,11 @@ def link_similar(sigs: DataFrame, radius: int, first: int, further: int) -> Data
     if many.isEmpty():
         return bucket_links(few, radius)
     one, left = settle(many, radius)
-    again = left.where(f"rest > {BLOCK}").select(F.col("key").alias("of"), "node", "fp", "open", F.posexplode(F.slice("keys", first + 1, further)).alias("pos", "h"))
+    again = left.where(f"rest > {BUCKET}").select(F.col("key").alias("of"), "node", "fp", "open", F.posexplode(F.slice("keys", first + 1, further)).alias("pos", "h"))
     small, large = _common(again.select(F.xxhash64("of", "pos", "h").alias("key"), "node", "fp", "open"), BLOCK)
     two, rest = settle(large.drop("open"), radius)
     met = [few, small.select("key", "node", "fp", "open")]
-    met += [grid(left.where(f"rest <= {BLOCK}")), grid(rest)]
+    met += [grid(left.where(f"rest <= {BUCKET}")), grid(rest)]
     return bucket_links(reduce(DataFrame.union, met), radius).union(one).union(two)
 
 

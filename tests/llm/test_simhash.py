@@ -115,9 +115,10 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     # all share the first six min-hashes; of the further four, all or half of them
     rows = [(i + 1, [int(x) for x in f.view(np.int64)], [0] * 6 + [i % 2, 0, 0, 0]) for i, f in enumerate(fps)]
     sigs = spark.createDataFrame(rows, "node long, fp array<long>, keys array<long>")
-    for block, pivots in ((4096, 12), (64, 12), (64, 2), (600, 1)):
+    for block, pivots, bucket in ((4096, 12, 4096), (64, 12, 4096), (64, 2, 100), (64, 1, 64), (600, 1, 64)):
         monkeypatch.setattr(simhash, "BLOCK", block)
         monkeypatch.setattr(simhash, "PIVOTS", pivots)
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
         got = components(simhash.link_similar(sigs, radius, 6, 4)).groupBy("component").count().collect()
         sizes = sorted(r["count"] for r in got if r["count"] > 1)
-        assert sizes == [x for x in want if x > 1], (block, pivots)
+        assert sizes == [x for x in want if x > 1], (block, pivots, bucket)
