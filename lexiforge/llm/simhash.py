@@ -15,9 +15,8 @@ Two ways to buckets:
   of 0.8 shares one with a chance of 0.99994. Inside a bucket, links to a pivot settle a family of copies in
   linear time. A bucket of more than `BLOCK` texts is settled by many tasks (`settle`): each text links to the
   first of `PIVOTS` random ones that it is near to, texts near to several pivots connect these, and the largest
-  class of connected pivots needs no more comparison inside it. Texts outside of that class meet all texts of
-  the bucket in a grid of blocks (`grid`); where they are more than `BUCKET`, four further min-hashes split the
-  bucket first. No task holds more than two blocks.
+  class of connected pivots needs no more comparison inside it. Texts outside of that class, however many, meet
+  all texts of the bucket in a grid of blocks (`grid`). No task holds more than two blocks.
 
 Rows: a null text is an empty one. A text without words has fingerprint zero and links like any other; one
 with fewer words than a shingle has a single shingle. Null ids are kept, and so are repeated ones. Extra
@@ -27,7 +26,6 @@ columns are ignored by `components_of` and kept by `dedup`; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -338,21 +336,16 @@ def link_radius(fps: DataFrame) -> DataFrame:
     return bucket_links(few.withColumn("open", F.lit(1)), 2).unionByName(near)
 
 
-def link_similar(sigs: DataFrame, radius: int, first: int, further: int) -> DataFrame:
-    """Edges (a, b) of similar texts. sigs: node, fp, keys (first + further min-hashes), one row a node."""
-    keyed = sigs.select("node", "fp", "keys", F.posexplode(F.slice("keys", 1, first)).alias("pos", "h"))
-    keyed = keyed.select(F.expr("xxhash64(pos, h)").alias("key"), "node", "fp", "keys")
+def link_similar(sigs: DataFrame, radius: int, first: int, further: int = 0) -> DataFrame:
+    """Edges (a, b) of similar texts. sigs: node, fp, keys (min-hashes; those after `first` aren't read), one row a node."""
+    keyed = sigs.select("node", "fp", F.posexplode(F.slice("keys", 1, first)).alias("pos", "h"))
+    keyed = keyed.select(F.expr("xxhash64(pos, h)").alias("key"), "node", "fp")
     few, many = _common(keyed, BLOCK)
     few = few.select("key", "node", "fp", F.lit(1).alias("open"))
     if many.isEmpty():
         return bucket_links(few, radius)
-    one, left = settle(many, radius)
-    again = left.where(f"rest > {BUCKET}").select(F.col("key").alias("of"), "node", "fp", "open", F.posexplode(F.slice("keys", first + 1, further)).alias("pos", "h"))
-    small, large = _common(again.select(F.xxhash64("of", "pos", "h").alias("key"), "node", "fp", "open"), BLOCK)
-    two, rest = settle(large.drop("open"), radius)
-    met = [few, small.select("key", "node", "fp", "open")]
-    met += [grid(left.where(f"rest <= {BUCKET}")), grid(rest)]
-    return bucket_links(reduce(DataFrame.union, met), radius).union(one).union(two)
+    settled, left = settle(many, radius)
+    return bucket_links(few.union(grid(left)), radius).union(settled)
 
 
 # --- the operator -----------------------------------------------------------------------------------------
@@ -376,12 +369,12 @@ def components_of(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """docs less its near copies: of each group, the row with the smallest doc_id stays (null ids last)."""
-    first, further = 6, 4
+    first = 6
     radius = int(64 * words * np.arccos(similarity) / np.pi)
     keyed = docs.withColumn("__tkey", F.xxhash64("text"))
-    rows = saved(fingerprints(keyed, shingle, words, first + further, ("__tkey",)).withColumnRenamed("same", "node"), "signatures")
+    rows = saved(fingerprints(keyed, shingle, words, first, ("__tkey",)).withColumnRenamed("same", "node"), "signatures")
     sigs = rows.groupBy("node").agg(F.min(F.struct("fp", "keys")).alias("s")).select("node", "s.fp", "s.keys")
-    edges = link_similar(sigs, radius, first, further)
+    edges = link_similar(sigs, radius, first)
     joined = saved(rows.select("node").distinct().join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "groups")
     stay = rows.select("doc_id", "__tkey", "node").join(joined, "node").groupBy("component")
     stay = stay.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__tkey")).alias("s")).select("s.doc_id", "s.__tkey")

@@ -122,3 +122,19 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         got = components(simhash.link_similar(sigs, radius, 6, 4)).groupBy("component").count().collect()
         sizes = sorted(r["count"] for r in got if r["count"] > 1)
         assert sizes == [x for x in want if x > 1], (block, pivots, bucket)
+
+
+def test_many_texts_outside_of_the_main_class_lose_no_link(spark, monkeypatch):
+    """A bucket with more outside texts than BUCKET, whose further min-hashes have nothing in common."""
+    from lexiforge.llm._shared import components
+
+    rng = np.random.default_rng(11)
+    flips = (rng.random((150, 2, 256)) < 0.07).astype(np.uint8)
+    pairs = rng.integers(0, 2**64, (150, 1, 4), dtype=np.uint64) ^ np.packbits(flips, axis=2, bitorder="little").view(np.uint64)
+    near = np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]).sum(axis=1) <= 52
+    rows = [(i + 1, [int(x) for x in f.view(np.int64)], [0] * 6 + rng.integers(0, 2**62, 4).tolist()) for i, f in enumerate(pairs.reshape(-1, 4))]
+    sigs = spark.createDataFrame(rows, "node long, fp array<long>, keys array<long>")
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    monkeypatch.setattr(simhash, "BUCKET", 64)
+    got = components(simhash.link_similar(sigs, 52, 6, 4)).groupBy("component").count().collect()
+    assert sorted(r["count"] for r in got if r["count"] > 1) == [2] * int(near.sum())
