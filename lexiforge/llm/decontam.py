@@ -8,12 +8,15 @@ step again soon, so that few edits mean few differing symbols (Hamming distance)
 Each word start of a text begins an item-sized window, and each word of an item is an anchor of the window
 that holds it: a walk that starts at the k-th word of an item meets the walk that starts at the k-th word of
 its copy. So one walk from each word start of a document serves the windows of all items and all their
-anchors. A repetition samples `SAMPLES` of the first `STEPS` symbols of its walks as the key of a hash table;
-a key whose first `EARLY` symbols no item has is abandoned there. `REPEATS` repetitions, each with a random
-walk and sample of its own, find a copy if any anchor agrees in any of them. What they find is verified: the
-least edit distance between the item and any part of its window must be at most `MOST` of the item's length.
-
-Measured on benchmark items with random edits of characters: see README. An item of fewer than `SHORT`
+anchors. A repetition samples some of the first steps of its walks as the key of a hash table; a key whose
+first few symbols no item has is abandoned there. Repetitions, each with a random walk and sample of its own,
+find a copy if any anchor agrees in any of them. What they find is verified: the least edit distance between
+the item and any part of its window must be at most `MOST` of the item's length. Before that, a lower bound of
+it (the sum over the item's pieces of 64 characters) is taken for many candidates at once.
+
+The target is a recall of `RECALL` at `MOST` edits for the shortest items of each of the `CLASSES`, whose steps,
+samples and repetitions are the cheapest tried that reach it on benchmark items with random edits of characters:
+see README. An item of fewer than `SHORT`
 characters counts only as a whole, word for word; one without words never does.
 
 Items are taken in blocks of `BLOCK` characters at most, which bounds what is broadcast. Long texts are read in
@@ -31,11 +34,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-STEPS, SAMPLES, EARLY, REPEATS = 60, 18, 9, 3
 MOST = 0.2
 SHORT = 40
+RECALL = 0.95
+#: Least characters of an item, steps, samples, samples of an early key, repetitions.
+CLASSES = ((80, 30, 12, 6, 8), (SHORT, 20, 10, 6, 10))
+REACH = max(c[1] for c in CLASSES)
 BLOCK = 8 << 20
-PIECE = 1 << 21
+PIECE = 1 << 18
 SEED = 5
 #: Bits of the table that says which early keys any item has.
 TABLE = 22
@@ -79,12 +85,12 @@ def word_starts(own: np.ndarray) -> np.ndarray:
 
 
 @cache
-def walks() -> list[tuple[np.ndarray, list[int]]]:
+def walks(steps: int, samples: int, repeats: int) -> list[tuple[np.ndarray, list[int]]]:
     """For each repetition, the bits of its walk (step, symbol) and the steps that it samples."""
     out = []
-    for r in range(REPEATS):
-        rng = np.random.default_rng([SEED, r])
-        out.append((rng.integers(0, 2, (STEPS, 32)).astype(np.int32), sorted(rng.choice(STEPS, SAMPLES, replace=False).tolist())))
+    for r in range(repeats):
+        rng = np.random.default_rng([SEED, steps, r])
+        out.append((rng.integers(0, 2, (steps, 32)).astype(np.int32), sorted(rng.choice(steps, samples, replace=False).tolist())))
     return out
 
 
@@ -95,26 +101,27 @@ def early_slot(key: np.ndarray) -> np.ndarray:
     return ((key * ODD) >> np.uint64(64 - TABLE)).astype(np.int64)
 
 
-def keys_of(own: np.ndarray, starts: np.ndarray, r: int, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def keys_of(own: np.ndarray, starts: np.ndarray, kind: int, r: int, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the walks from starts, which starts they are, where the walks ended, and the early keys.
 
-    own must go on for STEPS symbols after the last start. known: a table of early slots; others are abandoned.
+    kind: a number of CLASSES. own must go on for its steps after the last start. known: a table of early slots; others are abandoned.
     """
-    moves, sample = walks()[r]
+    _, steps, samples, first, repeats = CLASSES[kind]
+    moves, sample = walks(steps, samples, repeats)[r]
     pos, which = starts.astype(np.int32), np.arange(len(starts))
     key, early = np.zeros(len(starts), np.uint64), np.empty(0, np.uint64)
     took = 0
-    for t in range(STEPS):
+    for t in range(steps):
         seen = own.take(pos, mode="clip")
         if t == sample[took]:
             key = (key << np.uint64(5) if took < 12 else key * ODD) + seen
             took += 1
-            if took == EARLY:
+            if took == first:
                 early = key
                 if known is not None:
                     live = known.take(early_slot(key), mode="clip")
                     pos, which, key, early, seen = pos[live], which[live], key[live], key[live], seen[live]
-            if took == SAMPLES:
+            if took == samples:
                 break
         pos += moves[t].take(seen, mode="clip")
     return key, which, pos, early
@@ -132,21 +139,31 @@ class Index:
             self.items.append((i, text, int(most * len(text))))
         self.longest = max((len(t) for _, t, _ in self.items), default=0)
         self.short = [k for k, (_, t, _) in enumerate(self.items) if 0 < len(t) < SHORT]
-        padded = np.concatenate([own, np.zeros(STEPS + 1, np.uint8)])
+        padded = np.concatenate([own, np.zeros(REACH + 1, np.uint8)])
         starts = word_starts(padded) if len(own) else np.empty(0, np.int64)
         owner = np.searchsorted(at, starts, side="right") - 1
         size = np.array([len(t) for _, t, _ in self.items], np.int64)
         first = at + 1  # of an item's text
-        use = size[owner] >= SHORT if len(starts) else np.empty(0, bool)
-        starts, owner = starts[use], owner[use]
         self.tables = []
-        for r in range(REPEATS):
-            key, _, pos, early = keys_of(padded, starts, r, None)
-            inside = pos < (first + size)[owner] if len(starts) else np.empty(0, bool)
-            known = np.zeros(1 << TABLE, bool)
-            known[early_slot(early[inside])] = True
-            order = np.argsort(key[inside], kind="stable")
-            self.tables.append((known, key[inside][order], owner[inside][order], (starts - first[owner])[inside][order]))
+        for kind, (least, _, _, _, repeats) in enumerate(CLASSES):
+            below = CLASSES[kind - 1][0] if kind else self.longest + 1
+            use = (size[owner] >= least) & (size[owner] < below)
+            mine, whose = starts[use], owner[use]
+            for r in range(repeats if len(mine) else 0):
+                key, _, pos, early = keys_of(padded, mine, kind, r, None)
+                inside = pos < (first + size)[whose]
+                known = np.zeros(1 << TABLE, bool)
+                known[early_slot(early[inside])] = True
+                order = np.argsort(key[inside], kind="stable")
+                self.tables.append((kind, r, known, key[inside][order], whose[inside][order], (mine - first[whose])[inside][order]))
+        self.most = np.array([m for _, _, m in self.items], np.int64)
+        self.pieces = -(-size // 64)
+        self.first_piece = np.cumsum(self.pieces) - self.pieces
+        self.offset = np.concatenate([np.arange(0, n, 64) for n in size.tolist()] or [size])
+        self.width = np.concatenate([np.minimum(64, n - np.arange(0, n, 64)) for n in size.tolist()] or [size])
+        self.equal = np.zeros((len(self.offset), 32), np.uint64)
+        for row, (lo, n) in enumerate(zip((np.repeat(first, self.pieces) + self.offset).tolist(), self.width.tolist(), strict=True)):
+            np.bitwise_or.at(self.equal[row], own[lo : lo + n], np.uint64(1) << np.arange(n, dtype=np.uint64))
 
 
 # --- verification -----------------------------------------------------------------------------------------
@@ -178,28 +195,69 @@ def infix_distance(item: str, window: str) -> int:
     return best
 
 
+def least_distances(index: Index, own: np.ndarray, owner: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance of each candidate (item, where it would start in own).
+
+    The pieces of an item lie apart, so their least distances add up to no more than the item's.
+    """
+    count = index.pieces[owner]
+    which = np.repeat(np.arange(len(owner)), count)
+    piece = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + index.first_piece[owner][which]
+    most = index.most[owner][which]
+    out = np.zeros(len(owner), np.int64)
+    order = np.argsort(most, kind="stable")
+    one = np.uint64(1)
+    for at in range(0, len(order), 4096):
+        rows = order[at : at + 4096]
+        own_piece, slack = piece[rows], int(most[rows[-1]])
+        lo = start[which[rows]] + index.offset[own_piece] - slack - 8
+        width = index.width[own_piece]
+        shift = (width - 1).astype(np.uint64)
+        up, down = np.full(len(rows), 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(len(rows), np.uint64)
+        score, best = width.copy(), width.copy()
+        for col in range(64 + 2 * slack + 24):
+            m = index.equal[own_piece, own.take(lo + col, mode="clip")]
+            x = (((m & up) + up) ^ up) | m | down
+            plus, minus = down | ~(x | up), up & x
+            score += ((plus >> shift) & one).astype(np.int64) - ((minus >> shift) & one).astype(np.int64)
+            np.minimum(best, score, out=best)
+            plus, minus, y = plus << one, minus << one, m | down
+            up, down = minus | ~(y | plus), plus & y
+        np.add.at(out, which[rows], best)
+    return out
+
+
+def candidates(index: Index, padded: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, item, where it would start, in steps of 8) of what any repetition finds and the lower bound lets pass."""
+    starts = word_starts(padded)
+    met = [np.empty((0, 3), np.int64)]
+    for kind, r, known, keys, owner, offset in index.tables:
+        if not len(keys) or not len(starts):
+            continue
+        key, which, _, _ = keys_of(padded, starts, kind, r, known)
+        lo = np.searchsorted(keys, key, "left")
+        same = keys.take(lo, mode="clip") == key
+        key, which, lo = key[same], which[same], lo[same]
+        count = np.searchsorted(keys, key, "right") - lo
+        entry = np.arange(int(count.sum())) + np.repeat(lo - (np.cumsum(count) - count), count)
+        here = starts[np.repeat(which, count)]
+        text = np.searchsorted(at, here, side="right") - 1
+        met.append(np.unique(np.stack([text, owner[entry], (here - offset[entry]) // 8 * 8], axis=1), axis=0))
+    every = np.unique(np.concatenate(met), axis=0)
+    near = least_distances(index, padded, every[:, 1], every[:, 2]) <= index.most[every[:, 1]]
+    return [tuple(x) for x in every[near].tolist()]
+
+
 def found(index: Index, texts: list[str]) -> list[tuple[int, int, int]]:
     """(text, item, edit distance) of each text that holds an item."""
     points, own, at = normalised(texts)
     if not len(points):
         return []
-    hits: set[tuple[int, int, int]] = set()
-    padded = np.concatenate([own, np.zeros(STEPS + 1, np.uint8)])
-    starts = word_starts(padded)
-    for r, (known, keys, owner, offset) in enumerate(index.tables):
-        if not len(keys) or not len(starts):
-            continue
-        key, which, _, _ = keys_of(padded, starts, r, known)
-        lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-        for j in np.flatnonzero(hi > lo):
-            here = int(starts[which[j]])
-            for e in range(lo[j], hi[j]):
-                hits.add((int(owner[e]), (here - int(offset[e])) // 8 * 8, here))
+    padded = np.concatenate([own, np.zeros(REACH + 1, np.uint8)])
     out: dict[tuple[int, int], int] = {}
     tried: dict[tuple[int, int], list[int]] = {}
-    text_of = np.searchsorted(at, np.array([h[2] for h in hits], np.int64), side="right") - 1
     ends = [*at[1:].tolist(), len(points)]
-    for (k, start, _), t in sorted(zip(hits, text_of.tolist(), strict=True), key=lambda x: (x[1], x[0])):
+    for t, k, start in candidates(index, padded, at):
         if (t, k) in out:
             continue
         _, item, most = index.items[k]

@@ -73,3 +73,37 @@ def test_planted_passages(spark):
     texts = {r.item_id: plain(r.text) for r in items.collect()}
     want = {(d.doc_id, i) for d in docs.collect() for i, t in texts.items() if t in plain(d.text)}
     assert want and want <= {(r.doc_id, r.item_id) for r in decontam.matches(docs, items).collect()}
+
+
+def test_recall_at_the_radius_by_item_length(spark):
+    """Copies edited up to the radius, and items cut short: the target recall for each length."""
+    rng = random.Random(4)
+    rows = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()
+    for size in (40, 60, 81, 110, 10**6):
+        items = []
+        for r in rows:
+            text = decontam.normalised([r.text])[0].astype("<u4").tobytes().decode("utf-32-le").strip()[:size].strip()
+            if len(text) >= min(size, 110):
+                items.append((r.item_id, text))
+        index = decontam.Index(items, decontam.MOST)
+        for share in (0.15, 0.2):
+            copies = []
+            for i, text in items:
+                most = int(share * len(text))
+                tries = (edit(text, share, rng) for _ in range(200))
+                copies += [(i, e) for e in tries if most - 1 <= decontam.infix_distance(text, e) <= most][:1]
+            got = decontam.scan(index, [f"{cases.prose(20, i)} {e} {cases.prose(20, i + 1)}" for i, e in copies])
+            known = sum(i in {items[k][0] for k in own} for (i, _), own in zip(copies, got, strict=True))
+            print(size, share, len(copies), round(known / len(copies), 3))
+            assert len(copies) > 50 and known >= 0.95 * len(copies), (size, share)
+
+
+def test_lower_bound_is_one(spark):
+    rng = random.Random(6)
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()[:40]]
+    index = decontam.Index(items, decontam.MOST)
+    for k, (_, text, most) in enumerate(index.items):
+        points, own, _ = decontam.normalised([f"{cases.prose(5, k)} {edit(text, rng.choice((0.1, 0.2, 0.3)), rng)} {cases.prose(5, k)}"])
+        start = len(decontam.normalised([cases.prose(5, k)])[0]) // 8 * 8
+        window = points[max(0, start - most - 8) : start + len(text) + most + 16].astype("<u4").tobytes().decode("utf-32-le")
+        assert decontam.least_distances(index, own, decontam.np.array([k]), decontam.np.array([start]))[0] <= decontam.infix_distance(text, window)
