@@ -1,8 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 The base layer is the text. A worklist unwraps each layer: URL escapes and Unicode escapes are replaced where
-they stand, and runs of base64 become layers of their own, inflated first if they hold zlib or gzip data. Each
-new layer is scanned and unwrapped again until nothing new comes; a layer whose content has been seen at the
+they stand, and runs of base64, also those wrapped over lines of equal length, become layers of their own,
+inflated first if they hold zlib or gzip data. What isn't UTF-8 is replaced, and the rest scanned; bytes with NULs
+are read as UTF-16, too. Each new layer is scanned and unwrapped again until nothing new comes; a layer whose content has been seen at the
 same place ends there, so a cycle does too. Each layer carries, for each of its characters, the part of the
 text that it came from, and what is found is reported at that part.
 
@@ -12,17 +13,17 @@ repeated.
 
 A null text is an empty one. Null and repeated ids stay. Extra columns are ignored; an empty table gives an
 empty table. One layer inflates to `INFLATED` bytes at most; more than that is not a secret but an archive,
-and what comes before that point is scanned.
+and what comes before that point is scanned. Layers are worked depth first.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,11 @@ LAYERS = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]{2}|[A-Za-z0-9+/_-]{16}"
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})")
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: A layer without any of these holds neither a secret nor a layer.
+WORTH = re.compile("|".join(f"(?:{x.replace('(?i)', '')})" for x in (*SIGNS.values(), LAYERS)), re.IGNORECASE)
+MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 INFLATED = 16 << 20
 
 Span = tuple[int, int, int]
@@ -59,28 +65,45 @@ def scan(text: str, kinds: tuple[str, ...] = KINDS) -> list[Span]:
     return out
 
 
-def _readable(raw: bytes) -> str | None:
-    """raw as text, inflated if it is compressed; None if it is neither."""
-    if raw[:2] in (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"):
-        try:
-            raw = zlib.decompressobj(47).decompress(raw, INFLATED)
-        except zlib.error:
-            return None
-        text = raw.decode("utf-8", "ignore")
-    else:
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+def _inflated(raw: bytes) -> bytes:
+    try:
+        return zlib.decompressobj(47).decompress(raw, INFLATED)
+    except zlib.error:
+        return b""
+
+
+def _texts(raw: bytes) -> Iterator[str]:
+    """What raw may say, as it stands and inflated."""
+    for piece in (raw, _inflated(raw) if raw[:2] in MAGIC else b""):
+        yield piece.decode("utf-8", "replace")
+        if b"\0" in piece:
+            yield piece.decode("utf-16-le", "replace")
+            yield piece.decode("utf-16-be", "replace")
 
 
-def _blob(found: str) -> str | None:
+def _blob(found: str) -> Iterator[str]:
     body = found.rstrip("=").translate({45: 43, 95: 47})
-    try:
-        return _readable(base64.b64decode(body + "=" * (-len(body) % 4), validate=True))
-    except (binascii.Error, ValueError):
-        return None
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return (x for x in _texts(base64.b64decode(body + "=" * (-len(body) % 4))) if WORTH.search(x))
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run) of base64 over several lines: lines of equal length, with or without a line before and after."""
+    for m in WRAPPED.finditer(text):
+        lines = [(x.start(), x.end()) for x in LINE.finditer(text, m.start(), m.end())]
+        sizes = [b - a for a, b in lines]
+        if max(sizes) < 16:
+            continue
+        runs, p = {(0, len(lines) - 1)}, 0
+        while p < len(lines):
+            q = p
+            while q + 1 < len(lines) and sizes[q + 1] == sizes[p]:
+                q += 1
+            runs |= {(max(a, 0), min(b, len(lines) - 1)) for a in (p - 1, p) for b in (q, q + 1) if sizes[p] >= 16}
+            p = q + 1
+        for a, b in sorted(runs):
+            if a < b:
+                yield lines[a][0], lines[b][1], "".join(text[i:j] for i, j in lines[a : b + 1])
 
 
 class Layer:
@@ -115,29 +138,23 @@ class Layer:
             yield x
         if "\\" in self.text and (x := self.replaced(ESCAPE, _escape)):
             yield x
-        for m in BLOB.finditer(self.text):
-            text = _blob(m[0])
-            if text:
+        runs = ((m.start(), m.end(), m[0]) for m in BLOB.finditer(self.text))
+        for a, b, run in chain(runs, _wrapped(self.text) if "\n" in self.text else ()):
+            for text in _blob(run):
                 n = len(text)
-                yield Layer(text, np.full(n, self.lo[m.start()]), np.full(n, self.hi[m.end() - 1]))
+                yield Layer(text, np.broadcast_to(self.lo[a], n), np.broadcast_to(self.hi[b - 1], n))
 
 
-def _url(m: re.Match) -> list[tuple[str, int]] | None:
-    try:
-        text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return [(c, 3 * len(c.encode())) for c in text]
+def _url(m: re.Match) -> list[tuple[str, int]]:
+    text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
+    return [("\ufffd", 3) if 0xDC80 <= ord(c) <= 0xDCFF else (c, 3 * len(c.encode())) for c in text]
 
 
 def _escape(m: re.Match) -> list[tuple[str, int]] | None:
     if m[1]:
         units = bytes.fromhex(m[1].replace("\\u", ""))
-        try:
-            text = units.decode("utf-16-be")
-        except UnicodeDecodeError:
-            return None
-        return [(c, 12 if ord(c) > 0xFFFF else 6) for c in text]
+        text = units.decode("utf-16-be", "surrogatepass")
+        return [("\ufffd" if 0xD800 <= ord(c) < 0xE000 else c, 12 if ord(c) > 0xFFFF else 6) for c in text]
     code = int(m[2] or m[3] or m[4], 16)
     if code > 0x10FFFF or 0xD800 <= code < 0xE000:
         return None
@@ -148,17 +165,20 @@ def added(text: str) -> set[Span]:
     """What the layers of a text hold."""
     out: set[Span] = set()
     n = np.arange(len(text) + 1)
-    work, seen = [Layer(text, n[:-1], n[1:])], set()
+    work, seen = [Layer(text, n[:-1], n[1:]).unwrapped()], set()
     while work:
-        for layer in work.pop().unwrapped():
-            if not layer.text:
-                continue
-            key = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), int(layer.lo[0]), int(layer.hi[-1]))
-            if key in seen:
-                continue
-            seen.add(key)
-            work.append(layer)
-            out |= {(int(layer.lo[a]), k, int(layer.hi[b - 1])) for a, k, b in scan(layer.text)}
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if not layer.text:
+            continue
+        key = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), int(layer.lo[0]), int(layer.hi[-1]))
+        if key in seen:
+            continue
+        seen.add(key)
+        work.append(layer.unwrapped())
+        out |= {(int(layer.lo[a]), k, int(layer.hi[b - 1])) for a, k, b in scan(layer.text)}
     return out
 
 

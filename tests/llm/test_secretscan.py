@@ -57,3 +57,26 @@ def test_cycles_end_and_bad_layers_stay():
 def test_odd_rows(spark):
     assert s.findings(cases.frame(spark)).count() == len(cases.ROWS)
     assert s.findings(cases.empty(spark)).count() == 0
+
+
+def test_layers_with_odd_characters_are_scanned():
+    plain = "password=hunter2hunter2"
+    for odd in ("\xa0", "\ufeff", "\u200d", "\0", "\f", "\x1b[0m"):
+        for raw in ((odd + " " + plain).encode(), zlib.compress((plain + " " + odd).encode())):
+            blob = base64.b64encode(raw).decode()
+            assert f"assign:2:{2 + len(blob)}" in spans("x " + blob + " y"), odd
+    for raw in (b"\xff " + plain.encode(), plain.encode("utf-16"), plain.encode("utf-16-be")):
+        blob = base64.b64encode(raw).decode()
+        assert f"assign:2:{2 + len(blob)}" in spans("x " + blob + " y"), raw
+    assert spans("%FF%70assword=hunter2hunter2") == {"assign:3:28"}
+
+
+def test_wrapped_base64_is_joined():
+    plain = "some words before it and then the password=hunter2hunter2hunter2 with more after " * 2
+    for raw in (plain.encode(), zlib.compress(plain.encode()), gzip.compress(plain.encode())):
+        for width, end in ((76, "\n"), (64, "\r\n"), (20, "\n  ")):
+            blob = base64.b64encode(raw).decode()
+            lines = end.join(blob[i : i + width] for i in range(0, len(blob), width))
+            for before, after in (("x: ", "; y"), ("a-line-of-its-own-here\n", "\nNext")):
+                got = spans(before + lines + after)
+                assert f"assign:{len(before)}:{len(before) + len(lines.rstrip('='))}" in got or f"assign:{len(before)}:{len(before) + len(lines)}" in got, (width, before)
