@@ -12,8 +12,8 @@ secret is too short is dropped. A base span stays, whatever the layers add; an a
 repeated.
 
 A null text is an empty one. Null and repeated ids stay. Extra columns are ignored; an empty table gives an
-empty table. One layer inflates to `INFLATED` bytes at most; more than that is not a secret but an archive,
-and what comes before that point is scanned. Layers are worked depth first.
+empty table. What is inflated is read to its end, member after member, in pieces of about `INFLATED` bytes that
+overlap by `LAP`; a piece doesn't end inside a run that could be a layer. Layers are worked depth first.
 """
 
 from __future__ import annotations
@@ -47,7 +47,9 @@ LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 #: A layer without any of these holds neither a secret nor a layer.
 WORTH = re.compile("|".join(f"(?:{x.replace('(?i)', '')})" for x in (*SIGNS.values(), LAYERS)), re.IGNORECASE)
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
-INFLATED = 16 << 20
+INFLATED, LAP = 1 << 20, 1 << 12
+#: The last byte that can't belong to a run, an escape or a line end.
+BREAK = re.compile(rb"[^A-Za-z0-9+/_=%\\{}\x00\r\n\t-](?=[A-Za-z0-9+/_=%\\{}\x00\r\n\t-]*\Z)")
 
 Span = tuple[int, int, int]
 
@@ -65,16 +67,47 @@ def scan(text: str, kinds: tuple[str, ...] = KINDS) -> list[Span]:
     return out
 
 
-def _inflated(raw: bytes) -> bytes:
-    try:
-        return zlib.decompressobj(47).decompress(raw, INFLATED)
-    except zlib.error:
-        return b""
+def _inflated(raw: bytes) -> Iterator[bytes]:
+    """What raw's zlib or gzip members hold, as far as they are sound, in parts; then what follows them."""
+    while raw[:2] in MAGIC:
+        stream = zlib.decompressobj(47)
+        while True:
+            try:
+                part = stream.decompress(raw, INFLATED)
+            except zlib.error:
+                return
+            if part:
+                yield part
+            raw = stream.unconsumed_tail
+            if stream.eof or not (raw or part):
+                break
+        raw = stream.unused_data.lstrip(b"\0")
+    if raw:
+        yield raw
+
+
+def _pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
+    held = b""
+    fresh, goal = 0, INFLATED
+    for part in parts:
+        held += part
+        fresh += len(part)
+        if len(held) < goal:
+            continue
+        cut = BREAK.search(held, max(0, len(held) - INFLATED // 2))
+        if cut is None or cut.start() <= LAP:
+            goal = 2 * len(held)
+            continue
+        yield held[: cut.start()]
+        held = held[cut.start() - LAP :]
+        fresh, goal = len(held) - LAP, INFLATED
+    if fresh:
+        yield held
 
 
 def _texts(raw: bytes) -> Iterator[str]:
     """What raw may say, as it stands and inflated."""
-    for piece in (raw, _inflated(raw) if raw[:2] in MAGIC else b""):
+    for piece in (x for parts in ((raw,), _inflated(raw) if raw[:2] in MAGIC else ()) for x in _pieces(iter(parts))):
         yield piece.decode("utf-8", "replace")
         if b"\0" in piece:
             yield piece.decode("utf-16-le", "replace")

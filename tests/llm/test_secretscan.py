@@ -80,3 +80,14 @@ def test_wrapped_base64_is_joined():
             for before, after in (("x: ", "; y"), ("a-line-of-its-own-here\n", "\nNext")):
                 got = spans(before + lines + after)
                 assert f"assign:{len(before)}:{len(before) + len(lines.rstrip('='))}" in got or f"assign:{len(before)}:{len(before) + len(lines)}" in got, (width, before)
+
+
+def test_large_and_later_members_are_read(monkeypatch):
+    plain = b" password=hunter2hunter2"
+    noise = b"nothing to see here, " * (900_000)
+    for raw in (zlib.compress(noise + plain), gzip.compress(b"first") + gzip.compress(plain), gzip.compress(noise) + gzip.compress(plain)):
+        assert any(x.startswith("assign:2:") for x in spans("x " + base64.b64encode(raw).decode()))
+    monkeypatch.setattr(s, "INFLATED", 1 << 13)
+    for at in range(8100, 8300, 7):
+        nested = base64.b64encode(zlib.compress(plain * 3))
+        assert spans("x " + base64.b64encode(zlib.compress(b"ab, " * (at // 4) + b"," * (at % 4) + nested + b" ab," * 3000)).decode())
