@@ -1,5 +1,7 @@
 import math
+import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 
@@ -9,8 +11,8 @@ from tests.llm import cases
 
 def slow_model(texts):
     """Modified Kneser-Ney by its textbook recursion."""
-    seqs = [[33] * (k.ORDER - 1) + [int(k.classes()[ord(c)]) for c in t] for t in texts]
-    counts = {k.ORDER: Counter(tuple(s[i : i + k.ORDER]) for s in seqs for i in range(len(s) - k.ORDER + 1))}
+    seqs = [k.START + t for t in texts]
+    counts = {k.ORDER: Counter(s[i : i + k.ORDER] for s in seqs for i in range(len(s) - k.ORDER + 1))}
     for n in range(k.ORDER - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
     made = {}
@@ -24,7 +26,7 @@ def slow_model(texts):
 
     def p(g):
         if not g:
-            return 1 / k.SYMBOLS
+            return 1 / (len(counts[1]) + 1)
         own, d, total, freed = made[len(g)]
         if not total[g[:-1]]:
             return p(g[1:])
@@ -34,18 +36,31 @@ def slow_model(texts):
     return p
 
 
-def test_model_is_modified_kneser_ney(spark):
-    texts = [cases.prose(60, 1), "Ab, cd. Ab? 12\nxy", "", "aaaa aaab aabb", cases.prose(30, 7).upper()]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    table = k.model(k.probabilities(k.gram_counts(df)))
-    p = slow_model(texts)
-    rng = np.random.default_rng(0)
-    seen = np.concatenate([g for t in texts for g in k.grams(t)])
-    for g in [*rng.choice(seen, 150).tolist(), *rng.integers(0, len(table), 150).tolist()]:
-        gram = tuple(g // k.SYMBOLS**i % k.SYMBOLS for i in range(k.ORDER - 1, -1, -1))
-        assert math.isclose(table[g], math.log(p(gram)), rel_tol=1e-4, abs_tol=1e-4)
-    sums = np.exp(table.astype(float)).reshape(-1, k.SYMBOLS).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-3)
+TRAIN = [cases.prose(60, 1), "Ab, cd. Ab? 12\nxy", "", "aaaa aaab aabb", cases.prose(30, 7).upper(), "один два три 一二三"]
+
+
+def test_model_is_modified_kneser_ney(spark, monkeypatch):
+    """Both ways to score, against the recursion, in pieces of any size."""
+    df = spark.createDataFrame([(t,) for t in TRAIN], "text string")
+    parts, floor = k.probabilities(k.gram_counts(df))
+    model, p = k.Model(parts, floor), slow_model(TRAIN)
+    texts = [*TRAIN, None, "x", "zebra 9!", "два 三", cases.prose(300, 4), "aaaa aaab aabb"]
+    want = [-sum(math.log(p((k.START + t)[i : i + k.ORDER])) for i in range(len(t))) for t in (t or "" for t in texts)]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    for piece in (1 << 20, 100, 7):
+        monkeypatch.setattr(k, "PIECE", piece)
+        got = np.zeros(len(texts))
+        for points, ends, whose in k.pieces(texts):
+            got -= np.bincount(whose, model.logs(points, ends), minlength=len(texts))
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+    for made in (k.scores(docs, model), k.joined_scores(docs, parts, floor)):
+        rows = sorted(made.collect())
+        assert [r.n for r in rows] == [len(t or "") for t in texts]
+        assert np.allclose([r.nll for r in rows], want, rtol=1e-4, atol=1e-3)
+    # all symbols' probabilities after a context add up to one, the unseen symbol's included
+    symbols = sorted({c for t in TRAIN for c in k.START + t})
+    for context in ("Ab, ", "\n\n\n\n", "aaaa", "qqqq"):
+        assert math.isclose(sum(p(context + c) for c in [*symbols, "\u2603"]), 1, rel_tol=1e-6)
 
 
 def test_clean_stays_and_junk_goes(spark):
@@ -66,11 +81,41 @@ def test_odd_rows(spark):
     assert k.classify(cases.empty(spark), labels).count() == 0
 
 
-def test_pieces_add_up(monkeypatch):
-    text = cases.prose(500, 1)
-    whole = np.concatenate(list(k.grams(text)))
-    monkeypatch.setattr(k, "PIECE", 100)
-    assert np.concatenate(list(k.grams(text))).tolist() == whole.tolist() and len(whole) == len(text)
+def test_kept_against_a_plain_computation(spark):
+    docs = spark.read.parquet(f"{cases.SF}/documents.parquet")
+    labels = spark.read.parquet(f"{cases.SF}/labels.parquet")
+    rows, trusted = docs.collect(), {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    cal = {i for i in trusted if zlib.crc32(str(i).encode()) % 5 == 0}
+    p = cache(slow_model([r.text or "" for r in rows if r.doc_id in trusted - cal]))
+    nll = {r.doc_id: -sum(math.log(p((k.START + (r.text or ""))[i : i + k.ORDER])) for i in range(len(r.text or ""))) for r in rows}
+    mine = [r for r in rows if r.doc_id in cal and r.text]
+    near = {lang: sum(nll[r.doc_id] for r in mine if r.lang == lang) / sum(len(r.text) for r in mine if r.lang == lang) for lang in {r.lang for r in mine}}
+    whole = sum(nll[r.doc_id] for r in mine) / sum(len(r.text) for r in mine)
+
+    def drawn(r):
+        return (nll[r.doc_id] + k.PRIOR * near.get(r.lang, whole)) / (len(r.text) + k.PRIOR)
+
+    def bound(own):
+        steps = sorted(math.ceil(drawn(r) * k.STEPS) for r in own)
+        return steps[math.ceil(k.QUANTILE * len(steps)) - 1] / k.STEPS
+
+    got = {r.doc_id: r for r in k.classify(docs, labels).collect()}
+    for r in rows:
+        if not r.text:
+            assert not got[r.doc_id].kept
+            continue
+        limit = bound([x for x in mine if x.lang == r.lang] if r.lang in near else mine)
+        assert math.isclose(got[r.doc_id].perplexity, math.exp(drawn(r)), rel_tol=1e-4)
+        if abs(drawn(r) - limit) > 2 / k.STEPS:
+            assert got[r.doc_id].kept == (drawn(r) < limit)
+
+
+def test_tables_that_stay_sharded_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet(f"{cases.SF}/documents.parquet")
+    labels = spark.read.parquet(f"{cases.SF}/labels.parquet")
+    sent = sorted((r.doc_id, r.kept, round(r.perplexity, 2)) for r in k.classify(docs, labels).collect())
+    monkeypatch.setattr(k, "SENT_ROWS", 0)
+    assert sorted((r.doc_id, r.kept, round(r.perplexity, 2)) for r in k.classify(docs, labels).collect()) == sent
 
 
 def test_quantile_of_steps(spark):
