@@ -15,10 +15,13 @@ WORD_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if the
+    executors are this process, and an error on a cluster, whose machines don't share one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexiforge-"))
         base = spark.sparkContext.getCheckpointDir()
@@ -46,6 +49,14 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that begins with `name` and that df, whatever the case, doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession

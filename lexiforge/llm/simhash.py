@@ -10,14 +10,18 @@ Two ways to buckets:
   differing bits leave two blocks equal, so six tables of 32-bit keys hold every pair. A key with more than
   `BUCKET` different fingerprints instead sends each of them to the 65 points within one bit of it (two
   fingerprints at two bits or fewer share such a point), which bounds every group by 65.
-* `link_similar`: pairs with an estimated cosine of 0.8 or more between 5-word shingle vectors (256 bits,
-  52 or fewer differing), met by any of six min-hashes of their shingles: a pair with a Jaccard similarity
-  of 0.8 shares one with a chance of 0.99994. Inside a bucket, links to a pivot settle a family of copies in
-  linear time. A bucket of more than `BLOCK` texts is settled by many tasks (`settle`): each text links to the
+* `link_similar`: texts met by any of six min-hashes of their 5-word shingles (a pair with a Jaccard similarity
+  of 2/3 shares one with a chance of 0.9986, one of 0.8 with 0.99994) whose 256-bit fingerprints are at most `loose`
+  bits apart, 2.5 standard deviations more than a cosine of 0.8 makes them differ on average. Inside a bucket, what
+  is surely alike (`tight`: 1.5 deviations fewer) is connected by links to a pivot in linear time, and these classes
+  by their nearest pairs. A bucket of more than `BLOCK` texts is settled by many tasks (`settle`): each text links to the
   first of `PIVOTS` random ones that it is near to, texts near to several pivots connect these, and the largest
   class of connected pivots needs no more comparison inside it. Texts outside of that class, however many, meet
   all texts of the bucket in a grid of blocks (`grid`). No task holds more than two blocks.
 
+Each edge of `link_similar` is a pair of texts that are alike themselves, and `dedup` keeps it only if the cosine of the
+two texts' shingle counts (by 32-bit hashes) reaches the similarity (`verified`).
+
 Rows: a null text is an empty one. A text without words has fingerprint zero and links like any other; one
 with fewer words than a shingle has a single shingle. Null ids are kept, and so are repeated ones. Extra
 columns are ignored by `components_of` and kept by `dedup`; an empty table gives an empty table.
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiforge.llm._shared import components, saved
+from lexiforge.llm._shared import components, saved, unused
 
 SEED = 42
 #: A bucket with more different fingerprints goes another exact way.
@@ -43,6 +47,8 @@ BUCKET = 4096
 BLOCK = 1024
 #: Random texts of a large bucket that all its texts are compared with.
 PIVOTS = 12
+#: Pairs of each text that are tried beside those of the spanning forest.
+SPARE = 3
 #: Hashes whose bits are unpacked at once, whatever a text's length.
 CHUNK = 1 << 14
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -83,22 +89,24 @@ def majority(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = 3, words: int = 1, minhashes: int = 0, also: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *also, fp array<long> of `words` 64-bit words, same long, keys array<long>) for each row.
+    """(doc_id, *also, fp array<long> of `words` 64-bit words, same long, keys array<long>, shingles binary) for each row.
 
-    same: the hash of the normalised words, equal for texts that differ in case A-Z and white space alone.
+    With min-hashes, same is the hash of the normalised words, equal for texts that differ in case A-Z and white space
+    alone, and shingles holds 32 bits of each shingle's hash, sorted.
     """
     kept = [F.col("doc_id"), *(F.col(c) for c in also)]
     source = docs.select(*kept, F.col("text").cast("binary").alias("text"))
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("fp", longs), T.StructField("same", T.LongType()), T.StructField("keys", longs)])
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("fp", longs), T.StructField("same", T.LongType()), T.StructField("keys", longs), T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, same, keys = [], [], []
+            fps, same, keys, sets = [], [], [], []
             for raw in batch.column(batch.num_columns - 1):
                 raw = raw.as_py() or b""
                 h = shingle_hashes(raw, n)
                 fps.append(np.array([majority(mixed(h, k)) for k in range(words)], np.uint64).view(np.int64))
+                sets.append(np.sort((h >> np.uint64(32)).astype("<u4")).tobytes() if minhashes else b"")
                 if minhashes:
                     same.append(xxhash.xxh64_intdigest(b" ".join(raw.lower().split()), 7))
                     keys.append(np.array([mixed(h, 100 + k).min() if len(h) else 0 for k in range(minhashes)], np.uint64).view(np.int64))
@@ -106,7 +114,7 @@ def fingerprints(docs: DataFrame, n: int = 3, words: int = 1, minhashes: int = 0
                     same.append(0)
                     keys.append(np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(fps, pa.list_(pa.int64())), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                [*batch.columns[:-1], pa.array(fps, pa.list_(pa.int64())), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
                 names=schema.names,
             )
 
@@ -179,46 +187,74 @@ class _Sets:
             self.up[max(a, b)] = min(a, b)
 
 
-def links(fps: np.ndarray, groups: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(i, top of i's component) for lanes that link inside their group; groups are runs of equal numbers.
+def _apart(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64)
+
+
+def links(fps: np.ndarray, groups: np.ndarray, tight: int, loose: int, closed: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of lanes that link inside their group; groups are runs of equal numbers.
 
-    Linear in what it returns: a spanning star for each component and group, not its pairs.
+    What is `tight` or less apart is connected by pairs that are that close themselves. Components of these are
+    connected by pairs up to `loose`, the nearest first; as such a pair may prove to be no link, each lane has its
+    nearest SPARE of them. Closed lanes count as connected before. Linear in what it returns: a spanning forest for
+    each group and these, not its pairs.
     """
-    sets = _Sets(len(fps))
+    sets, out = _Sets(len(fps)), []
+
+    def join(a: int, b: int) -> None:
+        if sets.top(a) != sets.top(b):
+            sets.join(a, b)
+            out.append((a, b))
+
+    if closed is not None and groups[0] == groups[-1]:
+        known = np.flatnonzero(closed).tolist()
+        for x in known[1:]:
+            sets.join(known[0], x)
+    rest, far_pairs = np.arange(len(fps)), []
     if groups[0] == groups[-1]:
-        rest = np.arange(len(fps))
         while len(rest) > 256:  # those at the pivot are one component; the others meet all of them, then each other
-            near = within(fps[rest[:1]], planes_of(fps[rest]), len(rest), radius)[0]
+            near = within(fps[rest[:1]], planes_of(fps[rest]), len(rest), tight)[0]
             here, far = rest[near], rest[~near]
-            for x in here[1:]:
-                sets.join(int(here[0]), int(x))
-            if len(here) > 1 and len(far):
-                planes = planes_of(fps[here])
-                for at in range(0, len(far), 64):
-                    hit = within(fps[far[at : at + 64]], planes, len(here), radius).any(axis=1)
-                    for x in far[at : at + 64][hit]:
-                        sets.join(int(here[0]), int(x))
+            for x in here[1:].tolist():
+                join(int(here[0]), x)
+            planes = planes_of(fps[here])
+            for at in range(0, len(far), 64):
+                i, j = np.nonzero(within(fps[far[at : at + 64]], planes, len(here), loose))
+                if not len(i):
+                    continue
+                x, y = far[at + i], here[j]
+                d = _apart(fps, x, y)
+                first = np.lexsort((d, i))
+                first = first[np.flatnonzero(np.diff(i[first], prepend=-1))]  # each one's nearest
+                far_pairs.append(np.stack([d[first], x[first], y[first]], axis=1))
+            rest = far
             if len(here) < 64:
-                rest = far
                 break
-            rest = far
-    else:
-        rest = np.arange(len(fps))
     planes = planes_of(fps[rest]) if len(rest) else None
     for at in range(0, len(rest), 64):
-        mine = rest[at : at + 64]
-        i, j = np.nonzero(within(fps[mine], planes, len(rest), radius))
-        for a, b in zip(mine[i].tolist(), rest[j].tolist(), strict=True):
-            if a < b and groups[a] == groups[b]:
-                sets.join(a, b)
-    return [(i, sets.top(i)) for i in range(len(fps)) if sets.top(i) != i]
-
-
-def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) between nodes of the same key whose fingerprints link.
-
-    rows: key long, node long, fp array<long>, open int. Nodes with open = 0 are known to be connected in their key:
-    they come first, so that components keep one of them as their top, and get no edges of their own.
+        i, j = np.nonzero(within(fps[rest[at : at + 64]], planes, len(rest), loose))
+        x, y = rest[at + i], rest[j]
+        mine = (x < y) & (groups[x] == groups[y])
+        far_pairs.append(np.stack([_apart(fps, x[mine], y[mine]), x[mine], y[mine]], axis=1))
+    pairs = np.concatenate(far_pairs) if far_pairs else np.empty((0, 3), np.int64)
+    spare = [SPARE] * len(fps)
+    for d, a, b in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+        if sets.top(a) != sets.top(b):
+            join(a, b)
+        elif d > tight and (spare[a] > 0 or spare[b] > 0):
+            out.append((a, b))
+        else:
+            continue
+        if d > tight:
+            spare[a] -= 1
+            spare[b] -= 1
+    return out
+
+
+def bucket_links(rows: DataFrame, tight: int, loose: int) -> DataFrame:
+    """Edges (a, b) between nodes of the same key whose fingerprints link, each of them a link itself.
+
+    rows: key long, node long, fp array<long>, open int. Nodes with open = 0 are known to be connected in their key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +266,7 @@ def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
                 if k + 1 < len(cuts) and cuts[k + 1] - cuts[at] <= 256:
                     continue
                 lo, hi = cuts[at], cuts[k]
-                out += [(node[lo + i], node[lo + j]) for i, j in links(fp[lo:hi], key[lo:hi], radius) if free[lo + i]]
+                out += [(node[lo + i], node[lo + j]) for i, j in links(fp[lo:hi], key[lo:hi], tight, loose, free[lo:hi] == 0)]
                 at = k
             a, b = zip(*out, strict=True) if out else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -287,7 +323,7 @@ def _main_classes(masks: DataFrame) -> DataFrame:
     return whole.mapInArrow(run, "key long, n long, main int, rest long")
 
 
-def settle(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+def settle(rows: DataFrame, tight: int) -> tuple[DataFrame, DataFrame]:
     """Of large buckets' rows (key, node, fp, n, ...): edges that connect each one's main class, and its rows where any is left.
 
     The latter have salt (a block), rest (nodes outside of the main class) and open (1: such a node). Pivots are the
@@ -300,12 +336,12 @@ def settle(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     pivots = rows.groupBy("key", "n").agg(*least)
     pivots = pivots.select("key", each, F.array_distinct(F.array(*(F.struct(f"p{i}.node", f"p{i}.fp") for i in range(PIVOTS)))).alias("pivots"))
     apart = "aggregate(zip_with(fp, p.fp, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    bits = f"aggregate(transform(pivots, (p, i) -> if({apart} <= {radius}, shiftleft(1, i), 0)), 0, (s, x) -> s | x)"
+    bits = f"aggregate(transform(pivots, (p, i) -> if({apart} <= {tight}, shiftleft(1, i), 0)), 0, (s, x) -> s | x)"
     near = salted.join(pivots, ["key", "salt"]).select(*salted.columns, F.expr(bits).alias("mask"), F.expr("transform(pivots, p -> p.node)").alias("pivots"))
     near = saved(near.withColumn("pivot", F.expr("if(mask = 0, NULL, pivots[bit_count((mask & -mask) - 1)])")), "near")
-    masks = saved(near.groupBy("key", "n", "mask", "pivot").agg(F.count("*").alias("c"), F.min("pivots").alias("pivots")), "masks")
-    between = masks.select(F.explode(F.expr("filter(pivots, (p, i) -> (shiftright(mask, i) & 1) = 1)")).alias("a"), F.col("pivot").alias("b"))
-    edges = near.where("mask <> 0").select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(between)
+    masks = saved(near.groupBy("key", "n", "mask").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("pivots").alias("pivots")), "masks")
+    between = masks.select("node", F.explode(F.expr("filter(pivots, (p, i) -> (shiftright(mask, i) & 1) = 1)")).alias("b"))
+    edges = near.where("mask <> 0").select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(between).where("a <> b")
     main = _main_classes(masks).where("rest > 0").select("key", each, "main", "rest")
     left = near.join(main, ["key", "salt"]).withColumn("open", F.expr("if((mask & main) = 0, 1, 0)"))
     return edges, left.drop("mask", "pivot", "pivots", "main")
@@ -333,19 +369,44 @@ def link_radius(fps: DataFrame) -> DataFrame:
     few, many = _common(keyed.select("key", "node", "fp"), BUCKET)
     ball = many.select("node").distinct().select("node", F.explode(F.expr("concat(array(node), transform(sequence(0, 63), i -> node ^ shiftleft(1L, i)))")).alias("point"))
     near = ball.select(F.col("node").alias("a"), F.col("point").alias("b")).where("a <> b")
-    return bucket_links(few.withColumn("open", F.lit(1)), 2).unionByName(near)
+    return bucket_links(few.withColumn("open", F.lit(1)), 2, 2).unionByName(near)
 
 
-def link_similar(sigs: DataFrame, radius: int, first: int, further: int = 0) -> DataFrame:
-    """Edges (a, b) of similar texts. sigs: node, fp, keys (min-hashes; those after `first` aren't read), one row a node."""
-    keyed = sigs.select("node", "fp", F.posexplode(F.slice("keys", 1, first)).alias("pos", "h"))
+def link_similar(sigs: DataFrame, tight: int, loose: int) -> DataFrame:
+    """Edges (a, b) of texts whose fingerprints are alike. sigs: node, fp, keys (min-hashes), one row a node."""
+    keyed = sigs.select("node", "fp", F.posexplode("keys").alias("pos", "h"))
     keyed = keyed.select(F.expr("xxhash64(pos, h)").alias("key"), "node", "fp")
     few, many = _common(keyed, BLOCK)
     few = few.select("key", "node", "fp", F.lit(1).alias("open"))
     if many.isEmpty():
-        return bucket_links(few, radius)
-    settled, left = settle(many, radius)
-    return bucket_links(few.union(grid(left)), radius).union(settled)
+        return bucket_links(few, tight, loose)
+    settled, left = settle(many, tight)
+    return bucket_links(few.union(grid(left)), tight, loose).union(settled)
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two multisets of shingles, as sorted arrays."""
+    x, m = np.unique(a, return_counts=True)
+    y, n = np.unique(b, return_counts=True)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    shared = (m * n[at])[y[at] == x].sum()
+    return float(shared / np.sqrt(float((m * m).sum()) * float((n * n).sum())))
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts' shingles reach the cosine. sets: node, shingles (binary), one row a node."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), "<u4") for s in (x, y))
+                ok.append(bool(len(x) and len(y) and cosine(x, y) >= similarity))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 # --- the operator -----------------------------------------------------------------------------------------
@@ -369,21 +430,30 @@ def components_of(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """docs less its near copies: of each group, the row with the smallest doc_id stays (null ids last)."""
-    first = 6
-    radius = int(64 * words * np.arccos(similarity) / np.pi)
-    keyed = docs.withColumn("__tkey", F.xxhash64("text"))
-    rows = saved(fingerprints(keyed, shingle, words, first, ("__tkey",)).withColumnRenamed("same", "node"), "signatures")
+    bits = 64 * words
+    apart = np.arccos(similarity) / np.pi  # the share of bits that differ at this cosine
+    loose = int(bits * apart + 2.5 * np.sqrt(bits * apart * (1 - apart)))
+    tight = int(bits * apart - 1.5 * np.sqrt(bits * apart * (1 - apart)))
+    text_key, row_key = (unused(docs, x) for x in ("text_key", "id_key"))
+    keyed = docs.withColumn(text_key, F.xxhash64("text"))
+    own = keyed.select("doc_id", F.col(text_key).alias("tkey"), "text")
+    rows = saved(fingerprints(own, shingle, words, 6, ("tkey",)).withColumnRenamed("same", "node"), "signatures")
     sigs = rows.groupBy("node").agg(F.min(F.struct("fp", "keys")).alias("s")).select("node", "s.fp", "s.keys")
-    edges = link_similar(sigs, radius, first)
+    found = link_similar(sigs, tight, loose).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = saved(found.distinct(), "found")
+    linked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    sets = saved(rows.select("node", "shingles").join(linked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    edges = verified(found, sets, similarity)
     joined = saved(rows.select("node").distinct().join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "groups")
-    stay = rows.select("doc_id", "__tkey", "node").join(joined, "node").groupBy("component")
-    stay = stay.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__tkey")).alias("s")).select("s.doc_id", "s.__tkey")
-    stay = stay.distinct().select(F.col("doc_id").alias("__id"), F.col("__tkey").alias("__stay"))
-    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__stay")), "left_semi")
-    repeated = rows.groupBy("doc_id", "__tkey").agg(F.count("*").alias("n")).where("n > 1")
+    stay = rows.select("doc_id", "tkey", "node").join(joined, "node").groupBy("component")
+    stay = stay.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("s")).select("s.doc_id", "s.tkey")
+    stay_key = unused(docs, "stay_key")
+    stay = stay.distinct().select(F.col("doc_id").alias(row_key), F.col("tkey").alias(stay_key))
+    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col(row_key)) & (F.col(text_key) == F.col(stay_key)), "left_semi")
+    repeated = rows.groupBy("doc_id", "tkey").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():  # rows that repeat all stayed
-        kept = kept.dropDuplicates(["doc_id", "__tkey"])
-    return kept.drop("__tkey")
+        kept = kept.dropDuplicates(["doc_id", text_key])
+    return kept.drop(text_key)
 
 
-__all__ = ["components_of", "dedup", "fingerprints", "grid", "link_radius", "link_similar", "settle"]
+__all__ = ["components_of", "dedup", "fingerprints", "grid", "link_radius", "link_similar", "settle", "verified"]

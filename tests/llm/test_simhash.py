@@ -78,9 +78,12 @@ def test_links_in_large_and_hot_buckets(spark, monkeypatch):
         sizes.append(sorted(r["count"] for r in real if r["count"] > 1))
     assert sizes[0] == sizes[1]
     group = np.array(near, np.uint64)[:, None]
-    got = simhash.links(group, np.zeros(len(group)), 2)
-    tops = {i: t for i, t in got}
-    assert len({tops.get(i, i) for i in range(len(group))}) == len([1])
+    got = simhash.links(group, np.zeros(len(group)), 2, 2)
+    sets = simhash._Sets(len(group))
+    for i, j in got:
+        assert (near[i] ^ near[j]).bit_count() <= 2
+        sets.join(i, j)
+    assert len({sets.top(i) for i in range(len(group))}) == 1
 
 
 def test_near_copies_go_and_others_stay(spark):
@@ -112,29 +115,73 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         sets.join(int(a), int(b))
     want = sorted(sets.top(i) for i in range(len(fps)))
     want = sorted(want.count(t) for t in set(want))
-    # all share the first six min-hashes; of the further four, all or half of them
-    rows = [(i + 1, [int(x) for x in f.view(np.int64)], [0] * 6 + [i % 2, 0, 0, 0]) for i, f in enumerate(fps)]
+    rows = [(i + 1, [int(x) for x in f.view(np.int64)], [0] * 6) for i, f in enumerate(fps)]
     sigs = spark.createDataFrame(rows, "node long, fp array<long>, keys array<long>")
     for block, pivots, bucket in ((4096, 12, 4096), (64, 12, 4096), (64, 2, 100), (64, 1, 64), (600, 1, 64)):
         monkeypatch.setattr(simhash, "BLOCK", block)
         monkeypatch.setattr(simhash, "PIVOTS", pivots)
         monkeypatch.setattr(simhash, "BUCKET", bucket)
-        got = components(simhash.link_similar(sigs, radius, 6, 4)).groupBy("component").count().collect()
+        got = components(simhash.link_similar(sigs, radius, radius)).groupBy("component").count().collect()
         sizes = sorted(r["count"] for r in got if r["count"] > 1)
         assert sizes == [x for x in want if x > 1], (block, pivots, bucket)
 
 
 def test_many_texts_outside_of_the_main_class_lose_no_link(spark, monkeypatch):
-    """A bucket with more outside texts than BUCKET, whose further min-hashes have nothing in common."""
+    """A bucket with many more outside texts than a block."""
     from lexiforge.llm._shared import components
 
     rng = np.random.default_rng(11)
     flips = (rng.random((150, 2, 256)) < 0.07).astype(np.uint8)
     pairs = rng.integers(0, 2**64, (150, 1, 4), dtype=np.uint64) ^ np.packbits(flips, axis=2, bitorder="little").view(np.uint64)
     near = np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]).sum(axis=1) <= 52
-    rows = [(i + 1, [int(x) for x in f.view(np.int64)], [0] * 6 + rng.integers(0, 2**62, 4).tolist()) for i, f in enumerate(pairs.reshape(-1, 4))]
+    rows = [(i + 1, [int(x) for x in f.view(np.int64)], [0] * 6) for i, f in enumerate(pairs.reshape(-1, 4))]
     sigs = spark.createDataFrame(rows, "node long, fp array<long>, keys array<long>")
     monkeypatch.setattr(simhash, "BLOCK", 64)
     monkeypatch.setattr(simhash, "BUCKET", 64)
-    got = components(simhash.link_similar(sigs, 52, 6, 4)).groupBy("component").count().collect()
+    got = components(simhash.link_similar(sigs, 40, 52)).groupBy("component").count().collect()
     assert sorted(r["count"] for r in got if r["count"] > 1) == [2] * int(near.sum())
+
+
+def test_pairs_that_link_are_verified_and_few_are_lost(spark):
+    """Against brute force over all pairs: no group holds less than the cosine, and of linked pairs hardly any is parted."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    docs = []
+    for f in range(60):
+        words = cases.prose(120 + 20 * (f % 9), 100 + f).split()
+        words = [f"{w}f{f}" for w in words]
+        for share in (0.0, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.07):
+            docs.append((len(docs) + 1, " ".join(w if rng.random() >= share else f"z{rng.random()}" for w in words), "en", "a", 1))
+
+    def count(text):
+        w = text.split()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets, top = {d[0]: count(d[1]) for d in docs}, {d[0]: d[0] for d in docs}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for f in range(60):
+        own = [d[0] for d in docs[8 * f : 8 * f + 8]]
+        for a in own:
+            for b in own:
+                dot = sum(n * sets[b][g] for g, n in sets[a].items())
+                if a < b and dot >= 0.8 * (sum(n * n for n in sets[a].values()) * sum(n * n for n in sets[b].values())) ** 0.5:
+                    top[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i for i in sets if find(i) == i}
+    got = {r.doc_id for r in simhash.dedup(cases.frame(spark, docs, extra=False)).collect()}
+    assert want <= got  # whoever has no link stays
+    assert len(sets) - len(got) >= 0.97 * (len(sets) - len(want))
+
+
+def test_columns_named_like_the_stage_s_own(spark):
+    docs = cases.frame(spark, extra=False)
+    for c in ("__tkey", "__id", "tkey", "text_key", "id_key", "stay_key", "shingles", "same", "keys"):
+        docs = docs.selectExpr("*", f"'x' AS {c}")
+    got = simhash.dedup(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id for r in got.collect()), key=repr) == sorted([1, 3, 5, 7, None], key=repr)
