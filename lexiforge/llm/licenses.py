@@ -1,23 +1,24 @@
 """License scans: Dice coefficient over word bigrams against licence templates.
 
-Texts and templates are normalised to lower-case words of letters and digits. What is compared is each run of
-whole lines that begins and ends with a line holding a bigram of some template. Dice is 2 |A and B| / (|A| +
-|B|) over multisets of bigrams, so a run of `a` bigrams can reach the threshold t only with templates of
-t / (2 - t) * a to (2 - t) / t * a bigrams; templates outside these bounds are never compared, and neither are
-runs that hold too few bigrams of any template. Nothing is shuffled.
+Texts and templates are normalised to lower-case words of letters and digits. What is compared with a template is
+each run of words that begins and ends with one of the template's bigrams, whatever the lines. Dice is
+2 |A and B| / (|A| + |B|) over multisets of bigrams, so a template of `n` bigrams can reach the threshold t only
+with runs of t / (2 - t) * n to (2 - t) / t * n bigrams, t / (2 - t) * n of them the template's: a template is pruned
+where no run of such a size holds that many, and only the others' runs are counted. Nothing is shuffled.
 
 One row for each document and licence: its best run (ties: the first, then the shortest). A null or empty text
 holds none. Null and repeated ids are kept, each row scanned. Extra columns are ignored; an empty table gives
-an empty table. A long text is read line by line; memory grows with the words of one text.
+an empty table. A text of any length is scanned whole; memory grows with the words of one text.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +54,18 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("all-rights-reserved", "All rights reserved."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'),
+    ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
 ]
 
 WORD = re.compile(r"[^\W_]+")
@@ -67,50 +80,59 @@ def bigrams(words: list[str]) -> list[tuple[str, str]]:
 
 
 @cache
-def templates() -> tuple[list[tuple[int, str, Counter]], set[tuple[str, str]]]:
-    """(bigrams, licence, their counts) by size, and all their bigrams."""
+def templates() -> tuple[list[tuple[int, str, Counter]], dict[tuple[str, str], tuple[int, ...]]]:
+    """(bigrams, licence, their counts) by size, and for each bigram the places of the templates that hold it."""
     own = sorted(((len(b := bigrams(words_of(t))), name, Counter(b)) for name, t in TEMPLATES), key=lambda x: (x[0], x[1]))
-    return own, {b for _, _, c in own for b in c}
+    holders: dict[tuple[str, str], list[int]] = {}
+    for k, (_, _, counts) in enumerate(own):
+        for b in counts:
+            holders.setdefault(b, []).append(k)
+    return own, {b: tuple(ks) for b, ks in holders.items()}
+
+
+def best_run(at: list[int], grams: list[tuple[str, str]], n: int, want: Counter, threshold: float) -> tuple[float, int, int] | None:
+    """(-Dice, first word, words) of a template's best run. at: places of its bigrams (`grams`) in the text."""
+    most = (2 - threshold) / threshold * n + 1e-9
+    least = threshold / (2 - threshold) * n - 1e-9
+    need = max(1, ceil(least))
+    best = None
+    for i in range(len(at) - need + 1):
+        if at[i + need - 1] - at[i] + 1 > most:  # pruned: no run from here holds enough
+            continue
+        have, shared = Counter(), 0
+        for j in range(i, len(at)):
+            size = at[j] - at[i] + 1
+            if size > most:
+                break
+            have[grams[j]] += 1
+            shared += have[grams[j]] <= want[grams[j]]
+            dice = 2 * shared / (size + n)
+            key = (-dice, at[i], size + 1)
+            if dice >= threshold and (best is None or key < best):
+                best = key
+    return best
 
 
 def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
-    """(licence, Dice, first line, last line) of each licence's best run of lines."""
-    own, known = templates()
-    sizes = [x[0] for x in own]
-    least, most = threshold / (2 - threshold), (2 - threshold) / threshold
-    words: list[str] = []
-    spans: list[tuple[int, int, int]] = []  # line, its first word, the word after its last
-    for n, line in enumerate(text.split("\n")):
-        start = len(words)
-        words += words_of(line)
-        if len(words) > start:
-            spans.append((n, start, len(words)))
-    hits = [i for i, b in enumerate(zip(words, words[1:], strict=False)) if b in known]
-    if not hits:
+    """(licence, Dice, first line, last line) of each licence's best run of words."""
+    own, holders = templates()
+    words = words_of(text)
+    hits: dict[int, list[int]] = {}
+    for i, b in enumerate(zip(words, words[1:], strict=False)):
+        for k in holders.get(b, ()):
+            hits.setdefault(k, []).append(i)
+    best: dict[str, tuple[float, int, int]] = {}
+    for k, at in hits.items():
+        n, name, want = own[k]
+        run = best_run(at, [(words[i], words[i + 1]) for i in at], n, want, threshold)
+        if run and (name not in best or run < best[name]):
+            best[name] = run
+    if not best:
         return []
-    ends = [s[2] for s in spans]
-    lines = sorted({bisect_right(ends, i + d) for i in hits for d in (0, 1)})
-    best: dict[str, tuple[float, int, int, int]] = {}
-    for a in range(len(lines)):
-        for b in range(a, len(lines)):
-            lo, hi = spans[lines[a]][1], spans[lines[b]][2]
-            size = hi - lo - 1
-            if size > most * sizes[-1]:
-                break
-            shared = bisect_left(hits, hi - 1) - bisect_left(hits, lo)
-            if 2 * shared < threshold * (size + least * size):
-                continue
-            run = None
-            for k in range(bisect_left(sizes, least * size), bisect_right(sizes, most * size + 1e-9)):
-                n, name, want = own[k]
-                if 2 * shared < threshold * (size + n):
-                    break
-                run = run or Counter(bigrams(words[lo:hi]))
-                dice = 2 * sum((run & want).values()) / (size + n)
-                key = (-dice, spans[lines[a]][0], hi - lo, spans[lines[b]][0])
-                if dice >= threshold and (name not in best or key < best[name]):
-                    best[name] = key
-    return [(name, -x, first, last) for name, (x, first, _, last) in sorted(best.items())]
+    ends: list[int] = []  # words up to the end of each line
+    for line in text.split("\n"):
+        ends.append((ends[-1] if ends else 0) + len(words_of(line)))
+    return [(name, -x, bisect_right(ends, lo), bisect_right(ends, lo + size - 1)) for name, (x, lo, size) in sorted(best.items())]
 
 
 def found(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

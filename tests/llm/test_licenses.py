@@ -6,20 +6,18 @@ from tests.llm import cases
 
 
 def brute(text, threshold):
-    """Every run of lines against every template."""
-    lines = [(n, s.words_of(x)) for n, x in enumerate((text or "").split("\n"))]
+    """Every run of words against every template."""
+    words = s.words_of(text or "")
     best = {}
-    for a in range(len(lines)):
-        run = []
-        for b in range(a, len(lines)):
-            run += lines[b][1]
-            if not lines[a][1] or not lines[b][1]:
-                continue
-            have = Counter(s.bigrams(run))
-            for name, t in s.TEMPLATES:
-                want = Counter(s.bigrams(s.words_of(t)))
-                n = sum(have.values()) + sum(want.values())
-                dice = 2 * sum((have & want).values()) / n if n else 0
+    for name, t in s.TEMPLATES:
+        want = Counter(s.bigrams(s.words_of(t)))
+        n, longest = sum(want.values()), (2 - threshold) / threshold * sum(want.values()) + 2
+        for a in range(len(words)):
+            have, shared = Counter(), 0
+            for b in range(a + 1, min(len(words), int(a + longest) + 1)):
+                have[words[b - 1], words[b]] += 1
+                shared += have[words[b - 1], words[b]] <= want[words[b - 1], words[b]]
+                dice = 2 * shared / (n + b - a)
                 if dice >= threshold:
                     best[name] = max(best.get(name, 0), dice)
     return {k: round(v, 6) for k, v in best.items()}
@@ -27,14 +25,14 @@ def brute(text, threshold):
 
 def test_matches_brute_force(spark):
     rng = random.Random(4)
-    texts = [r.text for r in spark.read.parquet(f"{cases.SF}/documents.parquet").collect() if r.text and len(r.text) < 4000][:60]
-    for _, t in s.TEMPLATES:
+    texts = [r.text for r in spark.read.parquet(f"{cases.SF}/documents.parquet").collect() if r.text and len(r.text) < 1500][:15]
+    for _, t in s.TEMPLATES[:34]:
         words = [w for w in t.split() if rng.random() > 0.05]
         for k in range(rng.randrange(0, 4)):
             words.insert(rng.randrange(len(words) + 1), rng.choice(["\n", "extra", "\n\n"]))
         texts.append("some words before\n" + " ".join(words) + "\nof the end")
     for threshold in (0.8, 0.6):
-        for t in texts:
+        for t in texts if threshold == 0.8 else texts[::4]:
             assert {x[0]: round(x[1], 6) for x in s.scan(t, threshold)} == brute(t, threshold)
 
 
@@ -47,3 +45,15 @@ def test_odd_rows(spark):
     docs = cases.frame(spark, [*cases.ROWS, (70, "x\nReleased under the MIT License.", "en", "a", 1)])
     assert [tuple(r) for r in s.found(docs).collect()] == [(70, "MIT", 1.0, 1, 1)]
     assert s.found(cases.empty(spark)).count() == 0
+
+
+def test_notices_inside_lines_are_found(spark):
+    for text, name in (
+        ("This library is released under the MIT License, which see.", "MIT"),
+        ("Copyright 2020 Acme Corp. All rights reserved. Read on", "all-rights-reserved"),
+        ("Before you begin. Licensed under the Apache License, Version 2.0. And so on, and so forth.", "Apache-2.0"),
+    ):
+        assert (name, 1.0) in {(x[0], x[1]) for x in s.scan(f"word {text} {cases.prose(60, 1)}")}
+    body = next(t for n, t in s.TEMPLATES if n == "BSD-3-Clause" and len(t) > 1000)
+    assert ("BSD-3-Clause", 1.0, 1, 3) in s.scan(f"Copyright (c) 2019\n{body[:300]}\n{body[300:700]}\n{body[700:]}\n{cases.prose(9000, 2)}".replace(body[295:305], body[295:300] + body[300:305]))
+    assert s.scan(cases.prose(9000, 2)) == []
