@@ -28,6 +28,8 @@ import os
 import re
 import uuid
 import zlib
+from bisect import bisect_left
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm._shared import fresh_path, saved
+from lexiforge.llm._shared import fresh_path, numbered, saved
 
 END_ID = 2
 #: Text bytes of a shard, about.
@@ -44,6 +46,10 @@ SHARD_TEXT = 32 << 20
 #: Words and tokens that a worker remembers.
 MEMO = 400_000
 READ = 8 << 20
+#: Fixed value: how the tokenizer that `Encoder` knows cuts words.
+PRE_TOKENIZERS = [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)]
+#: Shards that a store keeps open.
+OPEN = 64
 
 
 # --- encoding ---------------------------------------------------------------------------------------------
@@ -61,7 +67,8 @@ class Encoder:
         spec = json.loads(self.whole.to_str())
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         #: The memo knows this one make of tokenizer; others encode every text whole.
-        self.known = kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
+        cuts = [(x["type"], x.get("pattern", {}).get("Regex")) for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.known = (kinds, cuts, spec["model"].get("end_of_word_suffix")) == (["NFC", "Replace", "Lowercase"], PRE_TOKENIZERS, "</w>")
         self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
         # Latin letters that lower-case alike everywhere and compose with nothing; white space and marks that go by class
         self.plain = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ňŊ-ž–—‘’“”…€]*").fullmatch
@@ -198,15 +205,27 @@ class Store:
         fs, top = files(folder)
         with fs.open_input_file(f"{top}/manifest.json") as f:
             self.manifest = json.loads(f.read())
-        self.open_: dict[str, Shard] = {}
+        self.entries = [x for x in self.manifest["shards"] if x["first"] is not None]
+        self.lasts = [x["last"] for x in self.entries]
+        self.open_: OrderedDict[str, Shard] = OrderedDict()
+
+    def shard(self, entry: dict) -> Shard:
+        """A shard's index, read once while it is among the last OPEN ones used."""
+        if entry["name"] not in self.open_:
+            self.open_[entry["name"]] = Shard(self.folder, entry)
+        self.open_.move_to_end(entry["name"])
+        if len(self.open_) > OPEN:
+            self.open_.popitem(last=False)
+        return self.open_[entry["name"]]
 
     def get(self, doc_id: int) -> np.ndarray | None:
-        for entry in self.manifest["shards"]:
-            if entry["first"] is not None and entry["first"] <= doc_id <= entry["last"]:
-                shard = self.open_.setdefault(entry["name"], Shard(self.folder, entry))
-                offset, length = shard.find(np.array([doc_id], np.int64))
-                if offset[0] >= 0:
-                    return shard.ids(int(offset[0]), int(length[0]))
+        # a key that repeats may go on in later shards; its first one has it
+        for entry in self.entries[bisect_left(self.lasts, doc_id) :]:
+            if entry["first"] > doc_id:
+                return None
+            offset, length = self.shard(entry).find(np.array([doc_id], np.int64))
+            if offset[0] >= 0:
+                return self.shard(entry).ids(int(offset[0]), int(length[0]))
         return None
 
 
@@ -218,9 +237,13 @@ WROTE = "name string, first long, last long, docs long, ids long, width int"
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shard_text: int = SHARD_TEXT) -> dict:
     """Writes a store; returns its manifest. What comes to the driver is one row a shard."""
     text = F.coalesce("text", F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    dealt = docs.select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text"))
-    dealt = dealt.repartitionByRange(max(1, -(-total // shard_text)), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows = docs.select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text"))
+    alike = rows.groupBy("doc_id", "h").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n"))
+    whole = alike.agg(F.sum("b").alias("b"), F.max(F.when(F.col("n") > 1, F.col("b"))).alias("most")).first()
+    order = ["doc_id", "h"]
+    if (whole["most"] or 0) > shard_text:  # rows that repeat beyond a shard: their numbers deal them on
+        rows, order = numbered(rows, ["doc_id", "h"], "nth"), [*order, "nth"]
+    dealt = rows.repartitionByRange(max(1, -(-(whole["b"] or 0) // shard_text)), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, (fs, top) = encoder(tokenizer), files(folder)
@@ -287,22 +310,25 @@ def read_back(spark: SparkSession, folder: str, manifest: dict) -> DataFrame:
             for x in batch.column(0).to_pylist():
                 entry = json.loads(x)
                 shard = Shard(folder, entry)
-                doc_id, null, length = (shard.rows[k] for k in ("doc_id", "null", "length"))
-                offset, found = shard.find(doc_id)
-                keyed = ~null & (offset == shard.offsets) & (found == length)
-                offset = np.where(keyed, offset, shard.offsets)
+                doc_id, null = shard.rows["doc_id"], shard.rows["null"]
+                # the key's first row comes from the index; rows without a key, and those that repeat one, in their order
+                keyed = ~null & np.concatenate([[True], (doc_id[1:] != doc_id[:-1]) | null[:-1]])
+                offset, length = shard.offsets.copy(), shard.rows["length"].copy()
+                offset[keyed], length[keyed] = shard.find(doc_id[keyed])
+                if (offset < 0).any():
+                    raise ValueError(f"the index of {entry['name']} doesn't hold {doc_id[offset < 0][0]}")
                 size, crc = entry["width"], np.empty(len(doc_id), np.int64)
                 with shard.fs.open_input_file(f"{shard.path}.ids") as f:
                     at = 0
                     while at < len(doc_id):  # neighbours in one read, up to READ bytes or one document
-                        to = max(at + 1, int(np.searchsorted(shard.offsets, shard.offsets[at] + READ // size)))
-                        base = int(shard.offsets[at])
+                        to = max(at + 1, int(np.searchsorted(offset, offset[at] + READ // size)))
+                        base = int(offset[at])
                         raw = np.frombuffer(f.read_at(int(length[at:to].sum()) * size, base * size), f"<u{size}").astype("<u4")
                         for i in range(at, to):
                             crc[i] = zlib.crc32(raw[offset[i] - base : offset[i] - base + length[i]])
                         at = to
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_id, pa.int64(), mask=null), pa.array(shard.offsets + entry["start"]), pa.array(length), pa.array(crc), pa.array(keyed)],
+                    [pa.array(doc_id, pa.int64(), mask=null), pa.array(offset + entry["start"]), pa.array(length), pa.array(crc), pa.array(keyed)],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "keyed"],
                 )
 

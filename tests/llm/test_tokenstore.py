@@ -50,3 +50,17 @@ def test_hash_is_minimal_and_perfect():
         keys = np.unique(np.random.default_rng(n).integers(-(2**63), 2**63 - 1, n))
         slots = tokenstore.Hash(tokenstore.build(keys)).slots(keys)
         assert sorted(slots.tolist()) == list(range(len(keys)))
+
+
+def test_lookups_read_a_shard_once_and_misses_are_errors(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i // 2 * 3, cases.prose(30, i)) for i in range(200)] + [(7, "same " * 400)] * 60, "doc_id long, text string")
+    folder = str(tmp_path / "store")
+    manifest = tokenstore.write(docs, folder, PATH, shard_text=6000)
+    assert len(manifest["shards"]) > 10 and max(x["docs"] for x in manifest["shards"]) < 60  # repeated rows are dealt, too
+    store, made = tokenstore.Store(folder), []
+    real = tokenstore.Shard
+    monkeypatch.setattr(tokenstore, "Shard", lambda *a: made.append(1) or real(*a))
+    for _ in range(5):
+        assert store.get(30) is not None and store.get(31) is None
+    assert len(made) <= 2
+    assert {r.doc_id for r in docs.collect()} == {i for i in range(400) if store.get(i) is not None}
