@@ -71,17 +71,17 @@ def numbered(rows: DataFrame, by: list[str], name: str, order: list[str] | None
     A group is numbered in blocks of 4096 rows at most, which are written first, so that no group has to meet in one
     task; only the blocks' counts do. Rows that are equal in `by` and `order` are numbered arbitrarily.
     """
-    own = [*by, *(order or []), "__block"]
-    held = saved(rows.withColumn("__block", F.expr("shiftright(monotonically_increasing_id(), 12)")), "blocks")
-    counts = held.groupBy(*own).agg(F.count("*").alias("__count"))
-    upto = F.sum("__count").over(W.partitionBy(*by).orderBy(*own[len(by) :]).rowsBetween(W.unboundedPreceding, 0))
-    past = counts.select(*(F.col(c).alias(f"__past_{c}") for c in own), (upto - F.col("__count")).alias("__past"))
-    place = F.row_number().over(W.partitionBy(*own).orderBy(F.lit(0)))
+    block, place, count, past = (unused(rows, f"numbered_{x}") for x in ("block", "place", "count", "past"))
+    own = [*by, *(order or []), block]
+    held = saved(rows.withColumn(block, F.expr("shiftright(monotonically_increasing_id(), 12)")), "blocks")
+    counts = held.groupBy(*own).agg(F.count("*").alias(count))
+    upto = F.sum(count).over(W.partitionBy(*by).orderBy(*own[len(by) :]).rowsBetween(W.unboundedPreceding, 0))
+    before = counts.select(*(F.col(c).alias(f"{past}_{i}") for i, c in enumerate(own)), (upto - F.col(count)).alias(past))
     same = F.lit(True)
-    for c in own:
-        same = same & F.col(c).eqNullSafe(F.col(f"__past_{c}"))
-    placed = held.withColumn("__place", place).join(past, same)
-    return placed.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("__past") + F.col("__place")).alias(name))
+    for i, c in enumerate(own):
+        same = same & F.col(c).eqNullSafe(F.col(f"{past}_{i}"))
+    placed = held.withColumn(place, F.row_number().over(W.partitionBy(*own).orderBy(F.lit(0)))).join(before, same)
+    return placed.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col(past) + F.col(place)).alias(name))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -24,14 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiforge.llm._shared import WORD_SPACE, numbered, saved
+from lexiforge.llm._shared import WORD_SPACE, numbered, saved, unused
 
 SEED = 11
 TILT = 1.5
 MOST = 3
 WEIGHTS = (1, 2, 3)
 BITS = 48
-ROUNDS = 50
 
 
 def word_count(text: str = "text"):
@@ -39,28 +38,22 @@ def word_count(text: str = "text"):
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, share: float = 1.0) -> DataFrame:
-    """source, source_size, target: one row for each source of sizes (source, size)."""
-    spark = sizes.sparkSession
+    """source, source_size, target: one row for each source of sizes (source, size).
+
+    Sources in the order in which a rising level would cap them: the level that shares what is left, after the caps of
+    all before a source, by the weights of it and all after it, is the final one at the first source that it doesn't cap.
+    """
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(W.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))) - 1
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights) + 1).cast("int"))
-    table = saved(total.select("source", "source_size", weight.alias("w")), "sources")
-    goal = table.agg(F.sum("source_size")).first()[0] or 0
-    goal = share * goal
-    cap = f"{most!r}D * source_size"
-    level, left = 0.0, goal
-    for _ in range(table.count() + 1):  # each round but the last caps one source or more
-        free = table.where(f"w * {level!r}D < {cap}") if level else table.where("source_size > 0")
-        capped = table.where(f"w * {level!r}D >= {cap}").agg(F.sum(F.expr(cap))).first()[0] or 0.0 if level else 0.0
-        weight_left = free.agg(F.sum("w")).first()[0]
-        if not weight_left:
-            break
-        left = goal - capped
-        now = left / weight_left
-        if now <= level:
-            break
-        level = now
-    return saved(table.select("source", "source_size", F.expr(f"least({cap}, w * {level!r}D)").alias("target")), "targets")
+    table = saved(total.select("source", "source_size", weight.alias("w"), F.expr(f"{most!r}D * source_size").alias("cap")), "sources")
+    order = W.orderBy(F.expr("cap / w"), F.encode("source", "UTF-8"))  # one row a source
+    upto, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
+    goal = F.sum("source_size").over(W.partitionBy()) * float(share)
+    levels = table.where("source_size > 0").select("cap", "w", ((goal - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / F.sum("w").over(after)).alias("level"))
+    level = levels.where("w * level <= cap").agg(F.max("level")).first()[0]
+    level = float("inf") if level is None else level
+    return saved(table.select("source", "source_size", F.expr(f"if(source_size > 0, least(cap, w * double('{level!r}')), 0D)").alias("target")), "targets")
 
 
 def _uniform(key, seed: int):
@@ -76,20 +69,21 @@ def _on_source(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def _fitted(rows: DataFrame) -> DataFrame:
-    """source, scale: chance = least(1, scale * tilt), whose expected size is `need`. rows: source, size, tilt, need."""
-    flat = rows.groupBy("source").agg(F.first("need").alias("need"), F.sum(F.expr("size * tilt")).alias("mass"))
-    now = saved(flat.selectExpr("source", "if(mass > 0, need / mass, 0D) AS scale"), "scale")
-    for _ in range(ROUNDS):
-        over = _on_source(rows, now).groupBy("source").agg(
-            F.first("need").alias("need"), F.first("scale").alias("was"),
-            F.sum(F.expr("if(scale * tilt >= 1, size, 0)")).alias("sure"), F.sum(F.expr("if(scale * tilt >= 1, 0, size * tilt)")).alias("mass"),
-        )
-        grown = "if(mass > 0, greatest(was, (need - sure) / mass), was)"
-        both = saved(over.selectExpr("source", f"{grown} AS scale", f"{grown} > was * (1 + 1e-9) AS grew"), "scale")
-        now = both.select("source", "scale")
-        if both.where("grew").isEmpty():
-            break
-    return now
+    """source, scale: chance = least(1, scale * tilt), whose expected size is `need`. rows: source, size, tilt, need.
+
+    The longer the tilt, the sooner a document is certain. So sizes add up by tilt, of which there are 4096 a source at
+    most, and after the certain ones of the longest k tilts the scale is what is left of the need over the rest's mass:
+    the final one at the first k whose rest has none that is certain.
+    """
+    flat = rows.groupBy("source", "tilt").agg(F.first("need").alias("need"), F.sum("size").alias("size"))
+    order = W.partitionBy("source").orderBy(F.desc("tilt"))
+    before, rest = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
+    sure = F.coalesce(F.sum("size").over(before), F.lit(0))
+    scales = flat.select("source", "tilt", "need", sure.alias("sure"), F.sum(F.expr("size * tilt")).over(rest).alias("mass"))
+    scales = scales.selectExpr("source", "tilt", "if(mass > 0, (need - sure) / mass, 1D) AS scale")
+    fits = scales.where("scale * tilt < 1").groupBy("source").agg(F.max_by("scale", "tilt").alias("scale"))
+    every = flat.select("source").distinct().withColumnRenamed("source", "__o")
+    return saved(every.join(fits, F.col("__o").eqNullSafe(F.col("source")), "left").select(F.col("__o").alias("source"), F.coalesce("scale", F.lit(1.0)).alias("scale")), "scale")
 
 
 def mix(sized: DataFrame, table: DataFrame, seed: int = SEED) -> DataFrame:
@@ -97,7 +91,7 @@ def mix(sized: DataFrame, table: DataFrame, seed: int = SEED) -> DataFrame:
     rows = _on_source(sized, table)
     ratio = "if(source_size > 0, target / source_size, 0D)"
     rows = rows.select("*", F.expr(f"cast(floor({ratio} + 1e-12) AS int)").alias("whole"))
-    rows = rows.select("*", F.expr("greatest(0D, target - whole * source_size)").alias("need"), F.expr(f"1 + {TILT - 1}D * least(1D, ln(1D + size) / ln(4096D))").alias("tilt"))
+    rows = rows.select("*", F.expr("greatest(0D, target - whole * source_size)").alias("need"), F.expr(f"1 + {TILT - 1}D * least(1D, ln(1D + least(size, 4095)) / ln(4096D))").alias("tilt"))
     rows = saved(rows, "sized")
     fitted = _on_source(rows, _fitted(rows)).withColumn("p", F.expr("least(1D, scale * tilt)"))
     fitted = fitted.withColumn("u", _uniform(F.col("key"), seed))
@@ -105,7 +99,8 @@ def mix(sized: DataFrame, table: DataFrame, seed: int = SEED) -> DataFrame:
     rank = F.expr(f"CASE WHEN need <= 0 OR p <= 0 THEN NULL WHEN p >= 1 THEN 0L ELSE 1L + cast((u * (1 - p)) / (u * (1 - p) + p * (1 - u)) * {float((1 << BITS) - 2)!r}D AS bigint) END")
     ranked = saved(fitted.select(*rows.columns, rank.alias("rank")), "ranked")
 
-    open_ = ranked.where("rank IS NOT NULL").select("source", "size", "rank", "key", "need")
+    open_ = ranked.where("rank > 0").select("source", "size", "rank", "key", "need")
+    sure = saved(ranked.where("rank = 0").groupBy("source").agg(F.sum("size").alias("sure")), "sure")  # certain documents come before all buckets
     past = None  # for each source: the size of what lies before the bucket that is still open, and that bucket
     for level in (1, 2):
         shift = BITS - 12 * level
@@ -113,7 +108,7 @@ def mix(sized: DataFrame, table: DataFrame, seed: int = SEED) -> DataFrame:
         if past is not None:
             sums = _on_source(sums, past.select("source", "before"))
         else:
-            sums = sums.withColumn("before", F.lit(0).cast("long"))
+            sums = _on_source(sums, sure).withColumn("before", F.coalesce("sure", F.lit(0).cast("long"))).drop("sure")
         upto = F.sum("s").over(W.partitionBy("source").orderBy("b"))  # 4096 rows a source at most
         edge = sums.withColumn("upto", F.col("before") + upto).where("upto >= need").groupBy("source").agg(F.min(F.struct("b", "upto", "s")).alias("e"))
         past = saved(edge.selectExpr("source", "e.b AS b", "e.upto - e.s AS before"), "edge")
@@ -132,7 +127,7 @@ def mix(sized: DataFrame, table: DataFrame, seed: int = SEED) -> DataFrame:
     got = _on_source(ranked, cut)
     shift = BITS - 24
     inside = "cr IS NOT NULL AND (rank, key, size) <= (cr, ck, cs)"
-    extra = F.expr(f"CASE WHEN rank IS NULL THEN 0 WHEN edge IS NULL OR shiftright(rank, {shift}) < edge THEN 1 WHEN shiftright(rank, {shift}) > edge THEN 0 WHEN {inside} THEN 1 ELSE 0 END")
+    extra = F.expr(f"CASE WHEN rank IS NULL THEN 0 WHEN rank = 0 THEN 1 WHEN edge IS NULL OR shiftright(rank, {shift}) < edge THEN 1 WHEN shiftright(rank, {shift}) > edge THEN 0 WHEN {inside} THEN 1 ELSE 0 END")
     got = got.withColumn("extra", extra)
     # only the unit at the cut itself can have rows on both sides of it
     if not cut.where("takes < same").isEmpty():
@@ -159,16 +154,18 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with docs' columns."""
     sized = saved(sized_documents(docs), "sizes")
     got = mix(sized, targets(sized)).groupBy("key", "source", "size").agg(F.sum("copies").alias("__all"), F.count("*").alias("__n"))
-    plan = saved(got.select(F.col("key").alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__all", "__n"), "copies")
+    names = ["key", "source", "size", "all", "n", "own_key", "own_size", "own_source", "text", "nth", "times", "copy"]
+    k, src, size, total, n, own_key, own_size, own_source, texts, nth, times, copy = (unused(docs, f"mix_{x}") for x in names)
+    plan = saved(got.select(F.col("key").alias(k), F.col("source").alias(src), F.col("size").alias(size), F.col("__all").alias(total), F.col("__n").alias(n)), "copies")
     key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
-    own = docs.withColumns({"__k": key, "__z": word_count()})
-    joined = own.join(plan, (F.col("__k") == F.col("__key")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__z") == F.col("__size")))
+    own = docs.withColumns({own_key: key, own_size: word_count()})
+    joined = own.join(plan, (F.col(own_key) == F.col(k)) & F.col("source").eqNullSafe(F.col(src)) & (F.col(own_size) == F.col(size)))
     # rows that share key, source and size share their copies: the first ones of them get one more where they don't divide
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    many = joined.where("__n > 1").select(*kept, "__k", "__z", "__all", "__n", F.col("source").alias("__s"), F.xxhash64("text").alias("__t"))
-    times = F.expr("cast(floor(__all / __n) + if(__i <= __all % __n, 1, 0) AS int)")
-    parts = joined.where("__n = 1").select(*kept, F.col("__all").cast("int").alias("__times"))
-    if not plan.where("__n > 1").isEmpty():
-        parts = parts.unionByName(numbered(many, ["__k", "__s", "__z"], "__i", ["__t"]).select(*kept, times.alias("__times")))
-    copies = parts.where("__times > 0").withColumn("__c", F.explode(F.expr("sequence(1, __times)")))
+    parts = joined.where(F.col(n) == 1).select(*kept, F.col(total).cast("int").alias(times))
+    if not plan.where(F.col(n) > 1).isEmpty():
+        many = joined.where(F.col(n) > 1).select(*kept, own_key, own_size, total, n, F.col("source").alias(own_source), F.xxhash64("text").alias(texts))
+        each = F.floor(F.col(total) / F.col(n)) + F.when(F.col(nth) <= F.col(total) % F.col(n), 1).otherwise(0)
+        parts = parts.unionByName(numbered(many, [own_key, own_source, own_size], nth, [texts]).select(*kept, each.cast("int").alias(times)))
+    copies = parts.where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return copies.select(*kept)

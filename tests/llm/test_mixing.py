@@ -89,3 +89,21 @@ def test_numbered_in_blocks(spark):
         assert [n for n, _ in own] == list(range(1, len(own) + 1))
         assert [o for _, o in own] == sorted(o for _, o in own)
     assert numbered(rows.limit(0), ["g"], "n").count() == 0
+
+
+def test_columns_named_like_the_operator_s_own(spark):
+    docs = cases.frame(spark)
+    for c in ("__size", "__times", "__k", "__z", "mix_key", "mix_size", "numbered_block"):
+        docs = docs.selectExpr("*", f"'x' AS {c}")
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns and {r["__size"] for r in got.collect()} == {"x"}
+
+
+def test_scale_is_the_one_whose_expected_size_is_the_need(spark):
+    rng = __import__("random").Random(3)
+    rows = [(s, n, 1 + 0.5 * (n / 50), need) for s, need in (("a", 900.0), ("b", 20.0), (None, 1500.0)) for n in [rng.randrange(0, 50) for _ in range(60)]]
+    df = spark.createDataFrame(rows, "source string, size long, tilt double, need double")
+    for r in mixing._fitted(df).collect():
+        own = [x for x in rows if x[0] == r.source]
+        expected = sum(min(1, r.scale * t) * n for _, n, t, _ in own)
+        assert abs(expected - min(own[0][3], sum(x[1] for x in own))) < 1e-6
