@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. The vector of a trigram binds its letters: the product of their
+Each letter, whatever its script, has a random vector of +1 and -1, made from its code point. The vector of a trigram binds its letters: the product of their
 vectors, permuted (rotated) by their place. A text's vector bundles, that is sums, the vectors of its trigrams
 (letters lower-cased, anything else a boundary); a language's prototype bundles the texts it is learned from,
 each at length one. A text has the language whose prototype has the greatest cosine with it (ties: the first
@@ -16,7 +16,7 @@ very long one takes no more memory than others.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,39 +29,46 @@ SEED = 3
 PIECE = 1 << 20
 #: Texts whose vectors are made in one matrix product.
 TOGETHER = 128
-SYMBOLS = 64
+#: Tasks that learn: the texts that are learned from are dealt to them.
+LEARNERS = 16
+#: Letters whose vectors a worker remembers.
+MEMO = 1 << 15
 
 
 @cache
 def letters() -> np.ndarray:
-    """A symbol of 1 to 63 for each code point that is a letter, 0 for others."""
-    own = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        if chr(c).isalpha():
-            own[c] = 1 + c % 63
-    return own
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-@cache
-def letter_vectors() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIM))
+@lru_cache(MEMO)
+def letter_vector(c: int) -> np.ndarray:
+    """The vector of a code point; 0 is the boundary."""
+    return np.random.default_rng([SEED, c]).choice(np.array([-1, 1], np.int8), DIM)
+
+
+BITS = 21  # of a code point
 
 
 def trigram_vectors(ids: np.ndarray) -> np.ndarray:
-    own = letter_vectors()
-    a, b, c = ids >> 12, ids >> 6 & 63, ids & 63
+    mask = (1 << BITS) - 1
+    points, place = np.unique(np.concatenate([ids >> 2 * BITS, ids >> BITS & mask, ids & mask]), return_inverse=True)
+    own = np.stack([letter_vector(int(c)) for c in points])
+    a, b, c = place.reshape(3, -1)
     return (np.roll(own, 2, axis=1)[a] * np.roll(own, 1, axis=1)[b] * own[c]).astype(np.float32)
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The trigrams of a text and their counts."""
+    """The trigrams of a text, as numbers of three code points, and their counts."""
     total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    mask = (1 << BITS) - 1
     for at in range(0, len(text), PIECE):
         piece = text[max(0, at - 2) : at + PIECE]
-        s = letters()[np.frombuffer(f" {piece.lower()} ".encode("utf-32-le", "replace"), np.uint32)].astype(np.int64)
+        s = np.frombuffer(f" {piece.lower()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        s = np.where(letters()[s], s, 0)
         s = s[(s != 0) | np.concatenate([[True], s[:-1] != 0])]
-        ids = s[:-2] << 12 | s[1:-1] << 6 | s[2:]
-        ids = ids[(ids >> 6 & 63) != 0]  # the middle one is a letter
+        ids = s[:-2] << 2 * BITS | s[1:-1] << BITS | s[2:]
+        ids = ids[(ids >> BITS & mask) != 0]  # the middle one is a letter
         more = np.unique(ids, return_counts=True)
         if len(total[0]):
             ids, place = np.unique(np.concatenate([total[0], more[0]]), return_inverse=True)
@@ -108,7 +115,8 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> dict[str, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "sum"])
 
     out: dict[str, np.ndarray] = {}
-    for r in fit.mapInArrow(run, "lang string, sum binary").coalesce(16).toLocalIterator():  # a row a language and task
+    # the scan stays parallel, what it finds goes to LEARNERS tasks, and a row a language and task comes here
+    for r in fit.repartition(LEARNERS).mapInArrow(run, "lang string, sum binary").collect():
         out[r["lang"]] = out.get(r["lang"], 0) + np.frombuffer(r["sum"], np.float64)
     return {k: v for k, v in sorted(out.items()) if np.linalg.norm(v) > 0}
 
