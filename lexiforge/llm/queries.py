@@ -39,8 +39,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(_read(spark, sf_dir, "documents"))
 
 
+#: Bytes of a shard of op6_shards: small tables, too, have many.
+QUERY_SHARD = 1 << 18
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.assign(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = sharding.assign(_read(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_SHARD)
     return out.selectExpr("doc_id", "cast(octet_length(coalesce(text, '')) as bigint) AS doc_bytes", "shard", "depth", "shard_bytes", "shard_docs")
 
 
@@ -71,13 +75,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-_SHARDS = """
+_SHARDS = f"""
 WITH d AS (
   SELECT doc_id, strlen(coalesce(text, '')) AS b, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS h FROM documents
 ), l AS (
   SELECT k AS depth, h >> (60 - k) AS p, sum(b) AS shard_bytes, count(*) AS shard_docs
-  FROM d, (SELECT unnest(range(0, 41)) AS k) GROUP BY 1, 2
-), f AS (SELECT * FROM l WHERE shard_bytes <= 67108864 OR shard_docs = 1),
+  FROM d, (SELECT unnest(range(0, 61)) AS k) GROUP BY 1, 2
+), f AS (SELECT * FROM l WHERE shard_bytes <= {QUERY_SHARD} OR shard_docs = 1 OR depth = 60),
 m AS (
   SELECT doc_id, b, h, min(depth) AS depth FROM d JOIN f ON f.p = (d.h >> (60 - f.depth)) GROUP BY 1, 2, 3
 )

@@ -13,10 +13,11 @@ An empty table gives an empty table. Extra columns stay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lexiforge.llm._shared import saved
+from lexiforge.llm._shared import fresh_path, saved, unused
 
 SHARD_BYTES = 64 << 20
 BITS = 60
@@ -28,9 +29,11 @@ def hash_bits(key: Column) -> Column:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
+    """row (docs' columns), __h, __bytes: the row goes along as one column, so that its names can't clash with others."""
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), text))
-    return docs.select("*", hash_bits(key).alias("__h"), F.octet_length(text).cast("long").alias("__bytes"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, hash_bits(key).alias("__h"), F.octet_length(text).cast("long").alias("__bytes"))
 
 
 def directory(hashed: DataFrame, limit: int, step: int = 12) -> DataFrame:
@@ -67,12 +70,13 @@ def directory(hashed: DataFrame, limit: int, step: int = 12) -> DataFrame:
 def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """docs with shard (its prefix as 0s and 1s), depth, shard_bytes, shard_docs; columns of those names are replaced."""
     added = ["shard", "depth", "shard_bytes", "shard_docs"]
-    hashed = _sized(docs.drop(*added))
+    docs = docs.drop(*added)
+    hashed = _sized(docs)
     alike = hashed.groupBy("__h").agg(F.sum("__bytes").alias("b"), F.count("*").alias("n")).where(f"b > {limit} AND n > 1")
     many = saved(alike.select(F.col("__h").alias("__many")), "alike")
-    if not many.isEmpty():
+    if not many.isEmpty():  # what is salted is written before it is used: a repeated task can't deal its rows otherwise
         salted = hashed.join(many, F.col("__h") == F.col("__many"), "left")
-        salt = F.concat_ws(":", F.col("__h").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))), F.monotonically_increasing_id().cast("string"))
+        salt = F.concat_ws(":", F.col("__h").cast("string"), F.md5(F.coalesce(F.col("row.text"), F.lit(""))), F.monotonically_increasing_id().cast("string"))
         hashed = saved(salted.withColumn("__h", F.when(F.col("__many").isNull(), F.col("__h")).otherwise(hash_bits(salt))).drop("__many"), "salted")
     leaves = directory(hashed.select("__h", "__bytes"), limit)
     depths = [r[0] for r in leaves.select("depth").distinct().collect()]  # BITS + 1 values at most
@@ -88,9 +92,24 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         found = saved(probes.join(leaf.select("__leaf"), "__leaf", "left_semi"), "found").select(F.col("__h").alias("__g"), "__leaf")
         probed = hashed.join(found, F.col("__h") == F.col("__g"))
     out = probed.join(leaf, "__leaf").withColumn("shard", prefix)
-    return out.select(*[F.col(f"`{c}`") for c in docs.drop(*added).columns], *added)
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns], *added)
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
-    """One folder a shard, and in it one file: rows of a shard meet in one task, which its byte limit bounds."""
-    assigned.repartition("shard").write.partitionBy("shard").parquet(path)
+    """One folder a shard (`at=p` and its prefix), and in it one file: rows of a shard meet in one task, which its byte
+    limit bounds."""
+    at = unused(assigned, "at")
+    assigned.withColumn(at, F.concat(F.lit("p"), F.col("shard"))).repartition(at).write.partitionBy(at).parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Written shards; schema: of what was assigned."""
+    return spark.read.schema(schema).parquet(path).select(*(F.col(f"`{c}`") for c in schema.names))
+
+
+def sharded(docs: DataFrame, limit: int = SHARD_BYTES, path: str | None = None) -> DataFrame:
+    """`assign`'s rows, read from the shards that are written to path (default: in the shared folder)."""
+    spark, assigned = docs.sparkSession, assign(docs, limit)
+    path = path or fresh_path(spark, "shards")
+    write_shards(assigned, path)
+    return read_shards(spark, path, assigned.schema)

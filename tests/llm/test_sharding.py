@@ -39,3 +39,12 @@ def test_write_shards(spark, tmp_path):
     docs = spark.read.parquet(f"{cases.SF}/documents.parquet")
     sharding.write_shards(sharding.assign(docs, 50_000), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+
+
+def test_sharded_rows_come_from_files(spark, tmp_path):
+    docs = cases.frame(spark, [*cases.ROWS, *[(100 + i, cases.prose(50, i), "en", "a", 1) for i in range(40)]]).selectExpr("*", "'x' AS __h", "'y' AS `row`", "'z' AS at")
+    got = sharding.sharded(docs, 4000, str(tmp_path / "s"))
+    assert got.columns == sharding.assign(docs, 4000).columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, sharding.assign(docs, 4000).collect()))
+    assert len(list((tmp_path / "s").glob("at_=p*"))) == got.select("shard").distinct().count() > 2
+    assert sharding.sharded(cases.empty(spark), 100).count() == 0
