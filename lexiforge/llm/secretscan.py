@@ -2,7 +2,8 @@
 
 The base layer is the text. A worklist unwraps each layer: URL escapes and Unicode escapes are replaced where
 they stand, and runs of base64, also those wrapped over lines of equal length, become layers of their own,
-inflated first if they hold zlib or gzip data. What isn't UTF-8 is replaced, and the rest scanned; bytes with NULs
+inflated first if they hold zlib or gzip data; a run is read at all four alignments, as a path or a name may precede
+what is encoded. What isn't UTF-8 is replaced, and the rest scanned; bytes with NULs
 are read as UTF-16, too. Each new layer is scanned and unwrapped again until nothing new comes; a layer whose content has been seen at the
 same place ends there, so a cycle does too. Each layer carries, for each of its characters, the part of the
 text that it came from, and what is found is reported at that part.
@@ -47,6 +48,8 @@ LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 #: A layer without any of these holds neither a secret nor a layer.
 WORTH = re.compile("|".join(f"(?:{x.replace('(?i)', '')})" for x in (*SIGNS.values(), LAYERS)), re.IGNORECASE)
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+#: The first symbols of gzip and zlib data in base64.
+PACKED = re.compile(r"H4sI|eAE|eF4|eJ|eN[o-r]")
 INFLATED, LAP = 1 << 20, 1 << 12
 #: The last byte that can't belong to a run, an escape or a line end.
 BREAK = re.compile(rb"[^A-Za-z0-9+/_=%\\{}\x00\r\n\t-](?=[A-Za-z0-9+/_=%\\{}\x00\r\n\t-]*\Z)")
@@ -114,6 +117,11 @@ def _texts(raw: bytes) -> Iterator[str]:
             yield piece.decode("utf-16-be", "replace")
 
 
+def _starts(run: str) -> list[int]:
+    """Where base64 may begin in a run that a path or a name precedes: at its four alignments, and at signs of compression."""
+    return [*range(min(4, len(run) - 15)), *(m.start() for m in PACKED.finditer(run, 4) if len(run) - m.start() >= 16)]
+
+
 def _blob(found: str) -> Iterator[str]:
     body = found.rstrip("=").translate({45: 43, 95: 47})
     body = body[: len(body) - (len(body) % 4 == 1)]
@@ -171,7 +179,7 @@ class Layer:
             yield x
         if "\\" in self.text and (x := self.replaced(ESCAPE, _escape)):
             yield x
-        runs = ((m.start(), m.end(), m[0]) for m in BLOB.finditer(self.text))
+        runs = ((m.start() + at, m.end(), m[0][at:]) for m in BLOB.finditer(self.text) for at in _starts(m[0]))
         for a, b, run in chain(runs, _wrapped(self.text) if "\n" in self.text else ()):
             for text in _blob(run):
                 n = len(text)

@@ -91,3 +91,34 @@ def test_large_and_later_members_are_read(monkeypatch):
     for at in range(8100, 8300, 7):
         nested = base64.b64encode(zlib.compress(plain * 3))
         assert spans("x " + base64.b64encode(zlib.compress(b"ab, " * (at // 4) + b"," * (at % 4) + nested + b" ab," * 3000)).decode())
+
+
+def test_random_nests_are_unwrapped():
+    """Every secret inside random layers over layers, with a path before or lines around it, at its part of the text."""
+    import base64
+    import gzip
+    import random
+    import zlib
+
+    rng = random.Random(8)
+
+    def b64(raw):
+        return base64.b64encode(raw).decode()
+
+    def wrapped(raw):
+        return "\n".join(b64(raw)[i : i + 76] for i in range(0, len(b64(raw)), 76))
+
+    layers = [
+        lambda t: b64(t.encode()), lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="), lambda t: b64(gzip.compress(t.encode())), lambda t: b64(zlib.compress(t.encode())),
+        lambda t: wrapped(gzip.compress(t.encode())), lambda t: wrapped(t.encode()), lambda t: "".join(f"%{b:02x}" for b in t.encode()),
+        lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: b64(gzip.compress(b"pad " * 50) + gzip.compress(t.encode())), lambda t: b64(t.encode() + b"\xff\x00\x1b"),
+        lambda t: "a/" * rng.randrange(1, 6) + b64(t.encode()), lambda t: "v1/" + b64(zlib.compress(t.encode())),
+    ]
+    for n in range(300):
+        inner = f"note {cases.prose(rng.randrange(2, 30), n)} password = Hidden{n}xyz; the end"
+        for _ in range(rng.randrange(1, 4)):
+            inner = rng.choice(layers)(inner)
+        before = cases.prose(5, n) + rng.choice([" ", ": ", "\n\n"])
+        text = f"{before}{inner} {cases.prose(5, n)}"
+        found = s.added(text)
+        assert any(k == 0 and a >= len(before) and b <= len(before) + len(inner) for a, k, b in found), (n, text)
