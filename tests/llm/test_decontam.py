@@ -16,6 +16,10 @@ def edit(text, rate, rng):
     return "".join(out)
 
 
+def plain(text):
+    return decontam.normalised([text])[0].astype("<u4").tobytes().decode("utf-32-le").strip()
+
+
 def slow_infix(item, window):
     row = [0] * (len(window) + 1)
     for i, a in enumerate(item, 1):
@@ -82,7 +86,7 @@ def test_recall_at_the_radius_by_item_length(spark):
     for size in (40, 60, 81, 110, 10**6):
         items = []
         for r in rows:
-            text = decontam.normalised([r.text])[0].astype("<u4").tobytes().decode("utf-32-le").strip()[:size].strip()
+            text = plain(r.text)[:size].strip()
             if len(text) >= min(size, 110):
                 items.append((r.item_id, text))
         index = decontam.Index(items, decontam.MOST)
@@ -90,7 +94,7 @@ def test_recall_at_the_radius_by_item_length(spark):
             copies = []
             for i, text in items:
                 most = int(share * len(text))
-                tries = (edit(text, share, rng) for _ in range(200))
+                tries = (plain(edit(text, share, rng)) for _ in range(200))
                 copies += [(i, e) for e in tries if most - 1 <= decontam.infix_distance(text, e) <= most][:1]
             got = decontam.scan(index, [f"{cases.prose(20, i)} {e} {cases.prose(20, i + 1)}" for i, e in copies])
             known = sum(i in {items[k][0] for k in own} for (i, _), own in zip(copies, got, strict=True))
@@ -106,4 +110,11 @@ def test_lower_bound_is_one(spark):
         points, own, _ = decontam.normalised([f"{cases.prose(5, k)} {edit(text, rng.choice((0.1, 0.2, 0.3)), rng)} {cases.prose(5, k)}"])
         start = len(decontam.normalised([cases.prose(5, k)])[0]) // 8 * 8
         window = points[max(0, start - most - 8) : start + len(text) + most + 16].astype("<u4").tobytes().decode("utf-32-le")
-        assert decontam.least_distances(index, own, decontam.np.array([k]), decontam.np.array([start]))[0] <= decontam.infix_distance(text, window)
+        bound = decontam.least_distances(index, own, decontam.np.array([k]), decontam.np.array([start]))[0]
+        assert min(bound, most + 1) <= decontam.infix_distance(text, window)
+
+
+def test_string_ids_of_items(spark):
+    items = spark.createDataFrame([("x1", cases.prose(40, 9)), (None, cases.prose(40, 3))], "item_id string, text string")
+    docs = cases.frame(spark, [(50, cases.prose(90, 4) + " " + cases.prose(40, 9), "en", "a", 1), (51, cases.prose(40, 3), "en", "a", 1)])
+    assert sorted(((r.doc_id, r.item_id) for r in decontam.matches(docs, items).collect()), key=str) == [(50, "x1"), (51, None)]
