@@ -1,10 +1,13 @@
 """The stored collection: Parquet under one folder, partitioned by a bucket of the path, so that replacing or
-removing documents rewrites the buckets that hold them and no others. A new version of a bucket is written
-beside the old one, and the pointer file is swapped last: readers never see half a change."""
+removing documents rewrites the buckets that hold them and no others. States are numbered files: a change writes its
+rows, then the next state, and readers take the newest complete one, so that they never see half a change and a
+crash at any step leaves the state before. Two writers that make the same state number conflict, and the later one fails.
+Folders that the newest KEPT states don't name are removed."""
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,9 @@ from lexiforge.operators import catalog, retrieval
 
 SCHEMA = "id string, path string, checksum string, document string, tags string, embedding array<float>, metadata map<string,string>"
 BUCKETS = 64
+KEPT = 2
+#: Tasks that write a bucket.
+WRITERS = 4
 
 
 class Collection:
@@ -24,6 +30,7 @@ class Collection:
     def __init__(self, spark: SparkSession, folder: str, name: str = "corpus", metric: str = "cosine", buckets: int = BUCKETS):
         self.spark, self.folder = spark, f"{folder.rstrip('/')}/{name}"
         self._tags: list[str] | None = None
+        self._mine: set[str] = set()
         state = self._state()
         if state is None:
             if metric not in ("cosine", "l2", "ip"):
@@ -37,22 +44,57 @@ class Collection:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def _state(self) -> dict | None:
-        fs, target = self._fs(f"{self.folder}/state.json")
+    def _states(self) -> list[int]:
+        """Numbers of the states that have been begun, the newest first."""
+        fs, target = self._fs(self.folder)
         if not fs.exists(target):
+            return []
+        found = (re.fullmatch(r"state-(\d+)\.json", s.getPath().getName()) for s in fs.listStatus(target))
+        return sorted((int(m[1]) for m in found if m), reverse=True)
+
+    def _state(self, number: int | None = None) -> dict | None:
+        """The state of a number, or the newest complete one; None if there is none or it isn't complete."""
+        if number is None:
+            return next((x for x in map(self._state, self._states()) if x is not None), None)
+        said = "\n".join(r.value for r in self.spark.read.text(f"{self.folder}/state-{number:012d}.json").collect())
+        try:
+            return json.loads(said)
+        except ValueError:
             return None
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.folder}/state.json").collect()))
 
     def _commit(self, state: dict) -> None:
-        fs, target = self._fs(f"{self.folder}/state.json")
-        _, fresh = self._fs(f"{self.folder}/state-{uuid.uuid4().hex}.json")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps(state).encode()))
+        """Writes the state that follows the one that `state` was made from (its "number")."""
+        begun = self._states()
+        if begun and self._state(begun[0]) is not None and begun[0] != state.get("number"):
+            raise CollectionError("another writer changed the collection")
+        number = (begun[0] if begun else 0) + 1
+        fs, target = self._fs(f"{self.folder}/state-{number:012d}.json")
+        try:
+            out = fs.create(target, False)
+        except Exception as x:
+            raise CollectionError("another writer changed the collection") from x
+        out.write(bytearray(json.dumps(state | {"number": number}).encode()))
         out.close()
-        fs.delete(target, False)
-        if not fs.rename(fresh, target):
-            raise CollectionError("the state could not be replaced")
         self._tags = None
+        self._clean()
+
+    def _clean(self) -> None:
+        """Removes states before the newest KEPT complete ones, and rows that none of these names."""
+        kept, used, whole = set(), set(), 0
+        for n in self._states():
+            state = self._state(n) if whole < KEPT else None
+            if state is not None:
+                whole += 1
+                kept.add(n)
+                used |= {p.split("/")[0] for own in state["parts"].values() for p in own}
+        fs, target = self._fs(self.folder)
+        for s in fs.listStatus(target):
+            name = s.getPath().getName()
+            old = re.fullmatch(r"state-(\d+)\.json", name)
+            stale = name.startswith("rows-") and name not in used and name not in self._mine
+            if stale or (old and int(old[1]) < min(kept)):
+                fs.delete(s.getPath(), True)
+        self._mine.clear()
 
     def rows(self, buckets: list[str] | None = None) -> DataFrame:
         parts = self._state()["parts"]
@@ -67,7 +109,8 @@ class Collection:
     def _write(self, rows: DataFrame, state: dict, replace: bool) -> None:
         version = uuid.uuid4().hex
         path = f"{self.folder}/rows-{version}"
-        rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(path)
+        dealt = rows.withColumn("bucket", self._bucket()).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(WRITERS)))
+        dealt.write.partitionBy("bucket").parquet(path)
         fs, target = self._fs(path)
         for s in fs.listStatus(target):
             name = s.getPath().getName()
@@ -75,17 +118,27 @@ class Collection:
                 old = [] if replace else state["parts"].get(name[7:], [])
                 state["parts"][name[7:]] = [*old, f"rows-{version}/{name}"]
 
-    def append(self, rows: DataFrame, replace_paths: bool = True) -> DataFrame:
+    def append(self, rows: DataFrame, replace_paths: bool | DataFrame = True) -> DataFrame:
         """Stores rows; returns ids that occur twice or more (the first by chunk text is kept). Rows of the same
-        paths are replaced unless replace_paths is off."""
+        paths, or of the paths given, are replaced in the same commit, unless replace_paths is off. rows are computed
+        once: they are written as they are first, and all else reads that."""
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        own = rows.select(*names)
-        twice = catalog.duplicate_ids(own)
-        own = own.groupBy("id").agg(F.min_by(F.struct(*[c for c in names if c != "id"]), "document").alias("r")).select("id", "r.*").select(*names)
-        if replace_paths:
-            self.delete_where(rows.select("path").distinct())
         state = self._state()
-        self._write(own, state, replace=False)
+        incoming = f"rows-{uuid.uuid4().hex}"
+        self._mine.add(incoming)
+        rows.select(*names).write.parquet(f"{self.folder}/{incoming}")
+        came = self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{incoming}")
+        twice = catalog.duplicate_ids(came)
+        own = came.groupBy("id").agg(F.min_by(F.struct(*[c for c in names if c != "id"]), "document").alias("r")).select("id", "r.*").select(*names)
+        if replace_paths is False:
+            self._write(own, state, replace=False)
+        else:
+            paths = (came if replace_paths is True else replace_paths).select("path").distinct()
+            hit = {r[0] for r in paths.select(self._bucket().alias("b")).distinct().collect()} & set(state["parts"])  # BUCKETS values at most
+            left = self.rows(sorted(hit)).join(paths, "path", "left_anti").select(*names)
+            for b in hit:
+                state["parts"][b] = []
+            self._write(own.unionByName(left), state, replace=False)
         self._commit(state)
         return twice
 

@@ -1,10 +1,12 @@
 """Incremental ingest: batch by state tables, and as a stream of new files.
 
-A file is marked open before it is parsed and closed after its rows are stored, so what a lost run left open is
-done again; a second run over the same files stores nothing new."""
+Files are marked open before they are parsed, and the mark goes after their rows are stored, so what a lost run left
+open is done again; a second run over the same files stores nothing new."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,14 +28,35 @@ def stored_rows(chunks: DataFrame, files: DataFrame, model: Embedder, strict: bo
     return vectors.select("id", "path", "checksum", F.col("text").alias("document"), "tags", "embedding", metadata.alias("metadata"))
 
 
+MARKS = "path string, checksum string"
+
+
+def left_open(collection: Collection) -> DataFrame:
+    """path, checksum of files that a run marked and didn't finish."""
+    fs, target = collection._fs(f"{collection.folder}/open")
+    found = [s.getPath().toString() for s in fs.listStatus(target)] if fs.exists(target) else []
+    spark = collection.spark
+    return spark.read.schema(MARKS).parquet(*found) if found else spark.createDataFrame([], MARKS)
+
+
 def ingest(files: DataFrame, collection: Collection, model: Embedder, open_: DataFrame | None = None, **options) -> DataFrame:
-    """Parses, embeds and stores what isn't stored yet; returns the rejects. files: path, checksum, content."""
-    new = catalog.needs_processing(files, collection.rows(), open_)
+    """Parses, embeds and stores what isn't stored yet; returns the rejects. files: path, checksum, content.
+    open_: what to do again besides; by default what runs before left open."""
+    spark = collection.spark
+    new = catalog.needs_processing(files, collection.rows(), left_open(collection) if open_ is None else open_)
+    marks = f"{collection.folder}/open/{uuid.uuid4().hex}"
+    new.select("path", "checksum").write.parquet(marks)
+    todo = spark.read.schema(MARKS).parquet(marks)
+    new = files.join(todo.select("path", "checksum").distinct(), ["path", "checksum"], "left_semi")  # as it was when marked
     chunks, rejects = chunked(new, **options)
+    refused = f"{collection.folder}/rejects/{uuid.uuid4().hex}"
+    rejects.write.parquet(refused)
+    rejects = spark.read.schema(rejects.schema).parquet(refused)
     accepted = new.join(rejects.select("path"), "path", "left_anti")
-    rows = stored_rows(chunks.select(*CHUNKS), accepted, model)
-    if not new.isEmpty():
-        collection.append(rows)
+    if not todo.isEmpty():
+        collection.append(stored_rows(chunks.select(*CHUNKS), accepted, model), todo.join(rejects.select("path"), "path", "left_anti"))
+    fs, target = collection._fs(f"{collection.folder}/open")
+    fs.delete(target, True)
     return rejects
 
 
