@@ -92,19 +92,21 @@ def paragraph_chunks(body: Column, max_size: int = MARKDOWN_SIZE) -> Column:
 
 def text_chunks(docs: DataFrame, key: str, text: str = "text", kind: str = "paragraph", **sizes: int) -> DataFrame:
     """A row for each chunk of a text: key, chunk_index, text, offsets (running lengths), urls, summary, topics."""
-    exploded = docs.select(key, F.posexplode(sentence_chunks(F.col(text), **sizes)).alias("chunk_index", "chunk"))
-    return positions(exploded, key).select(
+    made = docs.select(key, sentence_chunks(F.col(text), **sizes).alias("chunks"))
+    return positions(made, key).select(
         key, "chunk_index", F.col("chunk").alias("text"), "start_offset", "end_offset",
         t.url_contexts(F.col("chunk"), kind).alias("url_contexts"), t.url_cell(t.url_contexts(F.col("chunk"), kind)).alias("urls"),
         F.array(F.lit("Unknown")).alias("topics"), t.summary(F.col("chunk")).alias("summary"),
     )
 
 
-def positions(chunks: DataFrame, key: str) -> DataFrame:
-    """start_offset: the lengths of the chunks before; end_offset: the last character's."""
-    before = W.partitionBy(key).orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("chunk")).over(before), F.lit(0))
-    return chunks.withColumn("start_offset", start).withColumn("end_offset", F.col("start_offset") + F.length("chunk") - 1)
+def positions(made: DataFrame, key: str) -> DataFrame:
+    """key, chunk_index, chunk, start_offset (the lengths of the chunks before), end_offset (the last character's) of each
+    of a row's `chunks`. Offsets are summed inside the row: nothing moves, and rows may repeat a key."""
+    starts = F.aggregate("chunks", F.array(F.lit(0).cast("long")), lambda seen, c: F.array_append(seen, F.element_at(seen, -1) + F.length(c)))
+    each = F.posexplode(F.arrays_zip(F.col("chunks").alias("chunk"), F.slice(starts, 1, F.greatest(F.size("chunks"), F.lit(0))).alias("start")))
+    rows = made.where("size(chunks) > 0").select(key, each.alias("chunk_index", "c"))
+    return rows.select(key, "chunk_index", "c.chunk", F.col("c.start").alias("start_offset"), (F.col("c.start") + F.length("c.chunk") - 1).alias("end_offset"))
 
 
 def totals(chunks: DataFrame, key: str, text: str = "chunk") -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as t
 from lexiforge.functions import vector as v
+from lexiforge.models import base
 from lexiforge.operators import catalog, chunking, markdown, profile
 from lexiforge.operators import retrieval as r
 from lexiforge.sources import scan
+from lexiforge.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -288,7 +290,8 @@ def chunk_sentences(spark, sf_dir):
 
 @query(f"WITH {_CHUNK_SQL} SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(coalesce(sum(length(chunk)) OVER w, 0) AS BIGINT) AS start_offset, CAST(coalesce(sum(length(chunk)) OVER w, 0) + length(chunk) - 1 AS BIGINT) AS end_offset FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def chunk_positions(spark, sf_dir):
-    return chunking.positions(_chunks(spark, sf_dir), "doc_id").select("doc_id", "chunk_index", "start_offset", "end_offset")
+    made = table(spark, sf_dir, "documents").select("doc_id", chunking.sentence_chunks(F.col("text")).alias("chunks"))
+    return chunking.positions(made, "doc_id").select("doc_id", "chunk_index", "start_offset", "end_offset")
 
 
 @query(f"WITH {_CHUNK_SQL} SELECT doc_id, count(*) AS chunk_count, CAST(sum(length(chunk)) AS BIGINT) AS total_tokens FROM c GROUP BY 1")
@@ -354,20 +357,60 @@ def section_split(spark, sf_dir):
     return got.select("page_id", "chunk_index", "section_header", "text", F.when(F.col("chunk_index") == 1, F.col("tags")).otherwise("").alias("tags"), F.array_join("section_hierarchy", " > ").alias("path"))
 
 
-_OUTLINE = "concat('# ', url, '\\n## ', page_id % 7, '\\nbody\\n# end')"
+_OUTLINE = "concat('# ', source, '\\n', text, '\\n## ', lang, '\\n', text, '\\n# end')"
 
 
-@query("WITH h AS (SELECT page_id, url AS header, 0 AS line FROM pages UNION ALL SELECT page_id, CAST(page_id % 7 AS VARCHAR), 1 FROM pages UNION ALL SELECT page_id, 'end', 3 FROM pages) SELECT page_id, CAST(line AS INTEGER) AS line, string_agg(header, ' > ') OVER (PARTITION BY page_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS path FROM h")
+@query("""WITH d AS (SELECT doc_id, source, lang, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL)
+SELECT doc_id, 0 AS line, source AS path FROM d UNION ALL SELECT doc_id, CAST(n + 1 AS INTEGER), source || ' > ' || lang FROM d UNION ALL SELECT doc_id, CAST(2 * n + 2 AS INTEGER), source || ' > ' || lang || ' > end' FROM d""")
 def header_path(spark, sf_dir):
-    own = table(spark, sf_dir, "pages").select("page_id", t.lines(F.expr(_OUTLINE)).alias("lines")).withColumn("heads", markdown.headers(F.col("lines")))
-    found = own.select("page_id", F.explode(markdown.sections(F.col("lines"), F.col("heads"))).alias("s"))
-    return found.select("page_id", F.col("s.start_offset").cast("int").alias("line"), F.array_join("s.section_hierarchy", " > ").alias("path"))
+    own = table(spark, sf_dir, "documents").select("doc_id", t.lines(F.expr(_OUTLINE)).alias("lines")).withColumn("heads", markdown.headers(F.col("lines")))
+    found = own.select("doc_id", F.explode(markdown.sections(F.col("lines"), F.col("heads"))).alias("s"))
+    return found.select("doc_id", F.col("s.start_offset").cast("int").alias("line"), F.array_join("s.section_hierarchy", " > ").alias("path"))
 
 
-@query("SELECT page_id, 'tag' || (page_id % 3) || ',a-b' AS tags FROM pages")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all('x#no #tag' || (doc_id % 3) || ' ##no ' || text || ' (#a-b), #tag' || (doc_id % 3) || ' # no', '(?:^|[^#\\w\\x{80}-\\x{10FFFF}])#([A-Za-z0-9_-]+)', 1))), ',') AS tags FROM documents WHERE text IS NOT NULL")
 def hashtag_list(spark, sf_dir):
-    text = F.expr("concat('x#no #tag', page_id % 3, ' ##no (#a-b), #tag', page_id % 3, ' # no')")
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(t.hashtags(text), ",").alias("tags"))
+    text = F.expr("concat('x#no #tag', doc_id % 3, ' ##no ', text, ' (#a-b), #tag', doc_id % 3, ' # no')")
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(F.array_sort(t.hashtags(text)), ",").alias("tags"))
+
+
+_FRONT = "concat('---\\ntags: [', lang, ', ', source, ']\\ncategory: x, ', lang, '\\n---\\n', text)"
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct([lang, source, 'x'])), ',') AS tags, md5(text) AS body FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL")
+def front_matter(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL").select("doc_id", F.expr(_FRONT).alias("text"))
+    return d.select("doc_id", F.array_join(markdown.front_tags(markdown.front_matter(F.col("text"))), ",").alias("tags"), F.md5(markdown.body(F.col("text")).cast("binary")).alias("body"))
+
+
+_STRIPPED = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, md5({_STRIPPED}) AS chunk FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE {_STRIPPED} <> ''")
+def paragraph_split(spark, sf_dir):
+    """Each line of the text as a paragraph of its own, none gathered with the next."""
+    text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    made = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.paragraph_chunks(text, 1)).alias("chunk_index", "chunk"))
+    return made.select("doc_id", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("chunk"))
+
+
+@query("SELECT source || '/' || doc_id || ':0' AS id, source || '/' || doc_id AS path, md5(coalesce(text, '')) AS document, CASE WHEN text IS NULL THEN 1 ELSE 3 END AS n_metadata, coalesce(regexp_matches(text, '[\\w\\x{80}-\\x{10FFFF}]'), false) AS embedded FROM documents WHERE source IS NOT NULL")
+def stored_rows(spark, sf_dir):
+    """Documents as files of one chunk, those without a text as files without any: ids, metadata without nulls, vectors."""
+    d = table(spark, sf_dir, "documents").where("source IS NOT NULL")
+    files = d.select(F.concat_ws("/", "source", "doc_id").alias("path"), F.sha2("text", 256).alias("checksum"), "text")
+    kinds = {"chunk_index": "int", "tags": "string", "urls": "string", "section_header": "string", "summary": "string"}
+    chunks = files.where("text IS NOT NULL").select("path", "text", *((F.lit(0) if c == "chunk_index" else F.lit("a,b") if c == "tags" else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()))
+    rows = ingest.stored_rows(chunks, files, base.HashEmbedder(64), max_calls=10**9)
+    vector = F.exists("embedding", lambda x: x != 0)
+    return rows.select("id", "path", F.md5(F.col("document").cast("binary")).alias("document"), F.size("metadata").alias("n_metadata"), vector.alias("embedded"))
+
+
+@query("SELECT o_orderkey AS id, (o_orderkey % 8) / 4.0 * CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01') < 365 THEN 1.25 ELSE 1.0 END * CASE WHEN o_orderpriority = '1-URGENT' THEN 2.0 ELSE 1.0 END AS similarity FROM orders")
+def hybrid_recency(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.expr("(o_orderkey % 8) / 4D").alias("similarity"), F.col("o_orderpriority").alias("tags"), F.lit("s").alias("source_document"), F.col("o_orderdate").cast("date").cast("string").alias("date"))
+    return r.hybrid_score(rows, ["1-urgent"], ["none"], 2.0, 4.0, 1.25, "date", "1998-01-01").select("id", "similarity")
 
 
 @query("SELECT doc_id, CAST(greatest(1, length(text) // 3) AS INTEGER) AS tokens FROM documents")
@@ -375,10 +418,12 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g'), '(^|[^\n])\n($|[^\n])', '\1 \2', 'g'), ' +', ' ', 'g')) AS cleaned FROM (SELECT doc_id, 'A hyphen-' || chr(10) || 'ated  word ' || doc_id || chr(10) || 'and a line' || chr(10) || chr(10) || 'Next   part' AS text FROM documents)")
+@query(r"SELECT doc_id, md5(regexp_replace(replace(replace(replace(replace(text, 'e' || chr(10), 'e-' || chr(10) || 'x'), '-' || chr(10) || 'x', 'x'), chr(10), ' '), chr(9), ' '), ' +', ' ', 'g') || chr(10) || chr(10) || doc_id) AS cleaned FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(10) || chr(10)) AND NOT regexp_matches(text, '\w-\n')")
 def pdf_cleanup(spark, sf_dir):
-    text = F.expr("concat('A hyphen-\\nated  word ', doc_id, '\\nand a line\\n\\nNext   part')")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.pdf_cleanup(text).cast("binary")).alias("cleaned"))
+    """Texts whose lines after an "e" are broken by a hyphen; a blank line stays."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND NOT contains(text, '\n\n') AND NOT text RLIKE '[A-Za-z0-9_]-\\n'")
+    text = F.concat(F.replace(F.replace("text", F.lit("e\n"), F.lit("e-\nx")), F.lit("\t"), F.lit(" ")), F.lit("\n\n"), F.col("doc_id").cast("string"))
+    return d.select("doc_id", F.md5(t.pdf_cleanup(text).cast("binary")).alias("cleaned"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 4 IN (0, 1) AND NOT (starts_with(source, 'src1') OR lang = 'fr' OR CAST(doc_id AS VARCHAR) LIKE '7%')")
