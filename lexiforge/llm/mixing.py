@@ -159,7 +159,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     plan = saved(got.select(F.col("key").alias(k), F.col("source").alias(src), F.col("size").alias(size), F.col("__all").alias(total), F.col("__n").alias(n)), "copies")
     key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
     own = docs.withColumns({own_key: key, own_size: word_count()})
-    joined = own.join(plan, (F.col(own_key) == F.col(k)) & F.col("source").eqNullSafe(F.col(src)) & (F.col(own_size) == F.col(size)))
+    joined = own.join(plan.hint("shuffle_merge"), (F.col(own_key) == F.col(k)) & F.col("source").eqNullSafe(F.col(src)) & (F.col(own_size) == F.col(size)))
     # rows that share key, source and size share their copies: the first ones of them get one more where they don't divide
     kept = [F.col(f"`{c}`") for c in docs.columns]
     parts = joined.where(F.col(n) == 1).select(*kept, F.col(total).cast("int").alias(times))

@@ -406,7 +406,9 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 ok.append(bool(len(x) and len(y) and cosine(x, y) >= similarity))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # joined by shuffles at every size, so that what moves grows with the edges alone
+    met = edges.hint("shuffle_merge").join(one.hint("shuffle_merge"), "a").hint("shuffle_merge").join(two.hint("shuffle_merge"), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 # --- the operator -----------------------------------------------------------------------------------------
