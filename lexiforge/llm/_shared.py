@@ -6,12 +6,14 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word of every contract here: a run without ASCII white space.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
+#: Bits of a `sieve`: it takes 4 MB, however many keys it is made of.
+SIEVE = 1 << 25
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +67,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieve(keys: DataFrame) -> DataFrame:
+    """A bitmap of the hashes in keys (h long): page, bits; one row a page of 32768 bits, SIEVE bits at most."""
+    bit = keys.select(F.expr(f"pmod(h, {SIEVE}L)").alias("bit")).selectExpr("bit div 32768 AS page", "bit % 32768 AS place")
+    return saved(bit.repartition("page").groupBy("page").agg(F.expr("bitmap_construct_agg(place)").alias("bits")), "sieve")
+
+
+def sifted(rows: DataFrame, h: Column, pages: DataFrame, name: str) -> DataFrame:
+    """rows with boolean `name`: false only where the hash h is none of the sieve's keys. Rows don't move; the sieve does,
+    whose size is bounded. Where there are too many keys for it, it is true of more rows than need be, and of none less."""
+    own, page, bits = (unused(rows, f"sieve_{x}") for x in ("bit", "page", "bits"))
+    sent = F.broadcast(pages.select(F.col("page").alias(page), F.col("bits").alias(bits)))
+    met = rows.withColumn(own, F.pmod(h, F.lit(SIEVE))).join(sent, F.expr(f"`{own}` div 32768") == F.col(page), "left")
+    byte = f"cast(conv(hex(substring(`{bits}`, cast(`{own}` % 32768 div 8 AS int) + 1, 1)), 16, 10) AS int)"
+    hit = F.expr(f"coalesce(shiftright({byte}, cast(`{own}` % 8 AS int)) & 1, 0) = 1")
+    return met.select(*(F.col(f"`{c}`") for c in rows.columns), hit.alias(name))
+
+
 def numbered(rows: DataFrame, by: list[str], name: str, order: list[str] | None = None) -> DataFrame:
     """rows with `name`: 1, 2, ... in each group of equal `by` (nulls are equal), in the order of the `order` columns.
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiforge.llm._shared import components, saved, unused
+from lexiforge.llm._shared import components, saved, sieve, sifted, unused
 
 SEED = 42
 #: A bucket with more different fingerprints goes another exact way.
@@ -443,18 +443,29 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     sigs = rows.groupBy("node").agg(F.min(F.struct("fp", "keys")).alias("s")).select("node", "s.fp", "s.keys")
     found = link_similar(sigs, tight, loose).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = saved(found.distinct(), "found")
-    linked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    sets = saved(rows.select("node", "shingles").join(linked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    linked = saved(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "linked")
+    # the sieve leaves out most texts without a link before shingles move
+    near = sifted(rows.select("node", "shingles"), F.xxhash64("node"), sieve(linked.select(F.xxhash64("node").alias("h"))), "near")
+    sets = near.where("near").join(linked.hint("shuffle_merge"), "node", "left_semi")
+    sets = saved(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     edges = verified(found, sets, similarity)
     joined = saved(rows.select("node").distinct().join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "groups")
     stay = rows.select("doc_id", "tkey", "node").join(joined, "node").groupBy("component")
     stay = stay.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("s")).select("s.doc_id", "s.tkey")
-    stay_key = unused(docs, "stay_key")
-    stay = stay.distinct().select(F.col("doc_id").alias(row_key), F.col("tkey").alias(stay_key))
-    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col(row_key)) & (F.col(text_key) == F.col(stay_key)), "left_semi")
-    repeated = rows.groupBy("doc_id", "tkey").agg(F.count("*").alias("n")).where("n > 1")
-    if not repeated.isEmpty():  # rows that repeat all stayed
+    # texts move only where the sieve holds their row: those that go, those that repeat, and few others
+    counts = saved(rows.groupBy("doc_id", "tkey").agg(F.count("*").alias("n")), "counts")
+    same = stay.distinct().select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"))
+    gone = counts.join(same, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("t")), "left_anti")
+    gone, repeated = saved(gone.select("doc_id", "tkey"), "gone"), counts.where("n > 1").select("doc_id", "tkey")
+    pages = sieve(gone.union(repeated).select(F.xxhash64("doc_id", "tkey").alias("h")))
+    maybe, go_key = unused(docs, "maybe"), unused(docs, "go_key")
+    dealt = sifted(keyed, F.xxhash64("doc_id", text_key), pages, maybe)
+    kept = dealt.where(F.col(maybe))
+    if not repeated.isEmpty():
         kept = kept.dropDuplicates(["doc_id", text_key])
+    go = gone.select(F.col("doc_id").alias(row_key), F.col("tkey").alias(go_key)).hint("shuffle_merge")
+    kept = kept.join(go, F.col("doc_id").eqNullSafe(F.col(row_key)) & (F.col(text_key) == F.col(go_key)), "left_anti")
+    kept = dealt.where(~F.col(maybe)).unionByName(kept).drop(maybe)
     return kept.drop(text_key)
 
 

@@ -1,7 +1,8 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from lexiforge.llm import simhash
+from lexiforge.llm import _shared, simhash
 from tests.llm import cases
 
 
@@ -185,3 +186,23 @@ def test_columns_named_like_the_stage_s_own(spark):
         docs = docs.selectExpr("*", f"'x' AS {c}")
     got = simhash.dedup(docs)
     assert got.columns == docs.columns and sorted((r.doc_id for r in got.collect()), key=repr) == sorted([1, 3, 5, 7, None], key=repr)
+
+
+def test_sieve_holds_all_its_keys_at_any_fill(spark, monkeypatch):
+    rows = spark.range(-20000, 60000).selectExpr("id", "xxhash64(id) AS page")
+    keys = rows.where("id % 7 = 0").selectExpr("page AS h")
+    for bits, most in ((1 << 25, 200), (1 << 16, 20000), (1 << 15, 40000)):
+        monkeypatch.setattr(_shared, "SIEVE", bits)
+        got = _shared.sifted(rows, F.col("page"), _shared.sieve(keys), "hit")
+        assert got.columns == ["id", "page", "hit"] and got.count() == 80000
+        assert got.where("id % 7 = 0 AND NOT hit").count() == 0
+        assert got.where("id % 7 <> 0 AND hit").count() < most
+    none = _shared.sifted(rows, F.col("page"), _shared.sieve(keys.limit(0)), "hit")
+    assert none.where("hit").count() == 0
+
+
+def test_a_full_sieve_changes_no_result(spark, monkeypatch):
+    docs = cases.frame(spark).union(cases.frame(spark))
+    whole = sorted(map(str, simhash.dedup(docs).collect()))
+    monkeypatch.setattr(_shared, "SIEVE", 1)
+    assert sorted(map(str, simhash.dedup(docs).collect())) == whole
