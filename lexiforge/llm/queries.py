@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import decontam, kneser, langid, licenses, mixing, rules, secretscan, sharding, simhash, tokenstore
+from lexiforge.llm import decontam, kneser, langid, licenses, mixing, packing, rules, secretscan, sharding, simhash, tokenstore
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def _tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_read(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces_of(packing.pack(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_licenses, op2_tokens, op3_mix, op4_language, op5_simhash, op6_shards, op7_kneser, op8_decontam, op9_secrets, op10_rules, pipeline]
+    own = [op1_licenses, op2_tokens, op3_mix, op4_language, op5_simhash, op6_shards, op7_kneser, op8_decontam, op9_secrets, op10_rules, op13_packing, pipeline]
     return {f.__name__: f for f in own}
 
 
