@@ -41,7 +41,7 @@ MEMO, LONGEST = 400_000, 48
 BATCH = 8 << 20
 #: White space in ASCII, and what else counts as such to the tokenizer or to Python.
 RUN = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]").search
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 PIECES = "array<struct<doc_id:{id},start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>>"
 
