@@ -82,6 +82,17 @@ def vector_topk_batch(spark, sf_dir):
     return got.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query()
+def vector_index_topk(spark, sf_dir):
+    from lexiforge.operators.vector_index import VectorIndex
+    from lexiforge.sources.shared import new_path
+
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = VectorIndex.build(e, new_path(spark, "index"), key="vec_id")
+    return index.search(asked, 10).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 # --- retrieval --------------------------------------------------------------------------------------------
 
 _CHUNKS = "chunks AS (SELECT vec_id AS id, embedding, text AS document, source || '/' || lang AS path, 'label_' || label || ',' || lang AS tags FROM embeddings JOIN documents ON vec_id = doc_id)"
