@@ -11,7 +11,8 @@ Nothing moves but boundary records. A task holds one batch of texts and one wind
 one pass; the places come from what the first pass wrote, so that a second attempt can't shift them.
 
 Encoding: no piece of this make of tokenizer goes on from a character to white space behind it, so a text is cut there and
-runs that were seen before come from a bounded memo. A text with white space beyond ASCII, with one of the
+runs that were seen before come from a bounded memo; new runs of ASCII are cut into the tokenizer's pieces, which have a memo
+of their own and are encoded by its model. A text with white space beyond ASCII, with one of the
 model's special tokens, or any text for another make of tokenizer, is encoded whole.
 
 Rows: a null or empty text gives the end id alone. Rows are documents of their own, whatever their doc_id (null or
@@ -23,7 +24,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -39,8 +41,9 @@ LENGTH, END_ID = 1024, 0
 MEMO, LONGEST = 400_000, 48
 #: Bytes of ids in one batch of rows that a task returns.
 BATCH = 8 << 20
-#: White space in ASCII, and what else counts as such to the tokenizer or to Python.
+#: Runs and pieces of ASCII text, and what else counts as white space to the tokenizer or to Python.
 RUN = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall
+PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+").findall
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 PIECES = "array<struct<doc_id:{id},start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>>"
@@ -59,25 +62,38 @@ class Encoder:
         cut = spec.get("pre_tokenizer") or {}
         self.known = spec.get("normalizer") is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
         self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)").search
-        self.memo: dict[str, bytes] = {}
+        shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+        self.byte = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.runs, self.pieces = _Memo(self._run), _Memo(self._piece)
 
     def plainly(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def run(self, run: str) -> bytes:
-        known = self.memo.get(run)
-        if known is None:
-            known = self.plainly(run)
-            if len(run) <= LONGEST and len(self.memo) < MEMO:
-                self.memo[run] = known
-        return known
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.whole.model.tokenize(piece.translate(self.byte))]
+        return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
+
+    def _run(self, run: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECE(run))) if run.isascii() else self.plainly(run)
 
     def __call__(self, text: str) -> bytes:
         if self.known and not OTHER_SPACE(text) and not self.special(text):
-            return b"".join(map(self.run, RUN(text)))
+            return b"".join(map(self.runs.__getitem__, RUN(text)))
         return self.plainly(text)
 
 
+class _Memo(dict):
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONGEST and len(self) < MEMO:
+            self[key] = value
+        return value
+
+
 @cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
