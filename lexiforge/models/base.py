@@ -12,10 +12,20 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiforge.sources.shared import written
+
+
+#: Seconds from the plan of a job to its first call, in which its tasks can begin.
+LEAD = 2.0
+
 
 class RateLimited(Exception):
     """The model asks to be called later."""
@@ -60,53 +70,86 @@ class EchoAnswerer:
         return " ".join(prompt.rpartition("Context:")[2].split()[:max_tokens])
 
 
-class Bucket:
-    """A token bucket for one task: max_calls in each period, shared out among tasks by the caller. It begins empty, so
-    that tasks that end and begin don't start with calls of their own each."""
-
-    def __init__(self, max_calls: float, period: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.rate, self.size, self.clock, self.sleep = max_calls / period, max(1.0, max_calls), clock, sleep
-        self.tokens, self.at = 0.0, clock()
-
-    def take(self) -> None:
-        while True:
-            now = self.clock()
-            self.tokens, self.at = min(self.size, self.tokens + (now - self.at) * self.rate), now
-            if self.tokens >= 1:
-                self.tokens -= 1
-                return
-            self.sleep((1 - self.tokens) / self.rate)
-
-
 def patiently(call: Callable[[], list[list[float]]], sleep: Callable[[float], None] = time.sleep, first: float = 10.0, most: float = 600.0) -> list[list[float]]:
-    """call, again and again while it is rate-limited, waiting twice as long each time."""
+    """call, again and again while it is rate-limited: after the time that the model names, else twice as long each time."""
     wait = first
     while True:
         try:
             return call()
-        except RateLimited:
-            sleep(wait)
+        except RateLimited as x:
+            sleep(wait if x.retry_after is None else x.retry_after)
             wait = min(most, wait * 2)
 
 
-def embedded(chunks: DataFrame, model: Embedder, text: str = "text", batch: int = 100, max_calls: int = 160, period: float = 60.0, tasks: int | None = None) -> DataFrame:
-    """chunks with their embedding; blank texts get a zero vector. The limit is shared out among tasks."""
-    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]) if "embedding" not in chunks.columns else chunks.schema
-    share = max_calls / max(1, tasks or chunks.sparkSession.sparkContext.defaultParallelism)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket = Bucket(share, period)
+class Timetable:
+    """Start times of numbered calls, one every period / max_calls seconds from `start` on."""
+
+    def __init__(self, start: float, max_calls: float, period: float, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep):
+        self.start, self.gap, self.clock, self.sleep = start, period / max_calls, clock, sleep
+
+    def await_turn(self, number: int) -> None:
+        while (left := self.start + number * self.gap - self.clock()) > 0:
+            self.sleep(left)
+
+
+def calls(chunks: DataFrame, text: str = "text", batch: int = 100) -> DataFrame:
+    """part, call, rows: the rows of chunks in calls of `batch` texts that aren't blank, numbered in each task. Written
+    to the shared folder: a call is a row, so that no later split takes it apart."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, call = TaskContext.get().partitionId(), 0
+        for rows in parts:
+            if not rows.num_rows:
+                continue
+            full = np.asarray(pc.fill_null(pc.match_substring_regex(rows.column(rows.schema.get_field_index(text)), r"\S"), False))
+            own = (np.maximum(np.cumsum(full) - 1, 0)) // batch
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            nested = pa.StructArray.from_arrays(rows.columns, fields=list(rows.schema))
+            lists = pa.ListArray.from_arrays(pa.array([*first, rows.num_rows], pa.int32()), nested)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), part, np.int32)), pa.array(np.arange(len(first)) + call), lists], names=["part", "call", "rows"])
+            call += len(first)
+
+    made = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("call", T.LongType()), T.StructField("rows", T.ArrayType(chunks.schema))])
+    return written(chunks.mapInArrow(run, made), "calls")
+
+
+def embedded(chunks: DataFrame, model: Embedder, text: str = "text", batch: int = 100, max_calls: float = 160, period: float = 60.0) -> DataFrame:
+    """chunks with their embedding, written to the shared folder, so that no text is sent twice; blank texts get a zero
+    vector and are part of no call.
+
+    Calls are numbered through all tasks, by prefix sums over the tasks' numbers of calls, and call k starts no sooner
+    than k * period / max_calls after the first. The rate is that of the numbers, however many tasks there are,
+    how long they run and in what order they come: a task without calls takes no share, and one that is late makes its calls
+    one after the other. Clocks of machines are taken to agree within a period.
+    """
+    schema = T.StructType([*(f for f in chunks.schema.fields if f.name != "embedding"), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    own = calls(chunks.select(*(f"`{c}`" for c in chunks.columns if c != "embedding")), text, batch)
+    before, total = {}, 0
+    for r in own.groupBy("part").agg(F.max("call").alias("last")).orderBy("part").collect():  # a row a task
+        before[r.part], total = total, total + r["last"] + 1
+    tasks = min(max(1, total), chunks.sparkSession.sparkContext.defaultParallelism * 4)
+    ordered = own.repartitionByRange(tasks, "part", "call").sortWithinPartitions("part", "call")  # early calls in early tasks
+    ordered = ordered.persist(StorageLevel.DISK_ONLY)
+    ordered.count()  # so that the calls' job has no shuffle before its first call
+    begin = time.time() + LEAD
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Timetable(begin, max_calls, period)
         for part in parts:
-            texts, vectors = part[text].fillna("").tolist(), [[0.0] * model.dimensions] * len(part)
-            full = [i for i, x in enumerate(texts) if x.strip()]
-            for at in range(0, len(full), batch):
-                own = full[at : at + batch]
-                bucket.take()
-                for i, x in zip(own, patiently(lambda own=own: model.embed([texts[i] for i in own])), strict=True):
-                    vectors[i] = x
-            yield part.assign(embedding=vectors)
-
-    return chunks.mapInPandas(run, schema)
+            for i in range(part.num_rows):
+                rows = part.column("rows")[i].values
+                columns = {f.name: rows.field(k) for k, f in enumerate(rows.type)}
+                texts, vectors = [x or "" for x in columns[text].to_pylist()], [[0.0] * model.dimensions] * len(rows)
+                full = [k for k, x in enumerate(texts) if x.strip()]
+                if full:
+                    table.await_turn(before[part.column("part")[i].as_py()] + part.column("call")[i].as_py())
+                    for k, x in zip(full, patiently(lambda own=[texts[k] for k in full]: model.embed(own)), strict=True):
+                        vectors[k] = x
+                yield pa.RecordBatch.from_pydict(columns | {"embedding": pa.array(vectors, pa.list_(pa.float32()))})
+
+    out = written(ordered.mapInArrow(run, schema), "embedded")
+    ordered.unpersist()
+    return out
 
 
 def keywords(query: str, model: Answerer | None = None) -> list[str]:

@@ -12,7 +12,7 @@ from lexiforge.errors import CollectionError, ConfigError, ScanError
 from lexiforge.functions import text as t
 from lexiforge.functions import vector as v
 from lexiforge.functions.predicates import where
-from lexiforge.models.base import Bucket, EchoAnswerer, HashEmbedder, RateLimited, patiently, prompt
+from lexiforge.models.base import EchoAnswerer, HashEmbedder, RateLimited, Timetable, patiently, prompt
 from lexiforge.operators import catalog, chunking, markdown, profile
 from lexiforge.operators import retrieval as r
 from lexiforge.plans.rag import Settings, ask, shown
@@ -344,20 +344,20 @@ def test_catalogue_rules(spark):
 
 def test_models_and_config(tmp_path, monkeypatch):
     now, waits = [0.0], []
-    bucket = Bucket(2, 10, lambda: now[0], lambda s: (waits.append(s), now.__setitem__(0, now[0] + s)))
-    for _ in range(3):
-        bucket.take()
-    assert len(waits) == 3 and all(abs(x - 5) < 1e-6 for x in waits)  # it begins empty
+    table = Timetable(1.0, 2, 10, lambda: now[0], lambda s: (waits.append(s), now.__setitem__(0, now[0] + s)))
+    for number in (0, 3, 1):
+        table.await_turn(number)
+    assert waits == [1.0, 15.0]  # the third is late already
     tries = []
 
     def call():
         tries.append(1)
         if len(tries) < 4:
-            raise RateLimited("later", endpoint="e", retry_after=1)
+            raise RateLimited("later", endpoint="e", retry_after=1.5 if len(tries) == 2 else None)
         return [[1.0]]
 
     waits.clear()
-    assert patiently(call, waits.append) == [[1.0]] and waits == [10.0, 20.0, 40.0]
+    assert patiently(call, waits.append) == [[1.0]] and waits == [10.0, 1.5, 40.0]
     assert prompt("q", "c", "s").startswith("s\n\n") and prompt("q", "c").endswith("Question: q\n\nContext:c")
     (tmp_path / "c.yaml").write_text("SECURITY:\n  KEY: ${SOME_KEY}\nQUERY:\n  TOP_K: 7\n")
     monkeypatch.setenv("SOME_KEY", "v")
