@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiforge.functions import text as t
+from lexiforge.operators import selection
 
 
 def line_lengths(c: Column) -> Column:
@@ -30,47 +31,35 @@ def pooled(rows: DataFrame, lengths: str) -> DataFrame:
 
 def spread(rows: DataFrame, x: str = "x") -> DataFrame:
     """Least, greatest, mean and median, the last two cut to whole numbers."""
-    return rows.agg(
-        F.count(x).alias("n"), F.min(x).alias("min_x"), F.max(x).alias("max_x"),
-        F.floor(F.avg(x)).cast("long").alias("mean_x"), F.floor(F.expr(f"percentile({x}, 0.5)")).cast("long").alias("median_x"),
+    counts = selection.value_counts(rows, x).where("x IS NOT NULL")
+    middle_ = F.lit(selection.median(counts)).cast("double")
+    total = F.sum(F.col("x").cast("decimal(38,6)") * F.col("c")).cast("double")
+    return counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.min("x").alias("min_x"), F.max("x").alias("max_x"),
+        F.floor(total / F.sum("c")).cast("long").alias("mean_x"), F.floor(middle_).cast("long").alias("median_x"),
     )
 
 
 def index_percentiles(rows: DataFrame, percents: list[int], x: str = "x") -> DataFrame:
-    """pct, value: the value at place least(n * pct / 100, n - 1) of all in order. Values are counted first, so
-    what is put in order is different values, not rows."""
-    counts = rows.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.orderBy(x))
-    places = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(W.partitionBy()))
-    wanted = F.explode(F.array(*(F.lit(p) for p in percents))).alias("pct")
-    picked = places.select("*", wanted).where(F.expr("upto > least(floor(n * pct / 100), n - 1)"))
-    return picked.groupBy("pct").agg(F.min(x).alias("value"))
-
-
-def _between(rows: DataFrame, size: str, key: str, first: str, last: str) -> DataFrame:
-    """Rows whose place by (size, key) is from `first` to `last`, expressions of n, counted from 1.
-
-    Sizes are counted first. Sizes that lie wholly inside need no order; only those at the two ends are ranked.
-    """
-    counts = rows.groupBy(size).agg(F.count("*").alias("__c"))
-    upto = counts.withColumn("__upto", F.sum("__c").over(W.orderBy(size))).withColumn("n", F.sum("__c").over(W.partitionBy()))
-    spans = upto.selectExpr(f"{size} AS __size", "__upto - __c AS __before", "__upto", f"{first} AS __first", f"{last} AS __last").where("__upto >= __first AND __before < __last")
-    near = rows.join(spans, F.col(size).eqNullSafe(F.col("__size")))
-    inside = near.where("__before + 1 >= __first AND __upto <= __last")
-    edge = near.where("NOT (__before + 1 >= __first AND __upto <= __last)")
-    place = F.col("__before") + F.row_number().over(W.partitionBy("__size").orderBy(key))
-    edge = edge.withColumn("__place", place).where("__place BETWEEN __first AND __last")
-    return inside.select(*rows.columns).union(edge.select(*rows.columns))
+    """pct, value: the value at place least(n * pct / 100, n - 1) of all in order."""
+    counts = selection.value_counts(rows, x).where("x IS NOT NULL")
+
+    def place(n: int, p: int) -> int:
+        return min(n * p // 100, n - 1)
+
+    n, found = selection.at_places(counts, lambda n: [place(n, p) for p in percents])
+    schema = T.StructType([T.StructField("pct", T.IntegerType()), T.StructField("value", rows.schema[x].dataType)])
+    return rows.sparkSession.createDataFrame([(p, found[place(n, p)].value) for p in percents] if n else [], schema)
 
 
 def typical(rows: DataFrame, size: str, key: str) -> DataFrame:
     """The row in the middle by size."""
-    return _between(rows, size, key, "floor(n / 2) + 1", "floor(n / 2) + 1")
+    return selection.between_places(rows, size, key, lambda n: n // 2 + 1, lambda n: n // 2 + 1)
 
 
 def middle(rows: DataFrame, size: str, key: str) -> DataFrame:
     """Without the smallest and the largest tenth; all rows if there are fewer than ten."""
-    return _between(rows, size, key, "if(n < 10, 1, floor(n / 10) + 1)", "if(n < 10, n, n - floor(n / 10))")
+    return selection.between_places(rows, size, key, lambda n: 1 if n < 10 else n // 10 + 1, lambda n: n if n < 10 else n - n // 10)
 
 
 @dataclass
@@ -84,9 +73,8 @@ class Limits:
 def recommended(rows: DataFrame, para_lens: str = "para_lens", limits: Limits | None = None) -> DataFrame:
     """One row of settings from the corpus: rows is a profile, one row a file."""
     own = limits or Limits()
-    files = rows.agg(F.count("*").alias("n"))
-    median = pooled(rows, para_lens).agg(F.expr("percentile(x, 0.5)").alias("m"))
-    base = files.crossJoin(median)  # one row each
+    median = selection.median(selection.value_counts(pooled(rows, para_lens), "x"))
+    base = rows.agg(F.count("*").alias("n")).withColumn("m", F.lit(median).cast("double"))
     chunk = F.expr(f"cast(if(m IS NULL, {own.max_chunk_size}, least(greatest(floor(m * 2), 512), {own.max_chunk_size})) AS int)")
     one = base.select("n", chunk.alias("chunk_size"))
     return one.select(
