@@ -310,6 +310,31 @@ def doc_totals(spark, sf_dir):
     return chunking.totals(_chunks(spark, sf_dir), "doc_id")
 
 
+_WORDS_SQL = r"""
+t AS (SELECT unnest(list_filter(list_transform(string_split_regex(text, '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$', '', 'g')), lambda w: regexp_matches(w, '\p{L}'))) AS w FROM documents),
+c AS (SELECT lower(regexp_replace(w, '[.]$', '')) AS type, count(*) FILTER (w LIKE '%.') AS with_period, count(*) FILTER (w NOT LIKE '%.') AS without FROM t GROUP BY 1),
+n AS (SELECT sum(with_period) / sum(with_period + without) AS p FROM c),
+l AS (SELECT *, length(replace(type, '.', '')) AS letters, length(type) AS len FROM c, n WHERE with_period > 0)
+"""
+
+
+@query(f"WITH {_WORDS_SQL} SELECT type, with_period, without, round(2 * (with_period * (ln(0.99::DOUBLE) - ln(p)) + without * (ln(1 - 0.99::DOUBLE) - ln(1 - p))) * exp(-letters) * (len - letters + 1) * pow(letters::DOUBLE, -without::DOUBLE), 6) + 0.0 AS score FROM l")
+def abbreviation_scores(spark, sf_dir):
+    from lexiforge.operators import segmentation
+
+    scores = segmentation.abbreviation_scores(segmentation.word_counts(table(spark, sf_dir, "documents")))
+    return scores.select("type", "with_period", "without", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query()
+def learned_sentences(spark, sf_dir):
+    from lexiforge.operators import segmentation
+
+    d = table(spark, sf_dir, "documents")
+    made = segmentation.sentences(F.coalesce("text", F.lit("")), segmentation.learn(d))
+    return d.select("doc_id", F.posexplode(made).alias("place", "sentence"))
+
+
 _SUM_WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
 
 
