@@ -104,4 +104,4 @@ def sentences(text: Column, model: Model) -> Column:
         return F.concat(p, F.when(last.isin(model.abbreviations) & ~starts, " ").otherwise("\x01"))
 
     following = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.filter(F.transform(F.split(F.array_join(F.zip_with(pieces, following, joined), ""), "\x01"), F.rtrim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.array_join(F.zip_with(pieces, following, joined), ""), "\x01"), lambda s: F.rtrim(s)), lambda s: s != "")
