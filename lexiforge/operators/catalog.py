@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as t
 from lexiforge.functions.predicates import metadata_contains
+from lexiforge.operators.patterns import as_table, matches, table
 
+#: Patterns that are written into the plan.
+INLINE = 32
 IMAGES = ("jpg", "jpeg", "png", "gif", "bmp", "webp", "tiff", "svg", "heic")
 
 
@@ -93,8 +96,13 @@ def normalised_patterns(patterns: list[str], root: str) -> list[str]:
     return [p if any(c in p for c in "*?[") else os.path.normpath(os.path.join(root, p)) for p in patterns]
 
 
-def removal_matches(rows: DataFrame, patterns: list[str], path: str = "path") -> DataFrame:
-    """pattern and path, once each: what each pattern matches. Patterns are a list, so each is a filter of one scan."""
+def removal_matches(rows: DataFrame, patterns: list[str] | DataFrame, path: str = "path") -> DataFrame:
+    """pattern and path, once each: what each pattern matches. A few patterns are filters of one scan; more than
+    INLINE of them, or a table of them (pattern), are joined by their literal parts."""
+    if isinstance(patterns, DataFrame):
+        return matches(rows, table(patterns), path)
+    if len(patterns) > INLINE:
+        return matches(rows, as_table(rows.sparkSession, patterns), path)
     hits = F.filter(F.array(*(F.when(t.glob(F.col(path), p), F.lit(p)) for p in patterns)), lambda p: p.isNotNull())
     return rows.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.explode(hits).alias("pattern")).distinct()
 

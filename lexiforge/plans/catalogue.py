@@ -262,6 +262,18 @@ def remove_verify(spark, sf_dir):
     return catalog.removal_report(d, d.where("doc_id % 2 = 0"), ["src1*/en/*", "*.md", "nothing*"])
 
 
+@query(f"""WITH {_DOCS}, p AS (
+  SELECT DISTINCT unnest([source || '/' || lang || '/' || left(doc_id::VARCHAR, 2) || '*', '*/' || (doc_id % 100) || '.md', '*' || lang || '/1' || (doc_id % 10) || '?.t*',
+                          source || '/' || lang || '/' || doc_id || '.txt', '*?/[d-e]?/' || (doc_id % 7) || '[!0-4]*']) AS pattern FROM documents)
+SELECT path, pattern FROM docs, p WHERE path GLOB pattern AND path IS NOT NULL GROUP BY 1, 2""")
+def pattern_matches(spark, sf_dir):
+    patterns = table(spark, sf_dir, "documents").select(F.explode(F.array(
+        F.expr("source || '/' || lang || '/' || left(cast(doc_id AS string), 2) || '*'"), F.expr("'*/' || (doc_id % 100) || '.md'"), F.expr("'*' || lang || '/1' || (doc_id % 10) || '?.t*'"),
+        F.expr("source || '/' || lang || '/' || doc_id || '.txt'"), F.expr("'*?/[d-e]?/' || (doc_id % 7) || '[!0-4]*'"),
+    )).alias("pattern"))
+    return catalog.removal_matches(docs(spark, sf_dir), patterns)
+
+
 @query("SELECT source, count(*) AS n FROM documents WHERE n_chars BETWEEN 500 AND 5000 GROUP BY 1")
 def facet_counts(spark, sf_dir):
     from lexiforge.functions.predicates import where
