@@ -28,6 +28,7 @@ columns stay. Empty tables give empty tables, and no items leave all documents.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from functools import cache
@@ -53,6 +54,8 @@ PIECE = 1 << 19
 SEED = 5
 #: Bits of the table that says which early keys any item has.
 TABLE = 22
+#: Seconds that a worker keeps an index without using it.
+KEPT = 5.0
 #: Candidates that are compared at once.
 LANES = 1024
 ONE, TOP = np.uint64(1), np.uint64(63)
@@ -411,10 +414,27 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 _LAST: dict[str, Index] = {}
+_TIMERS: list[threading.Timer] = []
+
+
+def _drop() -> None:
+    _LAST.clear()
+    walks.cache_clear()
+
+
+def rest() -> None:
+    """At the end of a task: what its worker keeps for the next one goes after KEPT seconds without any, so that workers
+    that go on with other work don't hold an index of some hundred MB besides."""
+    timer = threading.Timer(KEPT, _drop)
+    timer.daemon = True
+    _TIMERS.append(timer)
+    timer.start()
 
 
 def indexed(sent: Broadcast) -> Index:
     """The index of a broadcast block: made once in each worker, which keeps its last one."""
+    while _TIMERS:
+        _TIMERS.pop().cancel()
     name, block, most = sent.value
     if name not in _LAST:
         _LAST.clear()
@@ -448,6 +468,7 @@ def matches(docs: DataFrame, items: DataFrame, most: float = MOST) -> DataFrame:
                     ],
                     names=["doc_id", "item_id", "distance", "similarity"],
                 )
+            rest()
 
         out = out.union(source.mapInArrow(run, schema))
     return out
@@ -464,6 +485,7 @@ def clean(docs: DataFrame, items: DataFrame, most: float = MOST) -> DataFrame:
             index = indexed(sent)
             for batch in batches:
                 yield batch.filter(pa.array([not own for own in scan(index, batch.column(text).to_pylist())], pa.bool_()))
+            rest()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -118,3 +118,18 @@ def test_string_ids_of_items(spark):
     items = spark.createDataFrame([("x1", cases.prose(40, 9)), (None, cases.prose(40, 3))], "item_id string, text string")
     docs = cases.frame(spark, [(50, cases.prose(90, 4) + " " + cases.prose(40, 9), "en", "a", 1), (51, cases.prose(40, 3), "en", "a", 1)])
     assert sorted(((r.doc_id, r.item_id) for r in decontam.matches(docs, items).collect()), key=str) == [(50, "x1"), (51, None)]
+
+
+def test_an_idle_worker_drops_its_index(monkeypatch):
+    import time
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(decontam, "KEPT", 0.2)
+    sent = SimpleNamespace(value=("name", [(1, "some benchmark item of more than forty characters in all")], 0.2))
+    first = decontam.indexed(sent)
+    decontam.rest()
+    assert decontam.indexed(sent) is first  # another task came in time
+    decontam.rest()
+    time.sleep(1)
+    assert not decontam._LAST and decontam.indexed(sent) is not first
+    decontam._drop()
