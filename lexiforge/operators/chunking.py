@@ -20,6 +20,11 @@ def _start() -> Column:
     return _state(F.array(), F.array(), F.lit(0))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _tail(cur: Column, least: int) -> Column:
     """The shortest end of cur with `least` characters, or all of it."""
     start = F.struct(F.array().cast(NONE).alias("kept"), F.lit(0).alias("n"))
@@ -45,11 +50,11 @@ def sentence_chunks(text: Column, max_size: int = 2048, min_size: int = 512, ove
     def step(a, s):
         full = (a["n"] + F.length(s) > max_size) & (F.size(a["cur"]) > 0)
         kept = F.when(F.size(a["cur"]) > 1, _tail(a["cur"], overlap)).otherwise(F.array().cast(NONE)) if overlap > 0 else F.array().cast(NONE)
-        closed = _state(F.concat(a["out"], F.array(F.array_join(a["cur"], " "))), F.concat(kept, F.array(s)), _size(kept) + F.length(s))
+        closed = _let(kept, lambda k: _state(F.concat(a["out"], F.array(F.array_join(a["cur"], " "))), F.concat(k, F.array(s)), _size(k) + F.length(s)))
         return F.when(full, closed).otherwise(_state(a["out"], F.concat(a["cur"], F.array(s)), a["n"] + F.length(s)))
 
     made = F.aggregate(sentences, _start(), step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(F.array_join(a["cur"], " ")))).otherwise(a["out"]))
-    kept = F.filter(made, lambda c: (F.length(c) >= min_size) | (F.size(made) == 1))
+    kept = _let(made, lambda m: F.filter(m, lambda c: (F.length(c) >= min_size) | (F.size(m) == 1)))
     return F.when(F.length(whole) <= min_size, F.array(whole)).otherwise(kept)
 
 
@@ -103,9 +108,15 @@ def text_chunks(docs: DataFrame, key: str, text: str = "text", kind: str = "para
 def positions(made: DataFrame, key: str) -> DataFrame:
     """key, chunk_index, chunk, start_offset (the lengths of the chunks before), end_offset (the last character's) of each
     of a row's `chunks`. Offsets are summed inside the row: nothing moves, and rows may repeat a key."""
-    starts = F.aggregate("chunks", F.array(F.lit(0).cast("long")), lambda seen, c: F.array_append(seen, F.element_at(seen, -1) + F.length(c)))
-    each = F.posexplode(F.arrays_zip(F.col("chunks").alias("chunk"), F.slice(starts, 1, F.greatest(F.size("chunks"), F.lit(0))).alias("start")))
-    rows = made.where("size(chunks) > 0").select(key, each.alias("chunk_index", "c"))
+    none = F.array().cast("array<struct<chunk:string,start:bigint>>")
+
+    def step(a: Column, c: Column) -> Column:
+        own = F.struct(c.alias("chunk"), a["at"].alias("start"))
+        return F.struct(F.array_append(a["out"], own).alias("out"), (a["at"] + F.length(c)).alias("at"))
+
+    placed = F.aggregate("chunks", F.struct(none.alias("out"), F.lit(0).cast("long").alias("at")), step, lambda a: a["out"])
+    # the outer form, as the other one is preceded by a filter that computes the chunks once more
+    rows = made.select(key, F.posexplode_outer(placed).alias("chunk_index", "c")).where("c IS NOT NULL")
     return rows.select(key, "chunk_index", "c.chunk", F.col("c.start").alias("start_offset"), (F.col("c.start") + F.length("c.chunk") - 1).alias("end_offset"))
 
 
