@@ -232,7 +232,7 @@ def test_csv_and_router(spark, tree):
     chunks, rejects = chunked(files)
     kinds = {x.path.rpartition("/")[2]: x for x in chunks.collect()}
     assert {"a.txt", "b.md", "t.csv"} == set(kinds) and kinds["b.md"].tags == "tag"
-    assert {x.path.rpartition("/")[2]: x.reason for x in rejects.collect()} == {"c.pdf": "no PDF parser", "x.svg": "unsupported file type", "bad.txt": "not UTF-8"}
+    assert {x.path.rpartition("/")[2]: x.reason for x in rejects.collect()} == {"c.pdf": "unreadable PDF: not a PDF file", "x.svg": "unsupported file type", "bad.txt": "not UTF-8"}
     t_ = csv_tables(spark.createDataFrame([("p", 'h1,"h,2"\n"x\ny",2\n'), ("q", "")], "path string, text string")).orderBy("path").collect()
     assert t_[0].header_fields == ["h1", "h,2"] and t_[0].row_count == 1 and t_[0].text == "h1,h,2\nx\ny,2" and t_[1].row_count == 0
 
