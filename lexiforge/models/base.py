@@ -10,7 +10,7 @@ import math
 import re
 import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiforge.errors import ModelError, RateLimited, ValidationError
+from lexiforge.functions import text as t
 from lexiforge.sources.shared import written
 
 
@@ -27,14 +29,6 @@ from lexiforge.sources.shared import written
 LEAD = 2.0
 
 
-class RateLimited(Exception):
-    """The model asks to be called later."""
-
-    def __init__(self, message: str = "", endpoint: str = "", retry_after: float | None = None):
-        super().__init__(message)
-        self.endpoint, self.retry_after = endpoint, retry_after
-
-
 class Embedder(Protocol):
     dimensions: int
 
@@ -70,7 +64,7 @@ class EchoAnswerer:
         return " ".join(prompt.rpartition("Context:")[2].split()[:max_tokens])
 
 
-def patiently(call: Callable[[], list[list[float]]], sleep: Callable[[float], None] = time.sleep, first: float = 10.0, most: float = 600.0) -> list[list[float]]:
+def patiently(call: Callable[[], Any], sleep: Callable[[float], None] = time.sleep, first: float = 10.0, most: float = 600.0) -> Any:
     """call, again and again while it is rate-limited: after the time that the model names, else twice as long each time."""
     wait = first
     while True:
@@ -152,16 +146,89 @@ def embedded(chunks: DataFrame, model: Embedder, text: str = "text", batch: int
     return out
 
 
+# What each kind of extraction asks, and the most words of its reply.
+ASKS = {
+    "keywords": ("List the keywords of this query, separated by commas.\n\nQuery: {text}", 64),
+    "tags": ("Which of the allowed tags fit this query? Name none that isn't allowed; separate them by commas.\n\nAllowed: {allowed}\n\nQuery: {text}", 64),
+    "image_tags": ("List tags of one or two words for what this caption of a picture names, separated by commas.\n\nCaption: {text}", 32),
+}
+# Words that carry no meaning of their own.
+STOPS = set("a an and are as at be by do does for from how in is it of on or that the this to was what when where which who why will with".split())
+
+
+def asked(mode: str, text: str, allowed: list[str] | None = None) -> str:
+    """The prompt of an extraction: keywords, tags (of those allowed) or image_tags."""
+    if mode not in ASKS:
+        raise ValidationError(f"unknown extraction {mode!r}")
+    return ASKS[mode][0].format(text=text, allowed=", ".join(allowed or []))
+
+
+def extracted(rows: DataFrame, model: Answerer, mode: str = "keywords", text: str = "text", allowed: list[str] | None = None) -> DataFrame:
+    """rows with `items`: what the model lists for each text, by the rules for replies; none for blank texts, failed
+    calls, and tags without any that are allowed."""
+    prompt_ = asked(mode, "{text}", allowed).split("{text}")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            replies: list[str | None] = []
+            for x in part.column(part.schema.get_field_index(text)).to_pylist():
+                try:
+                    replies.append(model.answer(x.join(prompt_), 0.0, ASKS[mode][1]) if x and x.strip() else None)
+                except Exception:  # noqa: BLE001  models raise what they like; that row has no items
+                    replies.append(None)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(replies, pa.string())], names=[*part.schema.names, "reply"])
+
+    if mode == "tags" and not allowed:
+        return rows.withColumn("items", F.array().cast("array<string>"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType())])
+    fit = F.array(*map(F.lit, allowed)) if mode == "tags" and allowed else None
+    return rows.mapInArrow(run, schema).withColumn("items", t.reply_items(F.col("reply"), fit)).drop("reply")
+
+
 def keywords(query: str, model: Answerer | None = None) -> list[str]:
     """Words that carry meaning; with a model, its comma-separated reply."""
     if model is not None:
-        reply = model.answer(f"List the keywords of this query, separated by commas.\n\nQuery: {query}", 0.0, 64)
+        reply = model.answer(asked("keywords", query), 0.0, ASKS["keywords"][1])
         if reply and not any(x in reply for x in ("=", "None")):
             return sorted({x.strip().strip("\"'").lower() for x in reply.strip().strip("[]").split(",")} - {""})
         return []
-    # Words that carry none.
-    stops = set("a an and are as at be by do does for from how in is it of on or that the this to was what when where which who why will with".split())
-    return sorted({w for w in re.findall(r"\w+", query.lower()) if w not in stops})
+    return sorted({w for w in re.findall(r"\w+", query.lower()) if w not in STOPS})
+
+
+class FileModel(Protocol):
+    """A model that takes a file and then answers prompts about it."""
+
+    def upload(self, content: bytes, name: str) -> str: ...
+
+    def generate(self, handle: str, prompts: list[str]) -> str: ...
+
+
+def about_files(files: DataFrame, model: FileModel, prompts: list[str]) -> DataFrame:
+    """path, reply, problem: the model's reply to the prompts about each file (path, content); calls that are rate-limited are
+    made again, and one that fails is a problem of its file alone."""
+    if not prompts:
+        raise ValidationError("no prompt")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for path, content in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                reply = problem = None
+                try:
+                    raw = content.as_py() or b""
+                    handle = patiently(lambda raw=raw, path=path: model.upload(raw, path.rpartition("/")[2]))
+                    reply = patiently(lambda handle=handle: model.generate(handle, prompts))
+                    if not reply:
+                        raise ModelError("empty reply")
+                except Exception as x:  # noqa: BLE001  models raise what they like
+                    problem = str(x) or type(x).__name__
+                yield pa.RecordBatch.from_pydict({"path": [path], "reply": pa.array([reply or None], pa.string()), "problem": pa.array([problem], pa.string())})
+
+    return files.select("path", "content").mapInArrow(run, "path string, reply string, problem string")
+
+
+def embedded_images(captioned: DataFrame, model: Embedder, **limits: float) -> DataFrame:
+    """Pictures by the vectors of their captions: rows (path, text, problem) that have one."""
+    return embedded(captioned.where("problem IS NULL AND text IS NOT NULL"), model, **limits)
 
 
 INSTRUCTIONS = (

@@ -39,6 +39,12 @@ def type_counts(rows: DataFrame, path: str = "path") -> DataFrame:
     return rows.groupBy(kind.alias("file_type")).agg(F.count("*").alias("n"))
 
 
+def extension_sizes(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
+    """extension, n, bytes, smallest, largest: what follows the last dot in lower case, or all of a path without any."""
+    kind = F.substring_index(F.lower(path), ".", -1)
+    return files.groupBy(kind.alias("extension")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.min(size).alias("smallest"), F.max(size).alias("largest"))
+
+
 def type_counts_shown(rows: DataFrame) -> DataFrame:
     """By file_type, else by the path's suffix, else under "-"."""
     own = F.when(F.col("file_type") != "", F.col("file_type"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lexiforge.functions import text as t
 from lexiforge.operators import selection
+from lexiforge.operators.catalog import extension_sizes
 
 
 def line_lengths(c: Column) -> Column:
@@ -89,7 +90,35 @@ def recommended(rows: DataFrame, para_lens: str = "para_lens", limits: Limits |
     )
 
 
-def report(rows: DataFrame) -> str:
-    """The recommendation as Markdown."""
-    r = recommended(rows).first().asDict()
-    return "# Recommended settings\n\n" + "".join(f"- `{k}`: {v}\n" for k, v in r.items())
+def _stats(title: str, rows: DataFrame) -> str:
+    """One line about lengths (column x): least, mean, median, places at 80, 90 and 95 percent, greatest."""
+    r = spread(rows).first()
+    if not r.n:
+        return f"- **{title}:** none"
+    places = {p.pct: p.value for p in index_percentiles(rows, [80, 90, 95]).collect()}
+    return f"- **{title}:** min={r.min_x}, mean={r.mean_x}, median={r.median_x}, " + ", ".join(f"p{k}={v}" for k, v in sorted(places.items())) + f", max={r.max_x}"
+
+
+def report(rows: DataFrame, key: str | None = None, path: str | None = None, limits: Limits | None = None) -> str:
+    """The recommendation as Markdown. With a path column (and a key), also what the corpus is like: files by extension,
+    sizes, line and paragraph lengths, of all files, of the typical one and of the middle four fifths by size."""
+    settings = recommended(rows, limits=limits).first().asDict()
+    said = "# Recommended settings\n\n" + "".join(f"- `{k}`: {v}\n" for k, v in settings.items())
+    if path is None:
+        return said
+    lines = ["# Corpus\n"]
+    kinds = extension_sizes(rows, path).orderBy("extension").collect()
+    sizes = spread(rows, "size").first()
+    lines.append(f"- **Files:** {sum(k.n for k in kinds)}")
+    lines += [f"- .{k.extension}: {k.n} file{'s' if k.n != 1 else ''}, {k.bytes} bytes, {k.smallest} to {k.largest}" for k in kinds]
+    if sizes.n:
+        lines.append(f"- **Size (bytes):** min={sizes.min_x}, max={sizes.max_x}, mean={sizes.mean_x}, median={sizes.median_x}")
+        lines += [_stats("Line length", pooled(rows, "line_lens")), _stats("Paragraph length", pooled(rows, "para_lens"))]
+        one = typical(rows, "size", key or path)
+        for r in one.select(path, "size", "line_count", "para_count").collect():
+            lines += ["\n## Typical file\n", f"- **Name:** {r[path]}", f"- **Size (bytes):** {r['size']}", f"- **Lines:** {r.line_count}", f"- **Paragraphs:** {r.para_count}"]
+        lines += [_stats("Line length", pooled(one, "line_lens")), _stats("Paragraph length", pooled(one, "para_lens"))]
+        if sizes.n >= 10:
+            inner = middle(rows, "size", key or path)
+            lines += ["\n## Middle four fifths by size\n", f"- **Files:** {inner.count()}", _stats("Line length", pooled(inner, "line_lens")), _stats("Paragraph length", pooled(inner, "para_lens"))]
+    return "\n".join(lines) + "\n\n" + said

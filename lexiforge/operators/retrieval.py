@@ -105,10 +105,12 @@ def context_text(sources: DataFrame, chunk: str = "document") -> DataFrame:
 
 
 def candidates(rows: DataFrame, tags: list[str], needles: list[str], key: str = "id") -> DataFrame:
-    """Keys that a tag or a keyword finds in the metadata, in one scan; informational, retrieval doesn't use it."""
+    """key, place: what a tag or a keyword finds in the metadata, in one scan, each key once and in the order in which the
+    searches, one after the other, would see it first: place is the number of the search. Informational; retrieval doesn't use it."""
     from lexiforge.functions.predicates import metadata_contains
 
-    hit = F.lit(False)
-    for n in [*tags, *needles]:
-        hit = hit | metadata_contains(F.col("metadata"), n)
-    return rows.where(hit).select(key).distinct()
+    place = F.lit(None).cast("int")
+    for i, n in reversed(list(enumerate([*tags, *needles]))):
+        place = F.when(metadata_contains(F.col("metadata"), n), F.lit(i)).otherwise(place)
+    found = rows.select(key, place.alias("place")).where(F.col("place").isNotNull())
+    return found.groupBy(key).agg(F.min("place").alias("place"))

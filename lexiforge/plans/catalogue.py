@@ -380,12 +380,12 @@ def link_contexts(spark, sf_dir):
     return p.select("page_id", F.size(found).cast("long").alias("n_contexts"), found[0]["url"].alias("first_url"))
 
 
-_MD = "m AS (SELECT doc_id, '## ' || replace(text, chr(10), chr(10) || '# ') AS text FROM documents WHERE text IS NOT NULL)"
+_MD = "m AS (SELECT doc_id, '## ' || replace(coalesce(text, ''), chr(10), chr(10) || '# ') AS text FROM documents)"
 
 
 def _md(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return d.select("doc_id", F.concat(F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n# "))).alias("text"))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n# "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("## "), text).alias("text"))
 
 
 @query(rf"WITH {_MD}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM m) SELECT doc_id, line_no AS line, CASE WHEN line_no = 0 THEN 2 ELSE 1 END AS level, regexp_replace(regexp_extract(line, '^#+\s+(.*)$', 1), '^\s+|\s+$', '', 'g') AS header FROM l")
@@ -416,18 +416,18 @@ def header_path(spark, sf_dir):
     return found.select("doc_id", F.col("s.start_offset").cast("int").alias("line"), F.array_join("s.section_hierarchy", " > ").alias("path"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all('x#no #tag' || (doc_id % 3) || ' ##no ' || text || ' (#a-b), #tag' || (doc_id % 3) || ' # no', '(?:^|[^#\\w\\x{80}-\\x{10FFFF}])#([A-Za-z0-9_-]+)', 1))), ',') AS tags FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all('x#no #tag' || (doc_id % 3) || ' ##no ' || coalesce(text, '') || ' (#a-b), #tag' || (doc_id % 3) || ' # no', '(?:^|[^#\\w\\x{80}-\\x{10FFFF}])#([A-Za-z0-9_-]+)', 1))), ',') AS tags FROM documents")
 def hashtag_list(spark, sf_dir):
-    text = F.expr("concat('x#no #tag', doc_id % 3, ' ##no ', text, ' (#a-b), #tag', doc_id % 3, ' # no')")
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(F.array_sort(t.hashtags(text)), ",").alias("tags"))
+    text = F.expr("concat('x#no #tag', doc_id % 3, ' ##no ', coalesce(text, ''), ' (#a-b), #tag', doc_id % 3, ' # no')")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(t.hashtags(text)), ",").alias("tags"))
 
 
-_FRONT = "concat('---\\ntags: [', lang, ', ', source, ']\\ncategory: x, ', lang, '\\n---\\n', text)"
+_FRONT = "concat('---\\ntags: [', coalesce(lang, 'l'), ', ', coalesce(source, 's'), ']\\ncategory: x, ', coalesce(lang, 'l'), '\\n---\\n', coalesce(text, ''))"
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct([lang, source, 'x'])), ',') AS tags, md5(text) AS body FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct([coalesce(lang, 'l'), coalesce(source, 's'), 'x'])), ',') AS tags, md5(coalesce(text, '')) AS body FROM documents")
 def front_matter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL").select("doc_id", F.expr(_FRONT).alias("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_FRONT).alias("text"))
     return d.select("doc_id", F.array_join(markdown.front_tags(markdown.front_matter(F.col("text"))), ",").alias("tags"), F.md5(markdown.body(F.col("text")).cast("binary")).alias("body"))
 
 
@@ -466,12 +466,13 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(replace(replace(replace(replace(text, 'e' || chr(10), 'e-' || chr(10) || 'x'), '-' || chr(10) || 'x', 'x'), chr(10), ' '), chr(9), ' '), ' +', ' ', 'g') || chr(10) || chr(10) || doc_id) AS cleaned FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(10) || chr(10)) AND NOT regexp_matches(text, '\w-\n')")
+@query(r"""WITH x AS (SELECT doc_id, replace(replace(coalesce(text, ''), 'e' || chr(10), 'e-' || chr(10) || 'x'), chr(9), ' ') || chr(10) || chr(10) || doc_id AS x FROM documents),
+j AS (SELECT doc_id, replace(replace(regexp_replace(x, '(\w)-\n(\w)', '\1\2', 'g'), chr(10) || chr(10), chr(1) || chr(1)), chr(1) || chr(10), chr(1) || chr(1)) AS x FROM x)
+SELECT doc_id, md5(regexp_replace(replace(replace(x, chr(10), ' '), chr(1), chr(10)), ' +', ' ', 'g')) AS cleaned FROM j""")
 def pdf_cleanup(spark, sf_dir):
-    """Texts whose lines after an "e" are broken by a hyphen; a blank line stays."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND NOT contains(text, '\n\n') AND NOT text RLIKE '[A-Za-z0-9_]-\\n'")
-    text = F.concat(F.replace(F.replace("text", F.lit("e\n"), F.lit("e-\nx")), F.lit("\t"), F.lit(" ")), F.lit("\n\n"), F.col("doc_id").cast("string"))
-    return d.select("doc_id", F.md5(t.pdf_cleanup(text).cast("binary")).alias("cleaned"))
+    """Texts whose lines after an "e" are broken by a hyphen; blank lines stay."""
+    text = F.concat(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("e\n"), F.lit("e-\nx")), F.lit("\t"), F.lit(" ")), F.lit("\n\n"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.pdf_cleanup(text).cast("binary")).alias("cleaned"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 4 IN (0, 1) AND NOT (starts_with(source, 'src1') OR lang = 'fr' OR CAST(doc_id AS VARCHAR) LIKE '7%')")
