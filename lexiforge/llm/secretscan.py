@@ -2,7 +2,7 @@
 
 The base layer is the text. A worklist unwraps each layer: URL escapes and Unicode escapes are replaced where
 they stand, and runs of base64, also those wrapped over lines of equal length, become layers of their own,
-inflated first if they hold zlib or gzip data; a run is read at all four alignments, as a path or a name may precede
+inflated first if they hold zlib, gzip, bzip2 or xz data (not bare deflate, which has no mark); a run is read at all four alignments, as a path or a name may precede
 what is encoded. What isn't UTF-8 is replaced, and the rest scanned; bytes with NULs
 are read as UTF-16, too. Each new layer is scanned and unwrapped again until nothing new comes; a layer whose content has been seen at the
 same place ends there, so a cycle does too. Each layer carries, for each of its characters, the part of the
@@ -20,7 +20,9 @@ overlap by `LAP`; a piece doesn't end inside a run that could be a layer. Layers
 from __future__ import annotations
 
 import base64
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,8 +50,9 @@ LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 #: A layer without any of these holds neither a secret nor a layer.
 WORTH = re.compile("|".join(f"(?:{x.replace('(?i)', '')})" for x in (*SIGNS.values(), LAYERS)), re.IGNORECASE)
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
-#: The first symbols of gzip and zlib data in base64.
-PACKED = re.compile(r"H4sI|eAE|eF4|eJ|eN[o-r]")
+XZ = b"\xfd7zXZ\0"
+#: The first symbols of gzip, zlib, bzip2 and xz data in base64.
+PACKED = re.compile(r"H4sI|eAE|eF4|eJ|eN[o-r]|QlpoO|/Td6WFo")
 INFLATED, LAP = 1 << 20, 1 << 12
 #: The last byte that can't belong to a run, an escape or a line end.
 BREAK = re.compile(rb"[^A-Za-z0-9+/_=%\\{}\x00\r\n\t-](?=[A-Za-z0-9+/_=%\\{}\x00\r\n\t-]*\Z)")
@@ -70,23 +73,39 @@ def scan(text: str, kinds: tuple[str, ...] = KINDS) -> list[Span]:
     return out
 
 
-def _inflated(raw: bytes) -> Iterator[bytes]:
-    """What raw's zlib or gzip members hold, as far as they are sound, in parts; then what follows them."""
-    while raw[:2] in MAGIC:
-        stream = zlib.decompressobj(47)
+def _opened(raw: bytes):
+    """What undoes the compression that raw begins with, if it is a known one."""
+    if raw[:2] in MAGIC:
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if raw[:6] == XZ else None
+
+
+def _inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """What the compressed members at the start of blocks hold, as far as they are sound, in parts; then what follows
+    them. Blocks are taken as they are needed: data that only looks compressed costs what is read up to its first error."""
+    raw, packed = next(blocks, b""), False
+    while (stream := _opened(raw)) is not None:
+        packed, more = True, raw
         while True:
             try:
-                part = stream.decompress(raw, INFLATED)
-            except zlib.error:
+                part = stream.decompress(more, INFLATED)
+            except (zlib.error, lzma.LZMAError, OSError):
                 return
             if part:
                 yield part
-            raw = stream.unconsumed_tail
-            if stream.eof or not (raw or part):
+            if stream.eof:
                 break
+            more = getattr(stream, "unconsumed_tail", b"") or next(blocks, b"")
+            if not (more or part):
+                return
         raw = stream.unused_data.lstrip(b"\0")
-    if raw:
+        while len(raw) < len(XZ) and (more := next(blocks, b"")):
+            raw = (raw + more).lstrip(b"\0")
+    if packed and raw:
         yield raw
+        yield from blocks
 
 
 def _pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
@@ -108,24 +127,34 @@ def _pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
         yield held
 
 
-def _texts(raw: bytes) -> Iterator[str]:
-    """What raw may say, as it stands and inflated."""
-    for piece in (x for parts in ((raw,), _inflated(raw) if raw[:2] in MAGIC else ()) for x in _pieces(iter(parts))):
-        yield piece.decode("utf-8", "replace")
-        if b"\0" in piece:
-            yield piece.decode("utf-16-le", "replace")
-            yield piece.decode("utf-16-be", "replace")
+def _said(parts: Iterator[bytes]) -> Iterator[str]:
+    """What parts may say that is worth a look."""
+    for piece in _pieces(parts):
+        for code in ("utf-8", "utf-16-le", "utf-16-be") if b"\0" in piece else ("utf-8",):
+            text = piece.decode(code, "replace")
+            if WORTH.search(text):
+                yield text
 
 
-def _starts(run: str) -> list[int]:
-    """Where base64 may begin in a run that a path or a name precedes: at its four alignments, and at signs of compression."""
-    return [*range(min(4, len(run) - 15)), *(m.start() for m in PACKED.finditer(run, 4) if len(run) - m.start() >= 16)]
+def _decoded(body: str, at: int, size: int) -> Iterator[bytes]:
+    """base64 from a place on, in blocks that grow."""
+    while at < len(body):
+        part = body[at : at + size]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        yield base64.b64decode(part + "=" * (-len(part) % 4))
+        at, size = at + size, min(4 * size, 1 << 18)
 
 
-def _blob(found: str) -> Iterator[str]:
+def _blob(found: str, aligned: int = 1) -> Iterator[tuple[int, str]]:
+    """(place in the run, text) of what a run of base64 may say: as it stands, at `aligned` alignments, as a path or a name may
+    precede what is encoded, and inflated, from there and wherever a compressed stream's first symbols stand. Bytes
+    behind such symbols are read as they stand by the alignments alone."""
     body = found.rstrip("=").translate({45: 43, 95: 47})
-    body = body[: len(body) - (len(body) % 4 == 1)]
-    return (x for x in _texts(base64.b64decode(body + "=" * (-len(body) % 4))) if WORTH.search(x))
+    for at in range(min(aligned, max(1, len(body) - 15))):
+        yield from ((at, x) for x in _said(_decoded(body, at, len(body) + 4 - len(body) % 4)))
+    starts = {*range(aligned)} | ({m.start() for m in PACKED.finditer(body) if len(body) - m.start() >= 16} if aligned > 1 else set())
+    for at in sorted(starts):
+        yield from ((at, x) for x in _said(_inflated(_decoded(body, at, 1 << 10))))
 
 
 def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
@@ -179,11 +208,12 @@ class Layer:
             yield x
         if "\\" in self.text and (x := self.replaced(ESCAPE, _escape)):
             yield x
-        runs = ((m.start() + at, m.end(), m[0][at:]) for m in BLOB.finditer(self.text) for at in _starts(m[0]))
-        for a, b, run in chain(runs, _wrapped(self.text) if "\n" in self.text else ()):
-            for text in _blob(run):
+        runs = ((m.start(), m.end(), m[0], 4) for m in BLOB.finditer(self.text))
+        lines = ((*x, 1) for x in _wrapped(self.text)) if "\n" in self.text else ()
+        for a, b, run, aligned in chain(runs, lines):
+            for at, text in _blob(run, aligned):
                 n = len(text)
-                yield Layer(text, np.broadcast_to(self.lo[a], n), np.broadcast_to(self.hi[b - 1], n))
+                yield Layer(text, np.broadcast_to(self.lo[a + at], n), np.broadcast_to(self.hi[b - 1], n))
 
 
 def _url(m: re.Match) -> list[tuple[str, int]]:

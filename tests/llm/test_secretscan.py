@@ -122,3 +122,64 @@ def test_random_nests_are_unwrapped():
         text = f"{before}{inner} {cases.prose(5, n)}"
         found = s.added(text)
         assert any(k == 0 and a >= len(before) and b <= len(before) + len(inner) for a, k, b in found), (n, text)
+
+
+def test_bzip2_and_xz():
+    import bz2
+    import lzma
+
+    plain = b"some words and password=hunter2hunter2 with more"
+    for packed in (bz2.compress(plain), lzma.compress(plain), bz2.compress(b"x") + bz2.compress(plain), lzma.compress(plain) + b"after"):
+        for before in ("x ", "x a/b/c/d/e/"):
+            blob = base64.b64encode(packed).decode()
+            got = spans(before + blob + " y")
+            assert any(x.startswith("assign:") and int(x.split(":")[1]) >= 2 for x in got), (packed[:6], before)
+    blob = base64.urlsafe_b64encode(lzma.compress(plain)).decode()
+    assert spans("x " + blob + " y")
+
+
+def test_a_long_run_takes_time_in_proportion():
+    import random
+    import time
+
+    rng, took = random.Random(4), []
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for size in (1 << 20, 1 << 22):
+        run = "".join(rng.choices(symbols, k=size))
+        inside = base64.b64encode(zlib.compress(b"password=hunter2hunter2 and some words")).decode()
+        at = time.process_time()
+        found = s.added("x " + run + inside + " y")
+        took.append(time.process_time() - at)
+        assert any(a >= size for a, k, _ in found if k == 0)
+    assert took[1] < 60 and took[1] < 8 * took[0] + 1
+
+
+def plain_layers(text):
+    """Layers of a text, the plain way: every alignment of each run whole, every place of each inflated."""
+    out = set()
+    for m in s.BLOB.finditer(text):
+        body = m[0].rstrip("=").translate({45: 43, 95: 47})
+        for at in range(len(body) - 15):
+            part = body[at:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            if at < 4:
+                out.add((m.start() + at, m.end(), raw.decode("utf-8", "replace")))
+            try:
+                out.add((m.start() + at, m.end(), zlib.decompressobj(47).decompress(raw).decode("utf-8", "replace")))
+            except zlib.error:
+                pass
+    return out
+
+
+def test_added_spans_equal_a_plain_decoder():
+    """On texts of one layer, all spans are those that the plain decoder's layers hold."""
+    import random
+
+    rng = random.Random(12)
+    for n in range(60):
+        inner = f"words {'more ' * rng.randrange(5)}token: Abc{n}defgh {rng.randbytes(12).hex() * 2}"
+        raw = rng.choice([inner.encode(), zlib.compress(inner.encode()), gzip.compress(inner.encode())])
+        text = f"a note {'p/' * rng.randrange(4)}{base64.b64encode(raw).decode()} end"
+        expected = {(a, k, b) for a, b, said in plain_layers(text) for _, k, _ in s.scan(said)}
+        assert s.added(text) >= expected and {x for x in s.added(text) if x[0] >= 7} == expected | {x for x in s.added(text) if x not in expected and x[1] == 2}, text
