@@ -6,6 +6,11 @@ each run of words that begins and ends with one of the template's bigrams, whate
 with runs of t / (2 - t) * n to (2 - t) / t * n bigrams, t / (2 - t) * n of them the template's: a template is pruned
 where no run of such a size holds that many, and only the others' runs are counted. Nothing is shuffled.
 
+A stretch of text counts for one template alone. Runs are taken in the order of the bigrams that they share with their
+template, so that a whole text goes before a notice that it begins with, and GPL, LGPL and AGPL don't all claim one
+notice; a run that meets one taken before is cut down to what is left before it, if that reaches the threshold. Where a run
+and its template both name versions, the same ones are asked for: "version 3" is no GPL-2.0.
+
 One row for each document and licence: its best run (ties: the first, then the shortest). A null or empty text
 holds none. Null and repeated ids are kept, each row scanned. Extra columns are ignored; an empty table gives
 an empty table. A text of any length is scanned whole; memory grows with the words of one text.
@@ -18,6 +23,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from heapq import heappop, heappush
 from math import ceil
 
 import pyarrow as pa
@@ -69,6 +75,10 @@ TEMPLATES = [
 ]
 
 WORD = re.compile(r"[^\W_]+")
+#: The templates by size.
+ORDER = sorted(TEMPLATES, key=lambda x: (len(WORD.findall(x[1])), x))
+# Words that a licence's version number follows.
+VERSIONED = set("version v by sa nc nd attribution sharealike noncommercial noderivatives gpl lgpl agpl mpl apache".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -79,10 +89,16 @@ def bigrams(words: list[str]) -> list[tuple[str, str]]:
     return list(zip(words, words[1:], strict=False))
 
 
+@cache
+def wanted(k: int) -> set[str]:
+    """The versions that a template names."""
+    return versions(words_of(ORDER[k][1]))
+
+
 @cache
 def templates() -> tuple[list[tuple[int, str, Counter]], dict[tuple[str, str], tuple[int, ...]]]:
     """(bigrams, licence, their counts) by size, and for each bigram the places of the templates that hold it."""
-    own = sorted(((len(b := bigrams(words_of(t))), name, Counter(b)) for name, t in TEMPLATES), key=lambda x: (x[0], x[1]))
+    own = [(len(b := bigrams(words_of(t))), name, Counter(b)) for name, t in ORDER]
     holders: dict[tuple[str, str], list[int]] = {}
     for k, (_, _, counts) in enumerate(own):
         for b in counts:
@@ -90,26 +106,42 @@ def templates() -> tuple[list[tuple[int, str, Counter]], dict[tuple[str, str], t
     return own, {b: tuple(ks) for b, ks in holders.items()}
 
 
-def best_run(at: list[int], grams: list[tuple[str, str]], n: int, want: Counter, threshold: float) -> tuple[float, int, int] | None:
-    """(-Dice, first word, words) of a template's best run. at: places of its bigrams (`grams`) in the text."""
+def versions(words: list[str], end: int | None = None) -> set[str]:
+    """The version numbers in a list of words: those behind a word (of the first `end` ones) that a version follows, without
+    final zeros."""
+    out = set()
+    for i, w in enumerate(words[:end]):
+        if w in VERSIONED or w in ("v2", "v3"):
+            own = [w[1:]] if w not in VERSIONED else []
+            for x in words[i + 1 : i + 3]:
+                if not x.isdigit():
+                    break
+                own.append(x)
+            while len(own) > 1 and own[-1] == "0":
+                own.pop()
+            if own:
+                out.add(".".join(own))
+    return out
+
+
+def run_from(i: int, at: list[int], grams: list[tuple[str, str]], n: int, want: Counter, threshold: float, stop: int) -> tuple[float, int, int, int] | None:
+    """(Dice, bigrams shared, first word, words) of a template's best run that begins with its i-th bigram in the text and
+    ends before the word `stop`. at: places of its bigrams (`grams`) in the text."""
     most = (2 - threshold) / threshold * n + 1e-9
-    least = threshold / (2 - threshold) * n - 1e-9
-    need = max(1, ceil(least))
-    best = None
-    for i in range(len(at) - need + 1):
-        if at[i + need - 1] - at[i] + 1 > most:  # pruned: no run from here holds enough
-            continue
-        have, shared = Counter(), 0
-        for j in range(i, len(at)):
-            size = at[j] - at[i] + 1
-            if size > most:
-                break
-            have[grams[j]] += 1
-            shared += have[grams[j]] <= want[grams[j]]
-            dice = 2 * shared / (size + n)
-            key = (-dice, at[i], size + 1)
-            if dice >= threshold and (best is None or key < best):
-                best = key
+    need = max(1, ceil(threshold / (2 - threshold) * n - 1e-9))
+    if i + need > len(at) or at[i + need - 1] - at[i] + 1 > most:  # pruned: no run from here holds enough
+        return None
+    have: Counter = Counter()
+    shared, best = 0, None
+    for j in range(i, len(at)):
+        size = at[j] - at[i] + 1
+        if size > most or at[j] + 1 >= stop:
+            break
+        have[grams[j]] += 1
+        shared += have[grams[j]] <= want[grams[j]]
+        dice = 2 * shared / (size + n)
+        if dice >= threshold and (best is None or dice > best[0]):
+            best = (dice, shared, at[i], size + 1)
     return best
 
 
@@ -121,12 +153,36 @@ def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[str, float, int,
     for i, b in enumerate(zip(words, words[1:], strict=False)):
         for k in holders.get(b, ()):
             hits.setdefault(k, []).append(i)
-    best: dict[str, tuple[float, int, int]] = {}
-    for k, at in hits.items():
+    grams = {k: [(words[i], words[i + 1]) for i in at] for k, at in hits.items()}
+    queue: list[tuple] = []
+
+    def offer(k: int, i: int, stop: int) -> None:
         n, name, want = own[k]
-        run = best_run(at, [(words[i], words[i + 1]) for i in at], n, want, threshold)
-        if run and (name not in best or run < best[name]):
-            best[name] = run
+        run = run_from(i, hits[k], grams[k], n, want, threshold, stop)
+        if run:
+            heappush(queue, (-run[1], -run[0], run[2], run[3], name, k, i))
+
+    for k, at in hits.items():
+        for i in range(len(at)):
+            offer(k, i, len(words) + 1)
+    firsts: list[int] = []  # of the runs taken, in order, and the word behind each
+    lasts: list[int] = []
+    best: dict[str, tuple[float, int, int]] = {}
+    while queue:
+        _, dice, lo, size, name, k, i = heappop(queue)
+        place = bisect_right(firsts, lo)
+        if place and lasts[place - 1] > lo:
+            continue
+        if place < len(firsts) and firsts[place] < lo + size:
+            offer(k, i, firsts[place])
+            continue
+        said = versions(words[lo : lo + size + 2], size)  # a number may stand right behind the run
+        if said and wanted(k) and said != wanted(k):
+            continue
+        firsts.insert(place, lo)
+        lasts.insert(place, lo + size)
+        if name not in best or (dice, lo, size) < best[name]:
+            best[name] = (dice, lo, size)
     if not best:
         return []
     ends: list[int] = []  # words up to the end of each line
