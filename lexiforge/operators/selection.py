@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from lexiforge.sources.shared import written
 
-BINS = 1024
+BINS = 4096
 
 
 def value_counts(rows: DataFrame, x: str) -> DataFrame:
@@ -67,13 +67,12 @@ def at_places(counts: DataFrame, places: Callable[[int], list[int]]) -> tuple[in
     pending = {p: _Open(first["low"], first["high"], nulls) for p in wanted if p >= nulls}
     while pending:
         ranges = {(o.low, o.high): o.below for o in pending.values()}  # places of one bin share it
-        parts = None
-        for i, (low, high) in enumerate(ranges):
-            own = counts.where((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(high)))
+        place = F.lit(None)
+        for i, (low, high) in enumerate(ranges):  # they share no value
             at = F.lit(0) if low == high else _bin(F.col("x"), low, high, kind)
-            own = own.select(F.lit(i).alias("range"), at.alias("bin"), "x", "c")
-            parts = own if parts is None else parts.unionByName(own)
-        bins = parts.groupBy("range", "bin").agg(F.sum("c").alias("c"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+            place = F.when((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(high)), F.struct(F.lit(i).alias("range"), at.alias("bin"))).otherwise(place)
+        own = counts.select(place.alias("at"), "x", "c").where("at IS NOT NULL")
+        bins = own.groupBy("at.range", "at.bin").agg(F.sum("c").alias("c"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
         for i, (bounds, below) in enumerate(ranges.items()):
             mine = [p for p, o in pending.items() if (o.low, o.high) == bounds]
             for b in sorted((b for b in bins if b["range"] == i), key=lambda b: b["bin"]):

@@ -19,7 +19,7 @@ def check(spark, values, kind):
         assert found[i].below == order.index(order[i]) and found[i].count == order.count(order[i])
 
 
-@pytest.mark.parametrize("bins", [2, 5, 1024])
+@pytest.mark.parametrize("bins", [2, 5, 4096])
 def test_places(spark, monkeypatch, bins):
     monkeypatch.setattr(selection, "BINS", bins)
     rng = random.Random(bins)
