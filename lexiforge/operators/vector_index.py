@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,14 +141,9 @@ class VectorIndex:
         hit = [r.list for r in self.rows().join(keys.select(self.key).distinct(), self.key, "left_semi").select("list").distinct().collect()]  # MOST_LISTS at most
         if not hit:
             return
-        left = written(self.rows().where(F.col("list").isin(hit)).join(keys.select(self.key).distinct(), self.key, "left_anti"), f"left-{uuid.uuid4().hex}")
+        left = written(self.rows().where(F.col("list").isin(hit)).join(keys.select(self.key).distinct(), self.key, "left_anti"), "left")
         empty = set(hit) - {r.list for r in left.select("list").distinct().collect()}
-        old = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            left.repartition("list", "part").write.mode("overwrite").partitionBy("list").parquet(f"{self.folder}/rows")
-        finally:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+        left.repartition("list", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("list").parquet(f"{self.folder}/rows")
         jvm = self.spark._jvm
         for i in empty:
             gone = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/rows/list={i}")
