@@ -183,6 +183,26 @@ def paragraph_groups(spark, sf_dir):
     return made.select("doc_id", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("chunk"))
 
 
+_MARKS = "■*•I—–·●-"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, i - 1 AS i, regexp_replace(ls[i], '^\s+|\s+$', '', 'g') AS x, len(ls) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+w AS (SELECT *, regexp_replace(regexp_replace(x, '(\d)\s+(\d)', '\1.\2', 'g'), '(\d)\s+(\d)', '\1.\2', 'g') AS whole FROM l WHERE x <> ''),
+k AS (SELECT *, regexp_matches(whole, '^[0-9]+(?:[.][0-9]+)*(?:\s+|[.])+.') AS numbered, regexp_matches(whole, '^(?:[{_MARKS}]|[0-9]+[.]|[a-zA-Z][)])\s+') AS item, ['', '*', '**', '***'][doc_id % 4 + 1] AS stars FROM w),
+m AS (SELECT doc_id, i, CASE WHEN numbered THEN chr(10) || '#### ' || whole || chr(10) WHEN item THEN '- ' || regexp_replace(whole, '^(?:[{_MARKS}]|[0-9]+[.]|[a-zA-Z][)])\s+', '')
+  WHEN i = 0 OR n = 1 THEN '# ' || x WHEN i = 1 THEN '## ' || x WHEN regexp_matches(x, '^[{_MARKS}]') THEN '- ' || regexp_replace(substr(x, 2), '^\s+', '') ELSE stars || x || stars END AS made FROM k)
+SELECT doc_id, md5(string_agg(made, chr(10) ORDER BY i)) AS markdown FROM m GROUP BY 1""")
+def span_markdown(spark, sf_dir):
+    """Each line of a text as one span: the first in the largest size, the second in the next one, the rest in the smallest."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "text"))
+    spans = lines.selectExpr(
+        "cast(doc_id AS string) AS doc", "cast(i div 50 AS int) AS page", "cast(i % 50 div 5 AS int) AS block", "cast(i % 5 AS int) AS line", "0 AS span", "text",
+        "CASE i WHEN 0 THEN 18D WHEN 1 THEN 14D ELSE 10D END AS size", "cast(doc_id % 4 AS int) AS flags", "72D AS x0",
+    )
+    made = markdown.spans_to_markdown(spans)
+    return made.select(F.col("doc").cast("long").alias("doc_id"), F.md5(F.col("markdown").cast("binary")).alias("markdown"))
+
+
 # --- logs, searches, models -------------------------------------------------------------------------------
 
 
