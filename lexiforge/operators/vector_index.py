@@ -3,7 +3,7 @@
 build() trains centroids with Spark's KMeans on a bounded sample (SAMPLE rows a list) and then deals *every* row to the list
 of its nearest centroid. The table is partitioned by list, so that a search reads the lists it probes and no others. A
 list of more than LIST_ROWS rows is cut into parts by the hash of the key, and probes are dealt to all parts, so that a
-list that holds a third of all rows is many tasks' work. search() computes true distances in the lists probed: what it
+list that holds a third of all rows is many tasks' work. search() brings queries and parts of lists together and computes true distances in the lists probed: what it
 returns is exact but for rows of lists that it didn't probe. How many to probe is measured, not guessed: CALIBRATING indexed
 rows are searched for exactly, in one pass over all rows, and the places that the lists of their neighbours have in each
 row's order of lists tell how many lists hold the share RECALL of neighbours. Vectors in clusters need few lists,
@@ -26,10 +26,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiforge.functions import vector as v
-from lexiforge.operators.retrieval import top_k_batch
 from lexiforge.sources.shared import written
 
-SAMPLE, LIST_ROWS, CENTROID_BYTES = 64, 100_000, 64 << 20
+SAMPLE, LIST_ROWS, CENTROID_BYTES = 64, 20_000, 64 << 20
+#: Queries that meet a part of a list in one task.
+QUERIES = 20_000
 MOST_LISTS, ROUNDS, SEED = 4096, 15, 11
 #: What probes are calibrated for: the share of the nearest NEIGHBOURS that a search finds.
 RECALL, NEIGHBOURS, CALIBRATING = 0.95, 10, 200
@@ -52,6 +53,23 @@ def _far(x: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
     return -((_unit(x) if metric == "cosine" else x) @ centroids.T)
 
 
+def _nearest(x: np.ndarray, query: np.ndarray, metric: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k nearest rows of x and their distances; ties by place. Distances are rounded to 12 digits, below
+    which equal vectors may differ by the order of sums."""
+    if metric == "l2":
+        far = ((x - query) ** 2).sum(axis=1)
+    else:
+        far = x @ query
+        if metric == "cosine":
+            size = np.linalg.norm(x, axis=1) * np.linalg.norm(query)
+            far = np.divide(far, size, out=np.zeros_like(far), where=size > 0)
+        far = 1 - far
+    far = np.round(far, 12)
+    found = np.arange(len(far)) if len(far) <= k else np.flatnonzero(far <= np.partition(far, k - 1)[k - 1])
+    found = found[np.argsort(far[found], kind="stable")][:k]
+    return found, far[found]
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     flat = np.asarray(column.flatten(), np.float64)
     if len(flat) != len(column) * width:
@@ -81,7 +99,7 @@ class VectorIndex:
     """An index in a folder; search() and add() use what build() wrote."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder, self._rows = spark, folder.rstrip("/"), None
         said = json.loads(spark.read.text(f"{self.folder}/about", wholetext=True).first()[0])
         self.metric, self.key, self.vector, self.count = said["metric"], said["key"], said["vector"], said["probes"]
         rows = spark.read.parquet(f"{self.folder}/centroids").orderBy("list").collect()
@@ -102,6 +120,7 @@ class VectorIndex:
         table = [(i, [float(x) for x in c], p) for i, (c, p) in enumerate(zip(centroids, parts, strict=True))]
         spark.createDataFrame(table, "list int, centroid array<double>, parts int").write.parquet(f"{folder}/centroids")
         made = cls.__new__(cls)
+        made._rows = None
         made.spark, made.folder, made.metric, made.key, made.vector = spark, folder, metric, key, vector
         made.centroids, made.parts, made.count = centroids, np.array(parts, np.int64), len(centroids)
         made._write(dealt)
@@ -112,15 +131,28 @@ class VectorIndex:
         return made
 
     def _calibrated(self) -> int:
-        rows = self.rows()
+        rows, metric, width = self.rows(), self.metric, self.centroids.shape[1]
         some = rows.select(F.col(self.key).alias("query_id"), F.col(self.vector).alias("query")).orderBy(F.xxhash64("query_id")).limit(CALIBRATING)
-        some = written(some, "calibrating")
-        found = top_k_batch(rows.select(F.struct(F.col(self.key).alias("key"), "list").alias("at"), self.vector), some, NEIGHBOURS + 1, self.metric, self.vector, "at")
-        asked = {r.query_id: r.query for r in some.collect()}  # CALIBRATING rows
-        near = [(r.query_id, r["at"].list) for r in found.where("query_id <> at.key").collect()]
+        some = written(some, "calibrating").collect()  # CALIBRATING rows
+        kind, queries = rows.schema[self.key].dataType.simpleString(), np.array([r.query for r in some], float)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = _matrix(batch.column(2), width)
+                    near = [(i, *_nearest(x, q, metric, NEIGHBOURS + 1)) for i, q in enumerate(queries)]
+                    at = pa.array(np.concatenate([places for _, places, _ in near]))
+                    asked = np.repeat([i for i, _, _ in near], [len(places) for _, places, _ in near])
+                    columns = [pa.array(asked, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate([far for _, _, far in near]))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["asked", "key", "list", "far"])
+
+        near = rows.select(self.key, "list", self.vector).mapInArrow(run, f"asked int, key {kind}, list int, far double")
+        place = F.row_number().over(W.partitionBy("asked").orderBy("far", "key"))
+        found = near.withColumn("place", place).where(F.col("place") <= NEIGHBOURS + 1).collect()  # as many for each
+        near = [(r.asked, r.list) for r in found if r.key != some[r.asked].query_id]
         if not near:
             return len(self.centroids)
-        order = np.argsort(_far(np.array([asked[q] for q, _ in near], float), self.centroids, self.metric), axis=1, kind="stable")
+        order = np.argsort(_far(queries[[q for q, _ in near]], self.centroids, self.metric), axis=1, kind="stable")
         places = np.sort((order == np.array([at for _, at in near])[:, None]).argmax(axis=1))
         return int(places[math.ceil(RECALL * len(places)) - 1]) + 1
 
@@ -128,9 +160,13 @@ class VectorIndex:
         part = F.pmod(F.xxhash64(self.key), F.element_at(F.array(*map(F.lit, self.parts.tolist())), F.col("list") + 1)).cast("int")
         placed = dealt.withColumn("part", part).repartition("list", "part")
         placed.write.mode("append").partitionBy("list").parquet(f"{self.folder}/rows")
+        self._rows = None
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/rows")
+        """The table; its files are listed once, and again after a change."""
+        if self._rows is None:
+            self._rows = self.spark.read.parquet(f"{self.folder}/rows")
+        return self._rows
 
     def add(self, rows: DataFrame) -> None:
         """Deals further rows to the lists that there are."""
@@ -144,6 +180,7 @@ class VectorIndex:
         left = written(self.rows().where(F.col("list").isin(hit)).join(keys.select(self.key).distinct(), self.key, "left_anti"), "left")
         empty = set(hit) - {r.list for r in left.select("list").distinct().collect()}
         left.repartition("list", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("list").parquet(f"{self.folder}/rows")
+        self._rows = None
         jvm = self.spark._jvm
         for i in empty:
             gone = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/rows/list={i}")
@@ -173,8 +210,23 @@ class VectorIndex:
         if not self.centroids.shape[1]:
             return self.spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{self.key}` string, distance double, rank int")
         count = min(len(self.centroids), probes or self.count)
-        met = self.probes(queries, count).join(self.rows(), ["list", "part"])
-        near = met.select("query_id", self.key, v.distance(F.col(self.vector), F.col("query"), self.metric).alias("distance"))
+        slices = max(1, -(-queries.count() * count // (len(self.centroids) * QUERIES)))
+        asked = self.probes(queries, count).withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+        rows = self.rows().join(asked.select("list").distinct(), "list", "left_semi")  # so that lists that nobody asks for aren't moved
+        rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        key, vector, metric, width = self.key, self.vector, self.metric, self.centroids.shape[1]
+        kinds = [queries.schema["query_id"].dataType.simpleString(), rows.schema[key].dataType.simpleString()]
+
+        def meet(mine: pa.Table, held: pa.Table) -> pa.Table:
+            held = held.sort_by(key)
+            x, q = (_matrix(c.combine_chunks(), width) for c in (held.column(vector), mine.column("query")))
+            near = [_nearest(x, v_, metric, k) for v_ in q] if len(x) else []
+            row = np.repeat(np.arange(len(near)), [len(places) for places, _ in near]) if near else np.empty(0, int)
+            at, far = (np.concatenate([n[i] for n in near]) if near else np.empty(0) for i in (0, 1))
+            return pa.table({"query_id": mine.column("query_id").take(pa.array(row)), key: held.column(key).take(pa.array(at.astype(np.int64))), "distance": pa.array(far, pa.float64())})
+
+        place = ["list", "part", "slice"]
+        near = asked.groupBy(*place).cogroup(rows.groupBy(*place)).applyInArrow(meet, f"query_id {kinds[0]}, `{key}` {kinds[1]}, distance double")
         rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", self.key))
         return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
