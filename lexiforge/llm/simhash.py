@@ -20,7 +20,9 @@ Two ways to buckets:
   all texts of the bucket in a grid of blocks (`grid`). No task holds more than two blocks.
 
 Each edge of `link_similar` is a pair of texts that are alike themselves, and `dedup` keeps it only if the cosine of the
-two texts' shingle counts (by 32-bit hashes) reaches the similarity (`verified`).
+two texts' shingle counts (by 32-bit hashes) reaches the similarity (`verified`). Where an edge fails, its buckets are looked
+at again (`parted_links`): every pair of the bucket that is at most `loose` apart and whose texts the edges that hold leave in
+different classes is compared by its cosine, so that no link among a bucket's pairs is lost, however many of its edges fail.
 
 Rows: a null text is an empty one. A text without words has fingerprint zero and links like any other; one
 with fewer words than a shingle has a single shingle. Null ids are kept, and so are repeated ones. Extra
@@ -30,6 +32,8 @@ columns are ignored by `components_of` and kept by `dedup`; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -291,11 +295,10 @@ def bucket_links(rows: DataFrame, tight: int, loose: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _common(keyed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """keyed without its lonely rows, with n, the nodes of its key: those of keys up to `most` nodes, and those of larger ones."""
+def _met(keyed: DataFrame) -> DataFrame:
+    """keyed without its lonely rows, with n, the nodes of its key."""
     count = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = saved(keyed.join(count, "key"), "met")
-    return met.where(F.col("n") <= most), met.where(F.col("n") > most)
+    return saved(keyed.join(count, "key"), "met")
 
 
 # --- large buckets ----------------------------------------------------------------------------------------
@@ -366,17 +369,26 @@ def link_radius(fps: DataFrame) -> DataFrame:
     pairs = [(i, j) for i in range(4) for j in range(i)]
     keys = ", ".join(f"xxhash64({k}, {part[i]}, {part[j]})" for k, (i, j) in enumerate(pairs))
     keyed = fps.select("node", F.array("node").alias("fp"), F.explode(F.expr(f"array({keys})")).alias("key"))
-    few, many = _common(keyed.select("key", "node", "fp"), BUCKET)
+    met = _met(keyed.select("key", "node", "fp"))
+    few, many = met.where(F.col("n") <= BUCKET), met.where(F.col("n") > BUCKET)
     ball = many.select("node").distinct().select("node", F.explode(F.expr("concat(array(node), transform(sequence(0, 63), i -> node ^ shiftleft(1L, i)))")).alias("point"))
     near = ball.select(F.col("node").alias("a"), F.col("point").alias("b")).where("a <> b")
     return bucket_links(few.withColumn("open", F.lit(1)), 2, 2).unionByName(near)
 
 
+def similar_buckets(sigs: DataFrame) -> DataFrame:
+    """key, node, fp, n of the min-hashes that several texts have. sigs: node, fp, keys (min-hashes), one row a node."""
+    keyed = sigs.select("node", "fp", F.posexplode("keys").alias("pos", "h"))
+    return _met(keyed.select(F.expr("xxhash64(pos, h)").alias("key"), "node", "fp"))
+
+
 def link_similar(sigs: DataFrame, tight: int, loose: int) -> DataFrame:
     """Edges (a, b) of texts whose fingerprints are alike. sigs: node, fp, keys (min-hashes), one row a node."""
-    keyed = sigs.select("node", "fp", F.posexplode("keys").alias("pos", "h"))
-    keyed = keyed.select(F.expr("xxhash64(pos, h)").alias("key"), "node", "fp")
-    few, many = _common(keyed, BLOCK)
+    return _link_met(similar_buckets(sigs), tight, loose)
+
+
+def _link_met(met: DataFrame, tight: int, loose: int) -> DataFrame:
+    few, many = met.where(F.col("n") <= BLOCK), met.where(F.col("n") > BLOCK)
     few = few.select("key", "node", "fp", F.lit(1).alias("open"))
     if many.isEmpty():
         return bucket_links(few, tight, loose)
@@ -386,8 +398,11 @@ def link_similar(sigs: DataFrame, tight: int, loose: int) -> DataFrame:
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
     """Of two multisets of shingles, as sorted arrays."""
-    x, m = np.unique(a, return_counts=True)
-    y, n = np.unique(b, return_counts=True)
+    return _counted_cosine(np.unique(a, return_counts=True), np.unique(b, return_counts=True))
+
+
+def _counted_cosine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    (x, m), (y, n) = a, b
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     shared = (m * n[at])[y[at] == x].sum()
     return float(shared / np.sqrt(float((m * m).sum()) * float((n * n).sum())))
@@ -411,6 +426,72 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _joining(rows: list[tuple], loose: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between classes of one bucket's rows (key, node, class, fp, shingles): all pairs of different classes are tried,
+    the nearest of a block first, but those whose classes a link has joined before."""
+    node, fp = [r[1] for r in rows], np.array([r[3] for r in rows])
+    _, own = np.unique(np.array([r[2] for r in rows], np.int64), return_inverse=True)
+    sets, planes, out = _Sets(int(own.max()) + 1), planes_of(fp), []
+    counted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def counts(x: int) -> tuple[np.ndarray, np.ndarray]:
+        if x not in counted:
+            counted[x] = np.unique(np.frombuffer(rows[x][4].as_buffer(), "<u4"), return_counts=True)
+        return counted[x]
+
+    for at in range(0, len(rows), 64):
+        i, j = np.nonzero(within(fp[at : at + 64], planes, len(rows), loose))
+        i = i + at
+        mine = (i < j) & (own[i] != own[j])
+        i, j = i[mine], j[mine]
+        order = np.argsort(_apart(fp, i, j), kind="stable")
+        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            if sets.top(own[a]) == sets.top(own[b]):
+                continue
+            x, y = counts(a), counts(b)
+            if len(x[0]) and len(y[0]) and _counted_cosine(x, y) >= similarity:
+                sets.join(own[a], own[b])
+                out.append((node[a], node[b]))
+    return out
+
+
+def parted_links(met: DataFrame, found: DataFrame, good: DataFrame, sets: DataFrame, loose: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that, with those of `found` that hold (`good`), connect all that pairs of a bucket link.
+
+    A bucket without a failed edge has lost nothing. In the others, classes by the good edges meet: all texts outside of a
+    bucket's largest class meet all its texts, in blocks if it is large. met: `similar_buckets`; sets: node, shingles.
+    """
+    failed = saved(found.join(good, ["a", "b"], "left_anti"), "failed")
+    if failed.isEmpty():
+        return good.limit(0)
+    at = met.select("key", "node")
+    keys = failed.join(at.withColumnRenamed("node", "a"), "a").join(at.withColumnRenamed("node", "b"), ["key", "b"]).select("key").distinct()
+    classes = sets.select("node").join(components(good), "node", "left").select("node", F.coalesce("component", "node").alias("class"))
+    rows = saved(met.join(keys, "key").select("key", "node", "fp").join(classes, "node"), "parted")
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "class")).alias("main"))
+    own = rows.join(sizes.select("key", "n", "main.class", (F.col("n") - F.col("main.c")).alias("rest")).withColumnRenamed("class", "main").where("rest > 0"), "key")
+    own = own.withColumn("open", F.expr("cast(class <> main AS int)"))
+    few = own.where(F.col("n") <= BLOCK).select("key", "node", "fp", "open")
+    many = own.where(F.col("n") > BLOCK).withColumn("salt", F.expr(f"cast(pmod(xxhash64(node, 'salt'), cast(ceil(n / {BLOCK}D) AS int)) AS int)"))
+    dealt = few.union(grid(many)).join(rows.select("node", "class").distinct(), "node")
+    dealt = dealt.hint("shuffle_merge").join(sets.hint("shuffle_merge"), "node").select("key", "node", "class", "fp", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                if batch.num_rows:
+                    fps = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+                    yield from zip(*(batch.column(c).to_pylist() for c in range(3)), fps, batch.column(4), strict=True)
+
+        for _, bucket in groupby(each(), key=itemgetter(0)):
+            out = _joining(list(bucket), loose, similarity)
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+
+
 # --- the operator -----------------------------------------------------------------------------------------
 
 
@@ -441,14 +522,16 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     own = keyed.select("doc_id", F.col(text_key).alias("tkey"), "text")
     rows = saved(fingerprints(own, shingle, words, 6, ("tkey",)).withColumnRenamed("same", "node"), "signatures")
     sigs = rows.groupBy("node").agg(F.min(F.struct("fp", "keys")).alias("s")).select("node", "s.fp", "s.keys")
-    found = link_similar(sigs, tight, loose).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = similar_buckets(sigs)
+    found = _link_met(met, tight, loose).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = saved(found.distinct(), "found")
     linked = saved(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "linked")
     # the sieve leaves out most texts without a link before shingles move
     near = sifted(rows.select("node", "shingles"), F.xxhash64("node"), sieve(linked.select(F.xxhash64("node").alias("h"))), "near")
     sets = near.where("near").join(linked.hint("shuffle_merge"), "node", "left_semi")
     sets = saved(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    edges = verified(found, sets, similarity)
+    good = saved(verified(found, sets, similarity), "good")
+    edges = good.union(parted_links(met, found, good, sets, loose, similarity))
     joined = saved(rows.select("node").distinct().join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "groups")
     stay = rows.select("doc_id", "tkey", "node").join(joined, "node").groupBy("component")
     stay = stay.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("s")).select("s.doc_id", "s.tkey")
@@ -469,4 +552,4 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     return kept.drop(text_key)
 
 
-__all__ = ["components_of", "dedup", "fingerprints", "grid", "link_radius", "link_similar", "settle", "verified"]
+__all__ = ["components_of", "dedup", "fingerprints", "grid", "link_radius", "link_similar", "parted_links", "settle", "verified"]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -206,3 +207,29 @@ def test_a_full_sieve_changes_no_result(spark, monkeypatch):
     whole = sorted(map(str, simhash.dedup(docs).collect()))
     monkeypatch.setattr(_shared, "SIEVE", 1)
     assert sorted(map(str, simhash.dedup(docs).collect())) == whole
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_no_link_is_lost_where_edges_fail(spark, monkeypatch, block):
+    """Families near the limit, most of whose edges fail: the rows that stay are those of union over all pairs of the buckets."""
+    import random
+
+    texts = []
+    for seed in (4, 14, 17, 34):
+        rng = random.Random(seed)
+        base = [f"w{rng.random()}" for _ in range(150)]
+        texts += [" ".join(w if rng.random() >= 0.027 else f"z{rng.random()}" for w in base) for _ in range(14)]
+    sigs = []
+    for x in texts:
+        h = simhash.shingle_hashes(x.encode(), 5)
+        fp = np.array([simhash.majority(simhash.mixed(h, k)) for k in range(4)], np.uint64)
+        sigs.append((fp, [simhash.mixed(h, 100 + k).min() for k in range(6)], np.sort((h >> np.uint64(32)).astype("<u4"))))
+    sets = simhash._Sets(len(texts))
+    for a, (fp, keys, shingles) in enumerate(sigs):
+        for b in range(a):
+            met = any(x == y for x, y in zip(keys, sigs[b][1], strict=True)) and np.bitwise_count(fp ^ sigs[b][0]).sum() <= 68
+            if met and simhash.cosine(shingles, sigs[b][2]) >= 0.8:
+                sets.join(a, b)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    docs = cases.frame(spark, [(i, x, "en", "a", 1) for i, x in enumerate(texts)], extra=False)
+    assert {r.doc_id for r in simhash.dedup(docs).collect()} == {i for i in range(len(texts)) if sets.top(i) == i}
