@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from lexiforge.functions.predicates import tags_match, where
 
 #: Queries are sent to all tasks up to this many bytes; more than that are dealt in blocks.
 QUERY_BYTES = 64 << 20
+#: Rows and queries that meet in one task.
+ROW_BLOCK, QUERY_BLOCK = 16_384, 4096
 
 
 def top_k(rows: DataFrame, query: list[float], k: int = 40, metric: str = "cosine", spec: dict | None = None, vector: str = "embedding", key: str = "id") -> DataFrame:
@@ -23,24 +28,52 @@ def top_k(rows: DataFrame, query: list[float], k: int = 40, metric: str = "cosin
 def top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 40, metric: str = "cosine", vector: str = "embedding", key: str = "id") -> DataFrame:
     """query_id, key, distance, rank for a stated set of queries (query_id, query) against all rows.
 
-    Queries are broadcast in blocks of at most QUERY_BYTES; within a task, each query keeps its own k rows
-    before anything moves (the rank filter is applied before the shuffle too).
+    Rows and queries are dealt in blocks, and each pair of blocks meets in one task as two matrices: their product says
+    which rows can be among a query's k, and the distances of these are computed as `vector.distance` does, sum by sum.
+    A task returns k rows a query. Vectors that aren't finite numbers at the queries' width go row by row.
     """
     width = queries.select(F.max(F.size("query"))).first()[0] or 1
-    n = queries.count()
-    blocks = max(1, -(-n * width * 8 // QUERY_BYTES))
-    parts = []
-    for b in range(blocks):
-        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        near = rows.select(key, vector).join(F.broadcast(mine.select("query_id", "query")))
-        parts.append(near.select("query_id", key, v.distance(F.col(vector), F.col("query"), metric).alias("distance")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    kinds = [queries.schema["query_id"].dataType.simpleString(), rows.schema[key].dataType.simpleString()]
+    asked, held = queries.select("query_id", "query"), rows.select(key, vector)
+    here, there = max(1, -(-held.count() // ROW_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
+    plain, whole = _plain("query", width), _plain(vector, width)
+
+    def meet(mine: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.take(pc.sort_indices(held, sort_keys=[(key, "ascending")], null_placement="at_start"))
+        q, x = (np.asarray(t_.column(c).combine_chunks().flatten(), np.float64).reshape(-1, width) for t_, c in ((mine, "query"), (held, vector)))
+        row, at, far = v.nearest(q, x, k, metric)
+        return pa.table({"query_id": mine.column("query_id").take(pa.array(row)), key: held.column(key).take(pa.array(at)), "distance": pa.array(far, pa.float64())})
+
+    i, j = F.pmod(F.xxhash64("query_id"), F.lit(there)).cast("int"), F.pmod(F.xxhash64(key), F.lit(here)).cast("int")
+    dealt_queries = asked.where(plain).select("query_id", "query", i.alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(here - 1))).alias("row_block"))
+    dealt_rows = held.where(whole).select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(there - 1))).alias("query_block"), j.alias("row_block"))
+    place = ["query_block", "row_block"]
+    out = dealt_queries.groupBy(*place).cogroup(dealt_rows.groupBy(*place)).applyInArrow(meet, f"query_id {kinds[0]}, `{key}` {kinds[1]}, distance double")
+    for some, others in ((asked, held.where(~whole)), (asked.where(~plain), held.where(whole))):
+        if not some.isEmpty() and not others.isEmpty():
+            out = out.union(_row_by_row(some, others, width, metric, vector, key))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", key))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _plain(column: str, width: int) -> Column:
+    """Whether a vector has the width and finite entries whose squares are far from overflow."""
+    odd = F.exists(column, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) > 1e100))
+    return F.coalesce((F.size(column) == width) & ~odd, F.lit(False))
+
+
+def _row_by_row(queries: DataFrame, rows: DataFrame, width: int, metric: str, vector: str, key: str) -> DataFrame:
+    """query_id, key, distance of all pairs; queries are broadcast in blocks of at most QUERY_BYTES, and the rank filter is
+    applied before anything moves."""
+    blocks = max(1, -(-queries.count() * width * 8 // QUERY_BYTES))
+    out = None
+    for b in range(blocks):
+        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        near = rows.join(F.broadcast(mine)).select("query_id", key, v.distance(F.col(vector), F.col("query"), metric).alias("distance"))
+        out = near if out is None else out.union(near)
+    return out
+
+
 def relative(path: Column, root: str) -> Column:
     root = root.rstrip("/")
     return F.when(path.startswith(root), F.regexp_replace(F.substr(path, F.lit(len(root) + 1)), "^/+", "")).otherwise(path)
