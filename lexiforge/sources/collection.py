@@ -40,8 +40,8 @@ NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 COUNTS = "view string, key string, n long"
 BUCKETS = 64
 KEPT = 2
-#: Tasks that write a bucket.
-WRITERS = 4
+#: Tasks that write a bucket, and the files a bucket, on average, from which a change deals them anew.
+WRITERS, CROWD = 4, 16
 #: Seconds that what no state needs is kept, so that readers and writers of a day's length lose nothing.
 RETENTION = 86_400.0
 #: How often a change is made anew, and how many tables of counts a view is read from.
@@ -217,58 +217,80 @@ class Collection:
     def _hit(self, rows: DataFrame) -> list[str]:
         return sorted(r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect())  # `buckets` values at most
 
-    def _write(self, rows: DataFrame) -> dict[str, list[str]]:
-        """Writes rows; the part of each bucket that has any."""
+    def _write(self, rows: DataFrame, deal: bool = True) -> dict[str, list[str]]:
+        """Writes rows; the part of each bucket that has any. Rows that come from few buckets a task, as stored ones do,
+        needn't be dealt."""
         name = f"rows-{uuid.uuid4().hex}"
-        dealt = rows.select(*NAMES).withColumn("bucket", self._bucket()).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(WRITERS)))
-        dealt.write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        own = rows.select(*NAMES).withColumn("bucket", self._bucket())
+        if deal:
+            own = own.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(WRITERS)))
+        own.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        return self._parts(name)
+
+    def _parts(self, name: str) -> dict[str, list[str]]:
         fs, target = self._fs(f"{self.folder}/{name}")
         found = (s.getPath().getName() for s in fs.listStatus(target))
         return {x[7:]: [f"{name}/{x}"] for x in found if x.startswith("bucket=")}
 
+    def _crowded(self, state: dict, buckets: list[str]) -> bool:
+        """Whether buckets have so many files, from many small changes, that they are to be dealt into few again."""
+        return len(self._read(state["parts"], buckets).inputFiles()) > CROWD * max(1, len(buckets))
+
+    def _paths(self, paths: DataFrame) -> DataFrame:
+        """Paths, each once and as a table of their own, whose size tells whether a join can send it to the tasks."""
+        name = f"{self.folder}/rows-{uuid.uuid4().hex}"
+        paths.select("path").distinct().write.parquet(name)
+        return self.spark.read.schema("path string").parquet(name)
+
     # --- changes ------------------------------------------------------------------------------------------
 
     def append(self, rows: DataFrame, replace_paths: bool | DataFrame = True, txn: tuple[str, int] | None = None) -> DataFrame:
         """Stores rows; returns ids that occur twice or more (the first by chunk text is kept). Rows of the same
         paths, or of the paths given, are replaced in the same commit, unless replace_paths is off. rows are computed
-        once: they are written as they are first, and all else reads that. With a transaction that was made before,
-        nothing is stored."""
-        incoming = f"{self.folder}/rows-{uuid.uuid4().hex}"
+        once: they are written to their buckets first, and all else reads that; only buckets with ids that occur twice are
+        written again. With a transaction that was made before, nothing is stored."""
         if txn and self.done(*txn):
             return self.spark.createDataFrame([], "id string, n long")
-        rows.select(*NAMES).write.parquet(incoming)
-        came = self.spark.read.schema(SCHEMA).parquet(incoming)
-        own = came.groupBy("id").agg(F.min_by(F.struct(*[c for c in NAMES if c != "id"]), "document").alias("r")).select("id", "r.*")
-        added = self._write(own) if replace_paths is False else {}
-        paths = (came if replace_paths is True else came if replace_paths is False else replace_paths).select("path").distinct()
+        added = self._write(rows)
+        came = self._read(added)
+        repeated = catalog.duplicate_ids(came)
+        twice = came.join(repeated.select(F.col("id").alias("twice")), F.col("id").eqNullSafe(F.col("twice")), "left_semi")
+        again = self._hit(twice)  # an id's rows may lie in several buckets
+        if again:
+            here = self._read(added, again)
+            once = here.groupBy("id").agg(F.min_by(F.struct(*[c for c in NAMES if c != "id"]), "document").alias("r")).select("id", "r.*")
+            added = {b: p for b, p in added.items() if b not in again} | self._write(once)
+        paths = self._paths(came if isinstance(replace_paths, bool) else replace_paths)
         hit = self._hit(paths)
 
         def make(state: dict) -> Change | None:
             if replace_paths is False:
                 change = Change(state["number"], added=added, txn=txn)
             else:
-                left = self._read(state["parts"], hit).join(paths, "path", "left_anti").select(*NAMES)
-                written = self._write(own.select(*NAMES).unionByName(left))
+                left = self._read(state["parts"], hit).join(paths, "path", "left_anti")
+                written = self._write(left, self._crowded(state, hit)) if any(b in state["parts"] for b in hit) else {}
+                for b, own in added.items():
+                    written[b] = [*written.get(b, []), *own]
                 change = Change(state["number"], replaced={b: written.get(b, []) for b in hit if b in state["parts"] or b in written}, txn=txn)
                 change.added = {b: p for b, p in written.items() if b not in change.replaced}
             return self._counted(state, change)
 
         self._changing(make)
-        return catalog.duplicate_ids(came)
+        return repeated
 
     def _remove(self, hits: Callable[[DataFrame], DataFrame], left: Callable[[DataFrame], DataFrame]) -> None:
         def make(state: dict) -> Change | None:
             hit = [b for b in self._hit(hits(self._read(state["parts"]))) if b in state["parts"]]
             if not hit:
                 return None
-            written = self._write(left(self._read(state["parts"], hit)))
+            written = self._write(left(self._read(state["parts"], hit)), self._crowded(state, hit))
             return self._counted(state, Change(state["number"], replaced={b: written.get(b, []) for b in hit}))
 
         self._changing(make)
 
     def delete_where(self, paths: DataFrame) -> None:
         """Removes all rows of the paths; buckets without any stay as they are."""
-        gone = paths.select("path").distinct()
+        gone = self._paths(paths)
         self._remove(lambda rows: gone, lambda rows: rows.join(gone, "path", "left_anti"))
 
     def delete(self, ids: list[str] | None = None, spec: dict | None = None) -> None:

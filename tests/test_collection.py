@@ -206,3 +206,26 @@ def test_marks_of_other_runs_stay(spark, tmp_path):
     spark.createDataFrame([("/d/a.txt", "1")], i.MARKS).write.parquet(f"{store.folder}/open/lost")
     i.ingest(mine, store, HashEmbedder(8))
     assert [r.path for r in i.left_open(store).collect()] == ["/d/z.txt"] and store.rows().count() == 1
+
+
+def test_an_append_writes_documents_once_and_repeated_ids_are_still_settled(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [f"{rng.getrandbits(8 * 4000):x}" for _ in range(60)]
+    rows = [(f"i{i}", f"p{i}", "c", x, "t", [0.0], {}) for i, x in enumerate(texts)]
+    store = Collection(spark, str(tmp_path / "s"), buckets=4)
+    assert store.append(spark.createDataFrame(rows, c.SCHEMA)).count() == 0
+    on_disk = sum(f.stat().st_size for f in (tmp_path / "s").rglob("*.parquet"))
+    assert on_disk < 1.2 * sum(map(len, texts))  # it was written as it came, and then to its buckets
+    again = [("i1", "p1", "c", "b", "t", [0.0], {}), ("i1", "other", "c", "a", "t", [0.0], {}), ("i2", "p2", "c", "new", "t", [0.0], {})]
+    assert [tuple(r) for r in store.append(spark.createDataFrame(again, c.SCHEMA)).collect()] == [("i1", 2)]
+    got = {r.id: (r.path, r.document) for r in store.rows().collect()}
+    assert got == {f"i{i}": (f"p{i}", x) for i, x in enumerate(texts)} | {"i1": ("other", "a"), "i2": ("p2", "new")}
+    assert store.rows().count() == 60 and store.counts("rows").first().n == 60
+
+
+def test_many_small_appends_leave_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lexiforge.sources.collection.CROWD", 3)
+    store = Collection(spark, str(tmp_path / "s"), buckets=1)
+    for i in range(6):
+        store.append(spark.createDataFrame([(f"i{i}", f"p{i}", "c", "x", "t", [0.0], {})], c.SCHEMA))
+    assert store.rows().count() == 6 and len(store.rows().inputFiles()) <= 6
