@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as t
+from lexiforge.sources.shared import written
 
 #: Fixed values of the method: the probability of a period after an abbreviation, and the least scores.
 PERIOD_AFTER, LEAST_ABBREVIATION, LEAST_STARTER = 0.99, 0.3, 30.0
@@ -26,20 +27,25 @@ class Model:
     starters: list[str]
 
 
-def tokens(text: Column) -> Column:
-    """type (in lower case, without its last period), period, upper: the words of a text that have a letter."""
-    bare = F.transform(F.split(text, r"(?U)\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", ""))
+def _bare(w: Column) -> Column:
+    return F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", "")
+
+
+def _type(bare: Column) -> Column:
+    return F.lower(F.regexp_replace(bare, r"\.$", ""))
 
-    def word(w: Column) -> Column:
-        return F.struct(F.lower(F.regexp_replace(w, r"\.$", "")).alias("type"), w.endswith(".").alias("period"), w.rlike(r"^\p{Lu}").alias("upper"))
 
-    return F.transform(F.filter(bare, lambda w: w.rlike(r"\p{L}")), word)
+def tokens(text: Column) -> Column:
+    """The words of a text that have a letter, as they stand there."""
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w.rlike(r"\p{L}"))
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """type, with_period, without: how often each word stands before a period and not."""
-    words = docs.select(F.explode(tokens(F.col(text))).alias("w"))
-    counts = words.groupBy(F.col("w.type").alias("type")).agg(F.count_if("w.period").alias("with_period"), F.count("*").alias("n"))
+    """type (in lower case, without its last period), with_period, without: how often each word stands before a period and
+    not. Words are counted as they stand first, so that each spelling is taken apart once."""
+    spelled = docs.select(F.explode(F.split(F.col(text), r"(?U)\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = spelled.where(F.col("w").rlike(r"\p{L}")).select(_bare(F.col("w")).alias("bare"), "n")
+    counts = words.groupBy(_type(F.col("bare")).alias("type")).agg(F.sum(F.when(F.col("bare").endswith("."), F.col("n")).otherwise(0)).alias("with_period"), F.sum("n").alias("n"))
     return counts.select("type", "with_period", (F.col("n") - F.col("with_period")).alias("without"))
 
 
@@ -62,15 +68,23 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
     return rows.select("type", k, m, (2 * (like - unlike) * weight).alias("score"))
 
 
-def starter_scores(docs: DataFrame, abbreviations: list[str], text: str = "text") -> DataFrame:
-    """type, after, n, score of the words that follow a period that ends no abbreviation more often than by chance."""
+def starter_scores(docs: DataFrame, abbreviations: list[str], text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """type, after, n, score of the words that follow a period that ends no abbreviation more often than by chance.
+    counts: the texts' `word_counts`, if they are there."""
+    counts = word_counts(docs, text) if counts is None else counts
     own = docs.select(tokens(F.col(text)).alias("w"))
-    ends = F.transform("w", lambda w: w["period"] & ~w["type"].isin(abbreviations)) if abbreviations else F.transform("w", lambda w: w["period"])
-    before = F.concat(F.array(F.lit(False)), ends)
-    words = own.select(F.explode(F.arrays_zip(F.col("w").alias("w"), F.slice(before, 1, F.size("w")).alias("after"))).alias("x"))
-    counts = words.groupBy(F.col("x.w.type").alias("type")).agg(F.count_if("x.after").alias("after"), F.count("*").alias("n"))
-    totals = words.agg(F.count_if("x.after").alias("ends"), F.count("*").alias("words"))
-    rows = counts.where("after > 0").crossJoin(F.broadcast(totals))  # one row
+
+    def ends(w: Column) -> Column:
+        period = w.contains(".") & _bare(w).endswith(".")
+        return period & ~_type(_bare(w)).isin(abbreviations) if abbreviations else period
+
+    before = F.concat(F.array(F.lit(False)), F.transform("w", ends))
+    words = own.select(F.explode(F.filter(F.arrays_zip(F.col("w").alias("w"), F.slice(before, 1, F.size("w")).alias("after")), lambda x: x["after"])).alias("x"))
+    spelled = words.groupBy(F.col("x.w").alias("w")).agg(F.count("*").alias("after"))
+    followers = spelled.groupBy(_type(_bare(F.col("w"))).alias("type")).agg(F.sum("after").alias("after"))
+    n = F.col("with_period") + F.col("without")
+    totals = followers.agg(F.sum("after").alias("ends")).crossJoin(counts.agg(F.sum(n).alias("words")))  # one row
+    rows = followers.join(counts.select("type", n.alias("n")), "type").crossJoin(F.broadcast(totals))
 
     def likelihood(k: Column, n: Column, p: Column) -> Column:
         return F.when(k > 0, k * _log(p)).otherwise(0.0) + F.when(n > k, (n - k) * _log(1 - p)).otherwise(0.0)
@@ -86,8 +100,9 @@ def _best(scores: DataFrame, least: float) -> list[str]:
 
 
 def learn(docs: DataFrame, text: str = "text") -> Model:
-    abbreviations = _best(abbreviation_scores(word_counts(docs, text)), LEAST_ABBREVIATION)
-    return Model(abbreviations, _best(starter_scores(docs, abbreviations, text), LEAST_STARTER))
+    counts = written(word_counts(docs, text), "words")
+    abbreviations = _best(abbreviation_scores(counts), LEAST_ABBREVIATION)
+    return Model(abbreviations, _best(starter_scores(docs, abbreviations, text, counts), LEAST_STARTER))
 
 
 def sentences(text: Column, model: Model) -> Column:
@@ -98,7 +113,7 @@ def sentences(text: Column, model: Model) -> Column:
         return pieces
 
     def joined(p: Column, next_: Column) -> Column:
-        last = F.lower(F.regexp_replace(F.regexp_extract(p, r"(?U)(\S+)\.$", 1), r"^[^\p{L}\p{N}]+", ""))
+        last = F.lower(F.regexp_replace(F.regexp_extract(p, r"(?Us)^(?:.*\s)?(\S+)\.$", 1), r"^[^\p{L}\p{N}]+", ""))
         first = F.regexp_extract(F.coalesce(next_, F.lit("")), r"(?U)^[^\p{L}\p{N}\s]*(\S+)", 1)
         starts = first.rlike(r"^\p{Lu}") & F.lower(F.regexp_replace(first, r"[^\p{L}\p{N}]+$", "")).isin(model.starters) if model.starters else F.lit(False)
         return F.concat(p, F.when(last.isin(model.abbreviations) & ~starts, " ").otherwise("\x01"))

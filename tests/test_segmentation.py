@@ -67,3 +67,12 @@ def test_odd_texts(spark):
     assert got == [["A dr. No.", "B"], ["x dr.", "The y"], ["(dr. a"], [], None, [], ["dr."], ["a.", "b!", "c?"]]
     empty = s.learn(df.limit(0))
     assert empty == s.Model([], []) and df.select(s.sentences(F.col("text"), empty)).first()[0] == ["A dr.", "No.", "B"]
+
+
+def test_a_long_run_costs_in_proportion_to_its_length(spark):
+    import time
+
+    df = spark.createDataFrame([("a dr. b " + "x" * 200_000 + "! End.",)], "text string")
+    at = time.time()
+    got = df.select(s.sentences(F.col("text"), s.Model(["dr"], ["the"]))).first()[0]
+    assert got == ["a dr. b " + "x" * 200_000 + "!", "End."] and time.time() - at < 15
