@@ -10,10 +10,11 @@ All sequences but the last are full, so what is padded is less than one sequence
 Nothing moves but boundary records. A task holds one batch of texts and one window. A lost executor repeats tasks of
 one pass; the places come from what the first pass wrote, so that a second attempt can't shift them.
 
-Encoding: no piece of this make of tokenizer goes on from a character to white space behind it, so a text is cut there and
-runs that were seen before come from a bounded memo; new runs of ASCII are cut into the tokenizer's pieces, which have a memo
-of their own and are encoded by its model. A text with white space beyond ASCII, with one of the
-model's special tokens, or any text for another make of tokenizer, is encoded whole.
+Encoding: no piece of this make of tokenizer goes on from a character to white space behind it, nor from a letter or
+digit to a mark behind it, so texts are cut there, all of a slice at once, as Arrow arrays on the same bytes. Each spelling
+of a slice is looked up once: those seen before come from a bounded memo, new ones are cut into the tokenizer's pieces and
+encoded by its model. A text with white space beyond ASCII, with one of the model's special tokens, or any text for
+another make of tokenizer, is encoded whole.
 
 Rows: a null or empty text gives the end id alone. Rows are documents of their own, whatever their doc_id (null or
 repeated, too). Other columns are ignored. An empty table gives no sequence.
@@ -24,12 +25,14 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
+from itertools import islice, pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,20 +40,31 @@ from pyspark.sql import functions as F
 from lexiforge.llm._shared import fresh_path
 
 LENGTH, END_ID = 1024, 0
-#: Runs that a worker remembers, and the longest one, in characters.
-MEMO, LONGEST = 400_000, 48
+#: Spellings that a worker remembers, and the longest one, in characters.
+MEMO, LONGEST = 800_000, 48
 #: Bytes of ids in one batch of rows that a task returns.
 BATCH = 8 << 20
-#: Runs and pieces of ASCII text, and what else counts as white space to the tokenizer or to Python.
-RUN = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall
-PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+").findall
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-
+#: Bytes of text (or one text) that are encoded at once, and their parts that are looked up at once.
+SLICE, LOOKUP = 8 << 20, 1 << 21
+#: Letters, numbers and all characters that `PIECE` knows; what else counts as white space to the tokenizer
+#: or to Python; and what each byte of a text is.
+LETTERS, NUMBERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+").findall
+WORD = re.compile(f" ?[{LETTERS}]+").fullmatch
+PLAIN = re.compile("[\x00-\x1b\x20-\x7f\u00a1-\u017f\u2010-\u2027\u20ac]*").fullmatch
+OTHER_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE, LETTER, MARK = 1, 2, 3
+KIND = np.zeros(256, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = SPACE
+KIND[33:127] = MARK
+KIND[[i for i in range(128) if chr(i).isalnum()]] = LETTER
+
+ID = attrgetter("id")
 PIECES = "array<struct<doc_id:{id},start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>>"
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes."""
+    """Ids of texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,37 +75,71 @@ class Encoder:
         spec = json.loads(self.whole.to_str())
         cut = spec.get("pre_tokenizer") or {}
         self.known = spec.get("normalizer") is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
-        self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)").search
+        self.odd = "|".join([OTHER_SPACE, *(re.escape(x["content"]) for x in spec["added_tokens"])])
+        self.is_odd = re.compile(self.odd).search
         shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
-        self.byte = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.runs, self.pieces = _Memo(self._run), _Memo(self._piece)
-
-    def plainly(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.whole.model.tokenize(piece.translate(self.byte))]
-        return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
-
-    def _run(self, run: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, PIECE(run))) if run.isascii() else self.plainly(run)
+        hidden = iter(range(256, 512))
+        self.byte = [chr(b if b in shown else next(hidden)) for b in range(256)].__getitem__
+        self.model = self.whole.model
+        self.memo: dict[str, bytes] = {}
+
+    def _new(self, parts: list[str], odd: bool) -> list[bytes]:
+        ids: list[int] = []
+        ends = [0]
+        for x in parts:
+            if self.known and (WORD(x) or PLAIN(x)) and not (odd and self.is_odd(x)):
+                for piece in (x,) if WORD(x) else PIECE(x):
+                    ids.extend(map(ID, self.model.tokenize("".join(map(self.byte, piece.encode())))))
+            else:
+                ids += self.whole.encode(x, add_special_tokens=False).ids
+            ends.append(len(ids))
+        size, raw = self.dtype.itemsize, np.array(ids, self.dtype).tobytes()
+        made = [raw[size * i : size * k] for i, k in pairwise(ends)]
+        room = max(0, MEMO - len(self.memo))
+        self.memo.update(islice(((x, y) for x, y in zip(parts, made, strict=True) if len(x) <= LONGEST), room))
+        return made
+
+    def _parts(self, texts: pa.LargeStringArray, odd: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The texts' parts, on the same bytes (odd texts are whole), and the number of parts before each text and in all."""
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = pa.py_buffer(b"") if texts.buffers()[2] is None else texts.buffers()[2].slice(ends[0], ends[-1] - ends[0])
+        ends = ends - ends[0]
+        b, cut = np.frombuffer(raw, np.uint8), np.zeros(ends[-1] + 1, bool)
+        kind = KIND[b]
+        space, letter = kind == SPACE, kind == LETTER
+        letter[1:] |= (b[:-1] == 0xC3) & (b[1:] != 0x97) & (b[1:] != 0xB7)  # U+00C0 to U+00FF but for two signs
+        cut[1:-1] = (space[1:] & ~space[:-1]) | ((kind[1:] == MARK) & letter[:-1])
+        for i in np.flatnonzero(odd):
+            cut[ends[i] : ends[i + 1]] = False
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), raw), np.searchsorted(at, ends)
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (no nulls), one text's after the other's, and how many each text has."""
+        texts = texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.known else np.ones(len(texts), bool)
+        parts, before = self._parts(texts, odd)
+        made, counts = [np.empty(0, self.dtype)], [np.zeros(1, np.int64)]
+        for i in range(0, len(parts), LOOKUP):
+            met = parts.slice(i, LOOKUP).dictionary_encode()
+            spelt = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+            found = list(map(self.memo.get, spelt))
+            new = [k for k, x in enumerate(found) if x is None]
+            for k, x in zip(new, self._new([spelt[k] for k in new], odd.any()), strict=True):
+                found[k] = x
+            ids = np.frombuffer(b"".join(found), self.dtype)
+            n = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+            which = met.indices.to_numpy()
+            count = n[which]
+            # where each part's ids begin, less the place where they go
+            shift = (np.cumsum(n) - n)[which] - (np.cumsum(count) - count)
+            made.append(ids[np.repeat(shift, count) + np.arange(count.sum())])
+            counts.append(count)
+        return np.concatenate(made), np.diff(np.cumsum(np.concatenate(counts))[before])
 
     def __call__(self, text: str) -> bytes:
-        if self.known and not OTHER_SPACE(text) and not self.special(text):
-            return b"".join(map(self.runs.__getitem__, RUN(text)))
-        return self.plainly(text)
-
-
-class _Memo(dict):
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= LONGEST and len(self) < MEMO:
-            self[key] = value
-        return value
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
 
 @cache
@@ -105,28 +153,21 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], encode.dtype).tobytes()
-        wide = encode.dtype.itemsize == 4
-
-        def made(doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
-            nonlocal before
-            n = np.array([len(x) for x in ids], np.int64) // encode.dtype.itemsize
-            at = before + np.cumsum(n) - n
-            before += int(n.sum())
-            columns = [doc_id, pa.array(np.full(len(n), part, np.int64)), pa.array(at), pa.array(n), pa.array(ids, pa.binary()), pa.array(np.full(len(n), wide))]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "before", "n", "ids", "wide"])
-
+        size = encode.dtype.itemsize
         for batch in batches:
-            ids: list[bytes] = []
-            size = first = 0
-            for i, text in enumerate(batch.column(1)):
-                ids.append(encode(text.as_py()) + end)
-                size += len(ids[-1])
-                if size >= BATCH:
-                    yield made(batch.column(0).slice(first, len(ids)), ids)
-                    ids, size, first = [], 0, i + 1
-            if ids:
-                yield made(batch.column(0).slice(first, len(ids)), ids)
+            upto, first = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64), 0
+            while first < batch.num_rows:
+                past = int(upto[first - 1]) if first else 0
+                to = max(first + 1, int(np.searchsorted(upto, past + SLICE, "right")))
+                doc_id, texts = (batch.column(i).slice(first, to - first) for i in (0, 1))
+                ids, n = encode.batch(texts)
+                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                ends = np.cumsum(n)
+                offsets = np.concatenate([[0], ends * size]).astype(np.int32)
+                own = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                columns = [doc_id, pa.array(np.full(len(n), part, np.int64)), pa.array(before + ends - n), pa.array(n), own, pa.array(np.full(len(n), size == 4))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "before", "n", "ids", "wide"])
+                before, first = before + int(ends[-1]), to
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return _written(rows.mapInArrow(run, f"doc_id {kind}, part long, before long, n long, ids binary, wide boolean"), "encoded")

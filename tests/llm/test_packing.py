@@ -1,9 +1,11 @@
 """Packing, held against encoding each text whole and cutting the stream that the pieces tell."""
 
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -86,3 +88,63 @@ def test_padding_and_checksums(spark):
     assert len(row.ids) == 4 * (row.n_tokens if bin(row.n_tokens).count("1") == 1 else 16)
     for r in packing.pieces_of(made).collect():
         assert r.ids_crc32 == zlib.crc32(np.array(plain("one two three four five" if r.doc_id == 1 else None), "<u4"))
+
+
+class Counted:
+    """A tokenizer, or its model, that counts the calls that encode."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.calls = tokenizer, self, 0
+
+    def encode(self, *args, **kwargs):
+        self.calls += 1
+        return self.tokenizer.encode(*args, **kwargs)
+
+    def tokenize(self, text):
+        self.calls += 1
+        return self.tokenizer.model.tokenize(text)
+
+
+def test_a_spelling_is_encoded_once_whatever_mark_follows():
+    words = [f"{a}{b}\u00e9{c}" for a in "abcdefgh" for b in "ijklm" for c in "nopqr"]
+    text = "".join(f" {w}{mark}" for mark in ["", ",", ".", "!", "?", ";", ")"] for w in words)
+    e = packing.Encoder(PATH)
+    e.whole = e.model = counted = Counted(e.whole)
+    assert np.frombuffer(e(text), e.dtype).tolist() == plain(text)[:-1]
+    assert counted.calls <= len(words) + 6  # and each mark
+
+
+ODD = [*" \n\t\r\x0b\x0cabZs1'.,#_(", "  ", "'s", "'re", "'ll", "'S", "\u00e9", "\u00d7", "\u00f7", "\u00c0", "\u00b2", "\u00bd", "\u00aa", "\u00b5", "\u00ad", "\u00a1",
+       "\u0133", "\u017f", "\u0180", "\u0300", "\u2014", "\u2019", "\u20ac", "\u4e2d", "\u0436", "\u0664", "\u2167", "\U0001f600", "\x00", "\x7f", "\u200b", "\ufeff",
+       "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "<|endoftext|>", "<|"]
+
+
+@pytest.mark.parametrize(("known", "lookup", "memo", "longest"), [(True, 1 << 21, 800_000, 48), (True, 5, 40, 3), (False, 7, 10, 4)])
+def test_slices_of_texts(monkeypatch, known, lookup, memo, longest):
+    """Against whole texts, whatever the cuts, with room in the memo or without, and as a slice of an array."""
+    for k, v in {"LOOKUP": lookup, "MEMO": memo, "LONGEST": longest}.items():
+        monkeypatch.setattr(packing, k, v)
+    deal = random.Random(5)
+    rare = [x for x in ODD if x in "\x1c\x85\xa0\u2003\u2028\u3000" or x == "<|endoftext|>"]
+    common = [x for x in ODD if x not in rare]
+    texts = ["".join(deal.choices(ODD if i % 4 == 0 else common, k=deal.randrange(14))) for i in range(2000)]
+    e = packing.Encoder(PATH)
+    e.known = e.known and known
+    array = pa.array(["skipped \u00e9", *texts], pa.string())
+    for first, n in [(1, 1), (2, 700), (702, 1299)]:
+        ids, counts = e.batch(array.slice(first, n))
+        own = texts[first - 1 : first - 1 + n]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain(x)[:-1] for x in own]
+    assert len(e.memo) <= memo and all(len(x) <= longest for x in e.memo)
+
+
+def test_a_batch_of_several_slices(spark):
+    texts = ["caf\u00e9, it's 12 o'clock.\n" * 20_000, "", "a  b " * 90_000]
+    docs = spark.createDataFrame([(i, texts[i % 3]) for i in range(60)], "doc_id long, text string").coalesce(1)
+    assert sum(len(texts[i % 3].encode()) for i in range(60)) > 2 * packing.SLICE
+    rows, before = packing.encoded(docs, PATH).orderBy("doc_id").collect(), 0
+    expected = [np.array(plain(x), "<u2").tobytes() for x in texts]
+    for i, r in enumerate(rows):
+        assert (r.doc_id, r.before, r.n, bytes(r.ids), r.wide) == (i, before, len(expected[i % 3]) // 2, expected[i % 3], False)
+        before += r.n
+    assert len(rows) == 60
