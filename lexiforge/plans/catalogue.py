@@ -343,8 +343,8 @@ def learned_sentences(spark, sf_dir):
     from lexiforge.operators import segmentation
 
     d = table(spark, sf_dir, "documents")
-    made = segmentation.sentences(F.coalesce("text", F.lit("")), segmentation.learn(d))
-    return d.select("doc_id", F.posexplode(made).alias("place", "sentence"))
+    made = segmentation.split(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), segmentation.learn(d))
+    return made.select("doc_id", F.posexplode("sentences").alias("place", "sentence"))
 
 
 _SUM_WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
